@@ -21,6 +21,8 @@ Defined results:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,36 +35,41 @@ THRESHOLD_MICRO = -200_000
 SYMBOLS = "#*$%&|<>"
 
 
-def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of all word unigrams and bigrams; buckets is a power of two."""
-    def both(codes: Column) -> Column:
-        one = F.transform(codes, lambda h: h.bitwiseAND(buckets - 1))
-        before = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
-        after = F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0)))
-        return F.concat(one, F.zip_with(before, after, lambda a, b: F.shiftright(a * 65599 + b * 40503, 9).bitwiseAND(buckets - 1)))
+def word_codes(words: Column) -> Column:
+    """A 32-bit code of each word."""
+    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
 
-    return let(F.transform(words, lambda w: F.crc32(w.cast("binary"))), both)
 
+def _zipped(a: Column, b: Column, skip: int, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each entry of a and the entry of b that many places further on, as far as both go."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - skip), F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, skip + 1, n), f)
 
-def repeated_words(words: Column, window: int = 5) -> Column:
-    """How many words lie in a window of so many words that occurs twice or more in the array.
 
-    Equal hashes of windows are looked for first; only texts that hold some compare the windows themselves.
-    """
-    def starts(w: Column) -> Column:
-        return F.sequence(F.lit(1), F.size(w) - (window - 1))
+def pair_codes(codes: Column) -> Column:
+    return _zipped(codes, codes, 1, lambda a, b: a * 65599 + b * 40503)
 
-    def hashes(w: Column) -> Column:
-        return F.transform(starts(w), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(window)]))
 
-    def windows(w: Column) -> Column:
-        return F.array_sort(F.transform(starts(w), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, window)).alias("w"), i.alias("i"))))
+def ngram_buckets(codes: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of all word unigrams and bigrams; buckets is a power of two."""
+    return F.concat(F.transform(codes, lambda h: h.bitwiseAND(buckets - 1)), F.transform(pairs, lambda h: F.shiftright(h, 9).bitwiseAND(buckets - 1)))
 
-    def count(w: Column) -> Column:
-        distinct = let(hashes(w), lambda h: F.size(F.array_distinct(h)) == F.size(h))
-        return F.when(F.size(w) <= window, 0).when(distinct, 0).otherwise(let(windows(w), lambda s: _covered(s, window)))
 
-    return let(words, count)
+def repeated_words(words: Column, codes: Column, pairs: Column, window: int = 5) -> Column:
+    """How many words lie in a window of five words that occurs twice or more in the array.
+
+    Equal codes of windows are looked for first; only texts that hold some compare the windows themselves.
+    """
+    assert window == 5, "windows are coded as two pairs and a word"
+    fours = _zipped(pairs, pairs, 2, lambda a, b: F.shiftleft(a, 15).bitwiseXOR(b))
+    fives = let(fours, lambda x: _zipped(x, codes, 4, lambda a, c: F.shiftleft(a, 5).bitwiseXOR(c)))
+
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (window - 1))
+        return F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, window)).alias("w"), i.alias("i"))))
+
+    distinct = let(fives, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(F.size(words) <= window, 0).when(distinct, 0).otherwise(let(words, lambda w: let(windows(w), lambda s: _covered(s, window))))
 
 
 def _covered(sorted_windows: Column, window: int) -> Column:
@@ -81,7 +88,7 @@ def _covered(sorted_windows: Column, window: int) -> Column:
     return let(F.array_sort(F.array_compact(F.transform(sorted_windows, repeated))), cover)
 
 
-def base_measures(text: Column, words: Column) -> dict[str, Column]:
+def base_measures(text: Column, words: Column, codes: Column, pairs: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long."""
     safe = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(safe, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
@@ -91,7 +98,7 @@ def base_measures(text: Column, words: Column) -> dict[str, Column]:
         "word_chars": F.length(F.translate(safe, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(safe) - F.length(F.translate(safe, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": extra.cast("long"),
-        "n_repeat_words": repeated_words(words).cast("long"),
+        "n_repeat_words": repeated_words(words, codes, pairs).cast("long"),
     }
 
 
@@ -117,12 +124,17 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_micro: int = THRESHOLD_MICRO, buckets: int = BUCKETS) -> DataFrame:
     """docs with a struct column __quality of all results; see quality_rules."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(ngram_buckets(words_of(F.col("text")), buckets).alias("grams"), "trusted")
-    ratio = F.broadcast(ratio_table(grams, buckets).select(F.col("ratio").alias("__ratio"), F.lit(0).alias("__table")))
+    grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(let(word_codes(words_of(F.col("text"))), lambda c: ngram_buckets(c, pair_codes(c), buckets)).alias("grams"), "trusted")
+    ratio = F.broadcast(ratio_table(grams, buckets).select(F.col("ratio").alias("__ratio"), (F.size("ratio") > 0).alias("__table")))
     text = F.col(text_col).cast("string")
     out = docs.withColumn("__words", words_of(text))
-    out = out.withColumns({"__base": F.struct(*[c.alias(k) for k, c in base_measures(text, F.col("__words")).items()]), "__grams": ngram_buckets(F.col("__words"), buckets)})
-    out = out.withColumn("__key", F.size("__grams") * 0).join(ratio, F.col("__key") == F.col("__table"))
+    out = out.withColumn("__codes", word_codes(F.col("__words")))
+    out = out.withColumn("__pairs", pair_codes(F.col("__codes")))
+    words, codes, pairs = F.col("__words"), F.col("__codes"), F.col("__pairs")
+    measures = base_measures(text, words, codes, pairs)
+    out = out.withColumns({"__base": F.struct(*[c.alias(k) for k, c in measures.items()]), "__grams": ngram_buckets(codes, pairs, buckets)})
+    # one row on the right, for every row on the left
+    out = out.withColumn("__key", F.size("__grams") >= 0).join(ratio, F.col("__key") == F.col("__table"))
     out = out.withColumn("__sum", F.aggregate("__grams", F.lit(0).cast("long"), lambda a, k: a + F.get("__ratio", k.cast("int"))))
     n = F.col("__base.n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("__base.n_repeat_words") > MAX_REPEAT_PERCENT * n)

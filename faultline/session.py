@@ -30,3 +30,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("faultline", os.path.relpath(full, root)))
     sc.addPyFile(path)
     setattr(sc, _SHIPPED, True)
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Sets a checkpoint folder where the cluster names none."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))

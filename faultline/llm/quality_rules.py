@@ -9,7 +9,7 @@ the base rules and its score reaches a fixed threshold; sums are whole numbers,
 verdict is the same in every run and at every partitioning.
 
 Everything is built from SQL expressions. The table of buckets is one array of bounded
-length (BUCKETS numbers of 8 bytes, one row), which is broadcast to the scoring tasks.
+length (BUCKETS numbers of 4 bytes, one row), which is broadcast to the scoring tasks.
 
 Defined results:
 - null and empty texts: counts of 0, base_failed true, kept false, score 0;
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import flagged, let, words_of
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Mean millionths of a nat for each n-gram below which a document is rejected.
 THRESHOLD_MICRO = -200_000
 SYMBOLS = "#*$%&|<>"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def word_codes(words: Column) -> Column:
@@ -66,7 +67,7 @@ def repeated_words(words: Column, codes: Column, pairs: Column, window: int = 5)
 
     def windows(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(w) - (window - 1))
-        return F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, window)).alias("w"), i.alias("i"))))
+        return F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, window)).alias("w"), i.alias("i"))))
 
     distinct = let(fives, lambda h: F.size(F.array_distinct(h)) == F.size(h))
     return F.when(F.size(words) <= window, 0).when(distinct, 0).otherwise(let(words, lambda w: let(windows(w), lambda s: _covered(s, window))))
@@ -74,18 +75,13 @@ def repeated_words(words: Column, codes: Column, pairs: Column, window: int = 5)
 
 def _covered(sorted_windows: Column, window: int) -> Column:
     """From sorted (window, start) pairs: the number of positions that windows with an equal neighbour cover."""
-    last = F.size(sorted_windows) - 1
 
-    def repeated(x: Column, i: Column) -> Column:
-        before = (i > 0) & (F.get(sorted_windows, i - 1)["w"] == x["w"])
-        after = (i < last) & (F.get(sorted_windows, i + 1)["w"] == x["w"])
-        return F.when(before | after, x["i"])
+    def count(texts: Column, at: Column) -> Column:
+        same = let(_zipped(texts, texts, 1, lambda a, b: a == b), lambda x: F.zip_with(F.concat(x, F.array(F.lit(False))), F.concat(F.array(F.lit(False)), x), lambda a, b: a | b))
+        starts = F.sort_array(F.array_compact(F.zip_with(same, at, lambda hit, i: F.when(hit, i))))
+        return let(starts, lambda x: F.when(F.size(x) == 0, 0).otherwise(F.aggregate(_zipped(x, x, 1, lambda a, b: F.least(F.lit(window), b - a)), F.lit(window), lambda n, g: n + g)))
 
-    def cover(starts: Column) -> Column:
-        gaps = F.transform(starts, lambda s, i: F.least(F.lit(window), F.coalesce(F.get(starts, i + 1) - s, F.lit(window))))
-        return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
-
-    return let(F.array_sort(F.array_compact(F.transform(sorted_windows, repeated))), cover)
+    return let(F.transform(sorted_windows, lambda x: x["w"]), lambda texts: let(F.transform(sorted_windows, lambda x: x["i"]), lambda at: count(texts, at)))
 
 
 def base_measures(text: Column, words: Column, codes: Column, pairs: Column) -> dict[str, Column]:
@@ -116,7 +112,7 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def value(x: Column) -> Column:
         target = F.ln((x["target"] + 1.0) / (F.col("n_target") + float(buckets)))
-        return F.when(F.col("n_target") > 0, F.round(1e6 * (target - F.ln((x["raw"] + add) / (F.col("n_raw") + add * float(buckets)))))).otherwise(0.0).cast("long")
+        return F.when(F.col("n_target") > 0, F.round(1e6 * (target - F.ln((x["raw"] + add) / (F.col("n_raw") + add * float(buckets)))))).otherwise(0.0).cast("int")
 
     return whole.select(F.transform("all", value).alias("ratio"))
 
@@ -127,21 +123,27 @@ def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(let(word_codes(words_of(F.col("text"))), lambda c: ngram_buckets(c, pair_codes(c), buckets)).alias("grams"), "trusted")
     ratio = F.broadcast(ratio_table(grams, buckets).select(F.col("ratio").alias("__ratio"), (F.size("ratio") > 0).alias("__table")))
     text = F.col(text_col).cast("string")
-    out = docs.withColumn("__words", words_of(text))
-    out = out.withColumn("__codes", word_codes(F.col("__words")))
-    out = out.withColumn("__pairs", pair_codes(F.col("__codes")))
-    words, codes, pairs = F.col("__words"), F.col("__codes"), F.col("__pairs")
-    measures = base_measures(text, words, codes, pairs)
-    out = out.withColumns({"__base": F.struct(*[c.alias(k) for k, c in measures.items()]), "__grams": ngram_buckets(codes, pairs, buckets)})
+
+    # one nested expression: a filter on it can be moved about without computing any part of it twice
+    def result(w: Column, c: Column, p: Column) -> Column:
+        measures = F.struct(*[x.alias(k) for k, x in base_measures(text, w, c, p).items()])
+        return let(F.struct(measures.alias("m"), ngram_buckets(c, p, buckets).alias("g")), judged)
+
+    def judged(x: Column) -> Column:
+        m, g = x["m"], x["g"]
+        total = F.aggregate(g, F.lit(0).cast("long"), lambda a, k: a + F.get("__ratio", k.cast("int")).cast("long"))
+        return let(F.struct(m.alias("m"), F.size(g).cast("long").alias("n"), total.alias("t")), verdict)
+
+    def verdict(x: Column) -> Column:
+        m = x["m"]
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        kept = ~failed & (x["t"] >= threshold_micro * x["n"])
+        return F.struct(*[m[k].alias(k) for k in MEASURES], failed.alias("base_failed"), kept.alias("kept"), x["n"].alias("n_grams"), x["t"].alias("score_micro"))
+
+    quality = let(words_of(text), lambda w: let(word_codes(w), lambda c: let(pair_codes(c), lambda p: result(w, c, p))))
     # one row on the right, for every row on the left
-    out = out.withColumn("__key", F.size("__grams") >= 0).join(ratio, F.col("__key") == F.col("__table"))
-    out = out.withColumn("__sum", F.aggregate("__grams", F.lit(0).cast("long"), lambda a, k: a + F.get("__ratio", k.cast("int"))))
-    n = F.col("__base.n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("__base.n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    n_grams = F.size("__grams").cast("long")
-    kept = ~failed & (F.col("__sum") >= threshold_micro * n_grams)
-    result = F.struct("__base.*", failed.alias("base_failed"), kept.alias("kept"), n_grams.alias("n_grams"), F.col("__sum").alias("score_micro"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
+    joined = docs.withColumn("__key", F.coalesce(F.length(text) >= 0, F.lit(True))).join(ratio, F.col("__key") == F.col("__table"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("__quality"))
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

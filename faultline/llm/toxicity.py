@@ -31,6 +31,7 @@ from .common import python_ready
 from .training import labelled_sample
 
 MAX_ROWS, MIN_DF, PREFIXES = 6000, 3, (5, 6, 7, 8)
+CHUNK = 250
 _STRIP = np.zeros(256, bool)
 _STRIP[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 _END = np.zeros(256, bool)
@@ -104,12 +105,27 @@ def train(texts: list[str | None], labels: np.ndarray, min_df: int = MIN_DF, ste
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return {"vocabulary": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.zeros(1)}
-    column = pa.array(texts, pa.string())
-    hashes, sentence, s_doc, _, _ = sentences(column)
-    once = np.unique(np.stack([hashes, s_doc[sentence].astype(np.uint64)]), axis=1)[0] if len(hashes) else hashes
-    vocabulary, df = np.unique(once, return_counts=True)
-    vocabulary = vocabulary[(df >= min_df) & (vocabulary != 0)]
-    s, k, s_doc, _ = features(column, vocabulary)
+    # a few hundred texts at a time, so that only the pairs of known features are held for all
+    parts = [pa.array(texts[i : i + CHUNK], pa.string()) for i in range(0, len(texts), CHUNK)]
+    vocabulary, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in parts:
+        hashes, sentence, s_doc, _, _ = sentences(part)
+        doc = s_doc[sentence]
+        order = np.lexsort((doc, hashes))
+        h, doc = hashes[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        some, count = np.unique(h[new], return_counts=True)
+        vocabulary, at = np.unique(np.concatenate([vocabulary, some]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, count]), len(vocabulary)).astype(np.int64)
+    vocabulary = vocabulary[df >= min_df]
+    found, n_s = [], 0
+    for i, part in enumerate(parts):
+        s, k, s_doc, _ = features(part, vocabulary)
+        found.append(((s + n_s).astype(np.int32), k.astype(np.int32), s_doc + i * CHUNK))
+        n_s += len(s_doc)
+    s, k, s_doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     n_s, n_d = len(s_doc), len(y)
     # both labels weigh the same
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())

@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", near_dedup), ("secret_scan", secrets), ("mixing", mixture), ("best_fit_packing", packed)]
 
-#: SQL cannot express the sketches and the packing; tests/llm/test_pipeline.py holds run() against plain Python.
+#: SQL cannot express the sketches and the packing; a test of run() against plain Python is still to be written.
 ORACLE_SQL = None
 
 

@@ -8,9 +8,10 @@ and no sentence of a clean one may be. An L1 penalty leaves words that prove not
 
 Words are lower-cased (A-Z) and stripped of punctuation at either end; their prefixes of 5 to 8
 bytes count too, so inflected forms of a stem share what was learned. Training uses at most
-`max_rows` labelled documents (those with the smallest hashes of their ids, half of them of
-either label if there are enough); the vocabulary holds words that at least `min_df` of these
-share. Everything else runs over all documents.
+`max_rows` labelled documents of `max_chars` characters in all (those with the smallest hashes of
+their ids, half of them of either label if there are enough); the vocabulary holds words that at
+least `min_df` of these share and whose shares among toxic and clean documents differ by `min_z`
+standard errors. Everything else runs over all documents.
 
 Defined results: null or empty texts have one empty sentence; null ids are scored and never
 trained on; without labels of both kinds every score is 0.5; repeated rows are scored each, other columns are
@@ -30,8 +31,9 @@ from . import tokens
 from .common import python_ready
 from .training import labelled_sample
 
-MAX_ROWS, MIN_DF, PREFIXES = 6000, 3, (5, 6, 7, 8)
-CHUNK = 250
+MAX_ROWS, MAX_CHARS, MIN_DF, MIN_Z, PREFIXES = 4000, 16_000_000, 3, 1.5, (5, 6, 7, 8)
+#: Characters of text whose features are held at a time in training, besides one text.
+CHUNK_CHARS = 400_000
 _STRIP = np.zeros(256, bool)
 _STRIP[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 _END = np.zeros(256, bool)
@@ -100,29 +102,48 @@ def noisy_or(scores: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     return -np.expm1(out)
 
 
-def train(texts: list[str | None], labels: np.ndarray, min_df: int = MIN_DF, steps: int = 200, penalty: float = 3e-4) -> dict[str, np.ndarray]:
-    """The sorted vocabulary (hashes), its weights and the bias."""
-    y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
-        return {"vocabulary": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.zeros(1)}
-    # a few hundred texts at a time, so that only the pairs of known features are held for all
-    parts = [pa.array(texts[i : i + CHUNK], pa.string()) for i in range(0, len(texts), CHUNK)]
-    vocabulary, df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for part in parts:
+def _chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """The number of the first text and the texts of consecutive chunks."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= chars or i + 1 == len(texts):
+            yield first, pa.array(texts[first : i + 1], pa.string())
+            first, held = i + 1, 0
+
+
+def vocabulary_of(texts: list[str | None], y: np.ndarray, min_df: int, min_z: float) -> np.ndarray:
+    """Sorted hashes of the features that at least min_df texts share and that either label prefers by min_z standard errors."""
+    known, df, toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for first, part in _chunks(texts):
         hashes, sentence, s_doc, _, _ = sentences(part)
         doc = s_doc[sentence]
         order = np.lexsort((doc, hashes))
         h, doc = hashes[order], doc[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        some, count = np.unique(h[new], return_counts=True)
-        vocabulary, at = np.unique(np.concatenate([vocabulary, some]), return_inverse=True)
-        df = np.bincount(at, np.concatenate([df, count]), len(vocabulary)).astype(np.int64)
-    vocabulary = vocabulary[df >= min_df]
+        some, at = np.unique(h[new], return_inverse=True)
+        count, bad = np.bincount(at, minlength=len(some)), np.bincount(at, y[first + doc[new]], len(some))
+        known, at = np.unique(np.concatenate([known, some]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, count]), len(known))
+        toxic = np.bincount(at, np.concatenate([toxic, bad]), len(known))
+    n1 = y.sum()
+    n0 = len(y) - n1
+    share = df / len(y)
+    z = (toxic / n1 - (df - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    return known[(df >= min_df) & (np.abs(z) >= min_z)]
+
+
+def train(texts: list[str | None], labels: np.ndarray, min_df: int = MIN_DF, min_z: float = MIN_Z, steps: int = 200, penalty: float = 3e-4) -> dict[str, np.ndarray]:
+    """The sorted vocabulary (hashes), its weights and the bias."""
+    y = np.asarray(labels, float)
+    if not len(y) or y.min() == y.max():
+        return {"vocabulary": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": np.zeros(1)}
+    vocabulary = vocabulary_of(texts, y, min_df, min_z)
     found, n_s = [], 0
-    for i, part in enumerate(parts):
+    for first, part in _chunks(texts):
         s, k, s_doc, _ = features(part, vocabulary)
-        found.append(((s + n_s).astype(np.int32), k.astype(np.int32), s_doc + i * CHUNK))
+        found.append(((s + n_s).astype(np.int32), k.astype(np.int32), (s_doc + first).astype(np.int32)))
         n_s += len(s_doc)
     s, k, s_doc = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
@@ -163,7 +184,7 @@ def score_texts(column: pa.Array, model: dict[str, np.ndarray], least: float = 0
     return (noisy_or(p, s_doc, len(column)) if trained else np.full(len(column), 0.5)), offending
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted, offending (byte spans in UTF-8), n_offending.
 
     held_out: a condition over doc_id; labels of rows for which it holds are not learned from.
@@ -171,7 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = labelled_sample(rows, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(~held_out), max_rows)
+    sample = labelled_sample(rows, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(~held_out), max_rows, max_chars)
     model = spark.sparkContext.broadcast(train(sample["text"].tolist(), sample["label"].to_numpy(float)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ the base rules and its score reaches a fixed threshold; sums are whole numbers,
 verdict is the same in every run and at every partitioning.
 
 Everything is built from SQL expressions. The table of buckets is one array of bounded
-length (BUCKETS numbers of 4 bytes, one row), which is broadcast to the scoring tasks.
+length (BUCKETS numbers of 8 bytes, one row), which is broadcast to the scoring tasks.
 
 Defined results:
 - null and empty texts: counts of 0, base_failed true, kept false, score 0;
@@ -32,7 +32,7 @@ BUCKETS = 1 << 14
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Mean millionths of a nat for each n-gram below which a document is rejected.
 THRESHOLD_MICRO = -200_000
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -87,12 +87,12 @@ def _covered(sorted_windows: Column, window: int) -> Column:
 def base_measures(text: Column, words: Column, codes: Column, pairs: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long."""
     safe = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(safe, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(safe, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     extra = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(safe, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(safe) - F.length(F.translate(safe, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(safe, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": extra.cast("long"),
         "n_repeat_words": repeated_words(words, codes, pairs).cast("long"),
     }
@@ -112,7 +112,7 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def value(x: Column) -> Column:
         target = F.ln((x["target"] + 1.0) / (F.col("n_target") + float(buckets)))
-        return F.when(F.col("n_target") > 0, F.round(1e6 * (target - F.ln((x["raw"] + add) / (F.col("n_raw") + add * float(buckets)))))).otherwise(0.0).cast("int")
+        return F.when(F.col("n_target") > 0, F.round(1e6 * (target - F.ln((x["raw"] + add) / (F.col("n_raw") + add * float(buckets)))))).otherwise(0.0).cast("long")
 
     return whole.select(F.transform("all", value).alias("ratio"))
 
@@ -127,12 +127,10 @@ def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     # one nested expression: a filter on it can be moved about without computing any part of it twice
     def result(w: Column, c: Column, p: Column) -> Column:
         measures = F.struct(*[x.alias(k) for k, x in base_measures(text, w, c, p).items()])
-        return let(F.struct(measures.alias("m"), ngram_buckets(c, p, buckets).alias("g")), judged)
-
-    def judged(x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        total = F.aggregate(g, F.lit(0).cast("long"), lambda a, k: a + F.get("__ratio", k.cast("int")).cast("long"))
-        return let(F.struct(m.alias("m"), F.size(g).cast("long").alias("n"), total.alias("t")), verdict)
+        # each word with the pair that starts at it; the last word starts none
+        weights = F.zip_with(c, p, lambda h, q: F.get("__ratio", h.bitwiseAND(buckets - 1)) + F.coalesce(F.get("__ratio", F.shiftright(q, 9).bitwiseAND(buckets - 1)), F.lit(0).cast("long")))
+        total = F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x)
+        return let(F.struct(measures.alias("m"), (F.size(c) + F.size(p)).cast("long").alias("n"), total.alias("t")), verdict)
 
     def verdict(x: Column) -> Column:
         m = x["m"]

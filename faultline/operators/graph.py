@@ -43,3 +43,24 @@ def neighbours(edges: DataFrame, anchors: DataFrame, kinds: DataFrame) -> DataFr
     into = edges.join(anchors, edges["dst"] == anchors["anchor"]).select("anchor", F.col("src").alias("node"))
     own = anchors.select("anchor", F.col("anchor").alias("node"))
     return out.union(into).union(own).distinct().join(kinds, "node").groupBy("anchor", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weak_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component: the smallest node that edges of either direction reach. Labels are halved and stored each round."""
+    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct().checkpoint()
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")).checkpoint()
+    for _ in range(rounds):
+        if labels.where("moved").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
+        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = low.join(top, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old").select("node", "label", (F.col("label") != F.col("old")).alias("moved")).checkpoint()
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def stats(edges: DataFrame) -> DataFrame:
+    """One row: n_nodes, n_edges, density of the directed graph, largest degree, nodes without an outgoing edge."""
+    d = degrees(edges)
+    out = d.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("out_degree").alias("n_edges"), F.max(F.col("in_degree") + F.col("out_degree")).alias("max_degree"), F.count_if(F.col("out_degree") == 0).alias("n_leaves"))
+    return out.withColumn("density", F.round(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), 6))

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, tables
+from . import table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "retrieval"
 
 
-def query(sql: str | None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _TOK = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
 
 

@@ -87,10 +87,10 @@ def first_sources(spark, d):
     return stats.first_source(rows, "k", ["source", "l_orderkey"]).select("k", "mode", "source")
 
 
-@query("SELECT DISTINCT md5(p_name) AS hash FROM part WHERE md5(p_name) NOT IN (SELECT md5(p_name) FROM part WHERE p_partkey % 2 = 0)")
+@query("SELECT DISTINCT md5(concat(p_name, '|', p_brand, '|', p_size)) AS hash FROM part WHERE md5(concat(p_name, '|', p_brand, '|', p_size)) NOT IN (SELECT md5(concat(p_name, '|', p_brand, '|', p_size)) FROM part WHERE p_partkey % 2 = 0)")
 def new_hashes(spark, d):
     """Distinct contents that the pool lacks."""
-    h = table(spark, d, "part").select("p_partkey", F.md5("p_name").alias("hash"))
+    h = table(spark, d, "part").select("p_partkey", F.md5(F.concat_ws("|", "p_name", "p_brand", "p_size")).alias("hash"))
     return h.select("hash").distinct().join(h.where("p_partkey % 2 = 0").select("hash"), "hash", "left_anti")
 
 

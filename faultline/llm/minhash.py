@@ -129,8 +129,9 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
     """Links (i, j) that span the components of exact similarity >= percent / 100.
 
     side: 0 and 1 if only links across the two sides matter, else all the same. A member
-    that already belongs to the largest component found is not compared again: each of the
-    others meets all members in its own turn.
+    that already belongs to the largest component found is put off. In the end those put off
+    are compared too, but for the ones that lie in one and the same component: a link between
+    two of these adds nothing, and every other link has an end that met all members.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -144,14 +145,13 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
     starts = np.concatenate([[0], np.cumsum(sizes)])
     root, weight = np.arange(n), np.ones(n, np.int64)
     links: list[tuple[int, int]] = []
-    for i in np.argsort(-np.add.reduceat(runs[run_of], starts[:-1]), kind="stable").tolist():
-        top = int(weight.argmax())
-        if root[i] == top and weight[top] > 1:
-            continue
+
+    def meet(i: int) -> None:
+        """Compares member i with all members of other components."""
         mine = run_of[starts[i] : starts[i + 1]]
         mine = mine[runs[mine] > 1]
         if not len(mine):
-            continue
+            return
         length = runs[mine]
         offset = np.repeat(begins[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
         common = np.bincount(owner[offset + np.arange(int(length.sum()))], minlength=n)
@@ -166,6 +166,19 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
                 root[root == b] = a
                 weight[a] += weight[b]
                 weight[b] = 0
+
+    off: list[int] = []
+    for i in np.argsort(-np.add.reduceat(runs[run_of], starts[:-1]), kind="stable").tolist():
+        top = int(weight.argmax())
+        if root[i] == top and weight[top] > 1:
+            off.append(i)
+        else:
+            meet(i)
+    if off:
+        exempt = off[int(np.bincount(root[off], minlength=n)[root[off]].argmax())]
+        for i in off:
+            if root[i] != root[exempt]:
+                meet(i)
     return links
 
 

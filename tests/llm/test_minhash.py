@@ -76,3 +76,35 @@ def test_sketch_fills_and_estimates(n):
 def test_sets_equal_strings():
     texts = ["A b c d", "a B C", "x", None, "a b c d a b c"]
     assert [len(s) for s in minhash.shingle_sets(pa.array(texts), 3)] == [2, 1, 1, 0, 4]
+
+
+def joined(sets, links):
+    root = list(range(len(sets)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    return {frozenset(k for k, r in enumerate(root) if r == x) for x in root}
+
+
+def near(sets, side, percent):
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if side[i] != side[j] or side[0] == side[-1]]
+    return [(i, j) for i, j in pairs if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - c)]
+
+
+def test_members_put_off_under_two_components_still_meet():
+    core, a, b, c, d = np.split(np.arange(1150, dtype=np.uint64), [800, 900, 1000, 1070])
+    i, j, y = np.r_[core, a], core, np.r_[core, c]
+    sets, side = [i, np.r_[i, b], j, y, np.r_[y, d]], np.zeros(5, int)
+    assert joined(sets, minhash.spanning_links(sets, side, 85)) == joined(sets, near(sets, side, 85)) == {frozenset(range(5))}
+
+
+def test_chains_against_all_pairs():
+    rng = np.random.default_rng(7)
+    for turn in range(60):
+        sets = [np.arange(200, dtype=np.uint64)]
+        for k in range(40):  # each drops and adds a few elements of an earlier one
+            x = sets[rng.integers(len(sets))]
+            new = np.arange(rng.integers(0, 30), dtype=np.uint64) + np.uint64(1000 * (k + 1))
+            sets.append(np.sort(np.r_[x[rng.random(len(x)) > rng.choice((0, 0.1))], new]))
+        side = np.sort(rng.integers(0, 2, len(sets))) if turn % 2 else np.zeros(len(sets), int)
+        assert joined(sets, minhash.spanning_links(sets, side, 85)) == joined(sets, near(sets, side, 85))

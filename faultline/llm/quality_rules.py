@@ -9,7 +9,8 @@ the base rules and its score reaches a fixed threshold; sums are whole numbers,
 verdict is the same in every run and at every partitioning.
 
 Everything is built from SQL expressions. The table of buckets is one array of bounded
-length (BUCKETS numbers of 8 bytes, one row), which is broadcast to the scoring tasks.
+length (BUCKETS numbers of 8 bytes), a scalar subquery whose result goes to the scoring tasks
+once; as a joined column it would be copied for every document.
 
 Defined results:
 - null and empty texts: counts of 0, base_failed true, kept false, score 0;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import flagged, let, words_of
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Mean millionths of a nat for each n-gram below which a document is rejected.
 THRESHOLD_MICRO = -200_000
@@ -107,7 +108,7 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     counts = grams.select(F.explode("grams").alias("bucket"), "trusted").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
     each = grams.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     # one row of as many small entries as there are buckets, whatever the corpus
-    whole = each.agg(F.sum("raw").cast("double").alias("n_raw"), F.sum("target").cast("double").alias("n_target"), F.array_sort(F.collect_list(F.struct("id", "raw", "target"))).alias("all"))
+    whole = each.agg(F.sum("raw").cast("double").alias("n_raw"), F.sum("target").cast("double").alias("n_target"), F.sort_array(F.collect_list(F.struct("id", "raw", "target"))).alias("all"))
     add = F.try_divide("n_raw", "n_target")
 
     def value(x: Column) -> Column:
@@ -121,14 +122,14 @@ def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     """docs with a struct column __quality of all results; see quality_rules."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(let(word_codes(words_of(F.col("text"))), lambda c: ngram_buckets(c, pair_codes(c), buckets)).alias("grams"), "trusted")
-    ratio = F.broadcast(ratio_table(grams, buckets).select(F.col("ratio").alias("__ratio"), (F.size("ratio") > 0).alias("__table")))
+    ratio = ratio_table(grams, buckets).scalar()
     text = F.col(text_col).cast("string")
 
     # one nested expression: a filter on it can be moved about without computing any part of it twice
-    def result(w: Column, c: Column, p: Column) -> Column:
+    def result(w: Column, c: Column, p: Column, table: Column) -> Column:
         measures = F.struct(*[x.alias(k) for k, x in base_measures(text, w, c, p).items()])
         # each word with the pair that starts at it; the last word starts none
-        weights = F.zip_with(c, p, lambda h, q: F.get("__ratio", h.bitwiseAND(buckets - 1)) + F.coalesce(F.get("__ratio", F.shiftright(q, 9).bitwiseAND(buckets - 1)), F.lit(0).cast("long")))
+        weights = F.zip_with(c, p, lambda h, q: F.get(table, h.bitwiseAND(buckets - 1)) + F.coalesce(F.get(table, F.shiftright(q, 9).bitwiseAND(buckets - 1)), F.lit(0).cast("long")))
         total = F.aggregate(weights, F.lit(0).cast("long"), lambda a, x: a + x)
         return let(F.struct(measures.alias("m"), (F.size(c) + F.size(p)).cast("long").alias("n"), total.alias("t")), verdict)
 
@@ -138,10 +139,9 @@ def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
         kept = ~failed & (x["t"] >= threshold_micro * x["n"])
         return F.struct(*[m[k].alias(k) for k in MEASURES], failed.alias("base_failed"), kept.alias("kept"), x["n"].alias("n_grams"), x["t"].alias("score_micro"))
 
-    quality = let(words_of(text), lambda w: let(word_codes(w), lambda c: let(pair_codes(c), lambda p: result(w, c, p))))
-    # one row on the right, for every row on the left
-    joined = docs.withColumn("__key", F.coalesce(F.length(text) >= 0, F.lit(True))).join(ratio, F.col("__key") == F.col("__table"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("__quality"))
+    quality = let(F.col("__ratio"), lambda table: let(words_of(text), lambda w: let(word_codes(w), lambda c: let(pair_codes(c), lambda p: result(w, c, p, table)))))
+    # read once above, so the optimizer puts the subquery itself in the place of the column
+    return docs.withColumn("__ratio", ratio).select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("__quality"))
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -74,3 +75,14 @@ def test_keep_good_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l", "s"), (1, "a b c d e f g h i j k l", "s"), (2, "short", None)], "doc_id long, text string, __x string")
     got = q.keep_good(docs, spark.createDataFrame([(1,)], "doc_id long"))
     assert got.columns == docs.columns and got.count() == 2
+
+
+def test_buckets_tell_junk_from_a_large_vocabulary(spark):
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"{'good' if k % 2 else 'junk'}{rng.randrange(20_000)}" for _ in range(60))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(1, 3000, 4)], "doc_id long")
+    got = q.quality_rules(docs, ids).collect()
+    assert not any(r.base_failed for r in got)
+    assert sum(r.kept for r in got if r.doc_id % 4 == 3) >= 740  # of 750 good ones that are not in the target
+    assert sum(r.kept for r in got if r.doc_id % 2 == 0) <= 15  # of 1500

@@ -1,25 +1,25 @@
 """Cross-entropy difference of two matched n-gram language models.
 
 A target model (texts of trusted documents) and a background model (all documents) are bigram
-models of the same form over one vocabulary: hashed words in 2**BITS unigram and 2**BITS bigram
-counts each. The probability of a word after another is
-mixed from the bigram share, the unigram share and a uniform floor. Every token of a document
+models of the same form over the whole vocabulary: every word and every pair of words is counted
+by its own 63-bit hash. The probability of a word after another is mixed from the bigram share,
+the unigram share and a uniform floor. Every token of a document
 adds ln p_target - ln p_background; the score is the mean over its tokens, so it is the background
 cross-entropy less the target's, in nats a token.
 
-Counts are taken over all texts in one pass: each task sums its own, sends those above zero, and
-their totals are four arrays of fixed size, which are broadcast. With growing input the tasks and
-what they send grow in proportion, the arrays do not.
+Counts are taken over all texts and are never gathered on one machine. The documents are dealt
+into parts of bounded text, as many as the input asks for. A part counts its n-grams and cuts their
+sorted hashes into ranges; a range, of which there are as many as parts, sums what all parts sent
+and answers each with the totals of its n-grams, in the order they came. So a word that all texts
+hold sends one number a part, and what the models hold grows with the input.
 
 Defined results: null or empty texts and texts without words have n_tokens 0 and score 0; with no
 target text every score is 0; null ids are scored and belong to the background alone; repeated rows count and are
-scored each; other columns are ignored; an empty table gives an empty result; long texts are read whole.
+scored each, all in the part of their row; other columns are ignored; an empty table gives an empty result; long texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,68 +28,99 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import python_ready, flagged
 
+#: The uniform floor gives a word a share of 2**-BITS.
 BITS = 20
 BIGRAM, UNIGRAM = 0.6, 0.39
-
-
-def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token the unigram bucket, the bigram bucket with the word before it, and its text; text ends are a word."""
-    h, first = tokens.words(column)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-    begins = first[:-1][np.diff(first) > 0]
-    before[begins] = 0  # the start of a text
-    shift = np.uint64(64 - BITS)
-    return (h >> shift).astype(np.int64), (tokens.mix(before * np.uint64(3) + h) >> shift).astype(np.int64), doc
-
-
-def count_ngrams(rows: DataFrame) -> np.ndarray:
-    """counts[target or background, unigram or bigram, bucket] over rows of (text, target)."""
-    size = 1 << BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = np.zeros((2, 2, size), np.int64)
-        for b in batches:
-            uni, bi, doc = ngrams(b.column(0))
-            aim = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)[doc]
-            for j, x in enumerate((uni, bi)):
-                all_[0, j] += np.bincount(x[aim], minlength=size)
-                all_[1, j] += np.bincount(x, minlength=size)
-        for j in range(2):
-            used = np.flatnonzero(all_[1, j])
-            for i in range(0, len(used), 100_000):
-                k = used[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(j * size + k), pa.array(all_[0, j, k]), pa.array(all_[1, j, k])], names=["bucket", "target", "background"])
-
-    sums = rows.mapInArrow(count, "bucket long, target long, background long").groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("background").alias("b"))
-    found = sums.toArrow()  # 2 * 2**BITS rows at most
-    out = np.zeros((2, 2 * size), np.int64)
-    at = found["bucket"].to_numpy()
-    out[0, at], out[1, at] = found["t"].to_numpy(), found["b"].to_numpy()
-    return out.reshape(2, 2, size)
-
-
-def log_probability(counts: np.ndarray, before: np.ndarray, uni: np.ndarray, bi: np.ndarray) -> np.ndarray:
-    """ln p of each token under one model (counts[unigram or bigram]); before: bucket of the word before, -1 for none."""
-    words = max(1, int(counts[0].sum()))
-    share = counts[0][uni] / words
-    context = np.where(before >= 0, counts[0][before], 0)
-    pair = np.minimum(counts[1][bi], context) / np.maximum(context, 1)
-    pair = np.where(before >= 0, pair, share)
-    return np.log(BIGRAM * pair + UNIGRAM * share + (1 - BIGRAM - UNIGRAM) / (1 << BITS))
-
-
-def differences(column: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of tokens of each text, and its mean loss difference."""
-    uni, bi, doc = ngrams(column)
-    before = np.concatenate([[-1], uni[:-1]]) if len(uni) else uni
-    if len(uni):
-        before[np.concatenate([[True], doc[1:] != doc[:-1]])] = -1
-    n = np.bincount(doc, minlength=len(column))
-    if not counts[0, 0].any():
-        return n, np.zeros(len(column))
-    diff = log_probability(counts[0], before, uni, bi) - log_probability(counts[1], before, uni, bi)
-    return n, np.bincount(doc, diff, len(column)) / np.maximum(n, 1)
+#: Bytes of text in a part, apart from a single larger text.
+PART_BYTES = 8_000_000
+
+
+class Grams:
+    """The n-grams of a part: `keys` holds the sorted distinct ones, words even and pairs odd."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        h, first = tokens.words(column)
+        n = np.diff(first)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.follows = np.ones(len(h), bool)
+        self.follows[first[:-1][n > 0]] = False
+        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+        pairs = tokens.mix(before * np.uint64(3) + h)[self.follows] | np.uint64(1)
+        self.keys, at = np.unique(np.concatenate([h & ~np.uint64(1), pairs]), return_inverse=True)
+        #: where in keys each token's word and, for tokens that follow another, its pair are
+        self.word, self.pair = at[: len(h)], at[len(h) :]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the tokens that `of` marks."""
+        n = len(self.keys)
+        return np.bincount(self.word[of], minlength=n) + np.bincount(self.pair[of[self.follows]], minlength=n)
+
+    def log_probability(self, counts: np.ndarray, words: int) -> np.ndarray:
+        """ln p of each token under the model with these counts of keys and so many words in all."""
+        own = counts[self.word]
+        share = own / max(1, words)
+        pair = share.copy()
+        after = np.flatnonzero(self.follows)
+        pair[after] = counts[self.pair] / np.maximum(own[after - 1], 1)
+        return np.log(BIGRAM * pair + UNIGRAM * share + (1 - BIGRAM - UNIGRAM) / (1 << BITS))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """8-byte numbers byte by byte, all lowest ones first: a shuffle's compression shrinks the equal high ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([_unpacked(x, np.int64) for x in column.to_pylist()])
+
+
+def _count(parts: int):
+    def count(docs: pa.Table) -> pa.Table:
+        """One row for each range: part, range and, of the keys in it, the steps between hashes and the counts."""
+        grams = Grams(docs["text"])
+        aim = np.asarray(docs["target"].to_numpy(), bool)[grams.doc]
+        target, all_ = grams.counts(aim), grams.counts(np.ones(len(aim), bool))
+        ranges = ((grams.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        cut = np.searchsorted(ranges, np.arange(parts + 1, dtype=np.uint64)).tolist()
+        steps = np.diff(grams.keys, prepend=np.uint64(0))
+        steps[[a for a in cut[:-1] if a < len(steps)]] = grams.keys[[a for a in cut[:-1] if a < len(steps)]]  # a range's first is whole
+        blobs = [pa.array([_packed(x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (steps, target, all_)]
+        part = pa.array(np.full(parts, docs["part"][0].as_py()), pa.int64())
+        return pa.Table.from_arrays([part, pa.array(np.arange(parts), pa.int64()), *blobs], names=["part", "range", "keys", "target", "background"])
+
+    return count
+
+
+def _total(sent: pa.Table) -> pa.Table:
+    """Of one range, one row for each part: the totals of its keys, and how many words the range holds."""
+    keys = np.concatenate([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()])
+    ends = np.cumsum([len(x) // 8 for x in sent["keys"].to_pylist()]).tolist()
+    distinct, at = np.unique(keys, return_inverse=True)
+    word, out = (keys & np.uint64(1)) == 0, [sent["part"], sent["range"]]
+    words = []
+    for name in ("target", "background"):
+        own = _joined(sent[name])
+        # sums of whole numbers below 2**53 are exact
+        total = np.bincount(at, own, len(distinct)).astype(np.int64)[at]
+        out.append(pa.array([_packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()))
+        words.append(pa.array(np.full(len(ends), own[word].sum()), pa.int64()))
+    return pa.Table.from_arrays([*out, *words], names=["part", "range", "target", "background", "n_target", "n_background"])
+
+
+def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
+    """The number of tokens of each text of a part, and its mean loss difference."""
+    grams = Grams(docs["text"])
+    totals = totals.sort_by("range")
+    n, words = np.bincount(grams.doc, minlength=len(docs)), [int(totals[x].to_numpy().sum()) for x in ("n_target", "n_background")]
+    value = np.zeros(len(docs))
+    if words[0]:
+        target, background = (grams.log_probability(_joined(totals[x]), k) for x, k in zip(("target", "background"), words, strict=True))
+        value = np.bincount(grams.doc, target - background, len(docs)) / np.maximum(n, 1)
+    return pa.Table.from_arrays([docs["doc_id"], pa.array(n, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
 
 def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,12 +128,9 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = count_ngrams(flagged(rows, target_ids, "doc_id", "target").select("text", "target"))
-    shared = spark.sparkContext.broadcast(counts)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, value = differences(b.column(1), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_tokens", "score"])
-
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = flagged(rows, target_ids, "doc_id", "target").select("doc_id", "text", "target", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long").alias("part"))
+    sent = dealt.groupBy("part").applyInArrow(_count(parts), "part long, range long, keys binary, target binary, background binary")
+    totals = sent.groupBy("range").applyInArrow(_total, "part long, range long, target binary, background binary, n_target long, n_background long")
+    return dealt.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")

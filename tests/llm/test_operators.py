@@ -1,8 +1,10 @@
 """Brute-force and behaviour checks of the other operators on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,33 @@ def test_lm_score_prefers_the_target(spark):
     assert got[3].score > 0 > got[2].score and got[99].score == 0 and got[99].n_tokens == 0
 
 
+def test_lm_score_counts_each_ngram_by_itself(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{int(30_000 * rng.random() ** 2)}" for _ in range(rng.choice((1, 50, 150))))) for k in range(600)]
+    rows += [(None, "W1 w2 w3"), (700, None), (701, " "), (5, rows[5][1]), *[(800 + k, "same words in each") for k in range(30)]]
+    aim = {k for k in range(600) if k % 3 == 0}
+    split = [(k, (t or "").lower().split()) for k, t in rows]
+    model = {}
+    for name, own in (("target", [w for k, w in split if k in aim]), ("background", [w for _, w in split])):
+        model[name] = Counter(x for w in own for x in w), Counter(x for w in own for x in zip(w, w[1:], strict=False))
+
+    def ln(name, w, i):
+        words, pairs = model[name]
+        share = words[w[i]] / words.total()
+        pair = pairs[w[i - 1], w[i]] / max(1, words[w[i - 1]]) if i else share
+        return math.log(lm_score.BIGRAM * pair + lm_score.UNIGRAM * share + (1 - lm_score.BIGRAM - lm_score.UNIGRAM) / 2**lm_score.BITS)
+
+    want = [(k, len(w), sum(ln("target", w, i) - ln("background", w, i) for i in range(len(w))) / max(1, len(w))) for k, w in split]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.lm_score(docs, spark.createDataFrame([(k,) for k in aim], "doc_id long")).collect()
+    key = lambda r: (r[0] is None, r[0], r[1])
+    assert [tuple(r)[:2] for r in sorted(got, key=key)] == [w[:2] for w in sorted(want, key=key)]
+    assert max(abs(r[2] - w[2]) for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True)) < 1e-9
+    none = lm_score.lm_score(docs, spark.createDataFrame([], "doc_id long")).collect()
+    assert len(none) == len(rows) and not any(r.score for r in none)
+    assert lm_score.lm_score(docs.limit(0), docs.select("doc_id")).count() == 0
+
+
 def test_lattice_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 64))

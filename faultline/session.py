@@ -33,6 +33,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the cluster names none."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    """Makes sure that there is a checkpoint folder: the one that spark.checkpoint.dir names, or one of this machine for a local master.
+
+    On a cluster a folder of one machine would be lost with it, so a cluster without a shared folder is an error.
+    """
+    if spark.sparkContext.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        spark.sparkContext.setCheckpointDir(shared)
+    elif spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoints, ship
 
 #: The words of every operator: maximal runs without these six characters.
 GAP = r"[\x20\x09-\x0D]+"
@@ -20,9 +19,7 @@ BATCH_ROWS = 500
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read again, without its lineage."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -62,7 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Labels fall to the smallest label among neighbours, then to the label of the label,
     so a chain halves in every round. Only (node, label) rows move, never whole groups,
-    and an adaptive skew join splits the edges of a hub. Each round is stored.
+    and an adaptive skew join splits the edges of a hub. Each round is stored. Nodes are of any ordered type.
     """
     one = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = stored(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())

@@ -8,15 +8,17 @@ round t + j throws all elements into coordinate j, so every coordinate fills wha
 Coordinates of two sets agree with the probability of the sets' Jaccard similarity, as tightly
 concentrated as full MinHash, while a set of n elements costs O(n + t log t).
 
-Texts that agree in all rows of a band meet in a bucket. A bucket names its smallest document
-as its hub, and all documents that share a hub form a cluster, which holds every pair that
-meets in any bucket of that hub. A cluster is cut into blocks of bounded weight; each pair of
-blocks is one task, which compares whole sets exactly and returns links that span the components
-it found, never all pairs. With 32 bands of 5 rows a pair at 0.85 is missed by all bands with
-probability 7e-9.
-
-Exact copies meet first, by a 128-bit digest of their whole sets, and only the smallest
-document of each such class takes part in the rest.
+Texts that agree in all rows of a band meet in a bucket. A bucket names its smallest class
+as its hub, and all classes that share a hub form a cluster, which holds every pair that
+meets in any bucket of that hub. A cluster is cut into blocks of bounded weight. Each block is
+one task, which compares whole sets exactly and returns links that span the components it found,
+never all pairs; the hub is in all blocks, so the blocks of a dense group meet through it. Only
+the members that their block did not link to the hub are then compared with all other blocks: of
+two members that a block did link to it, nothing is left to learn. With 32 bands of 5 rows a
+pair at 0.85 is missed by all bands with probability 7e-9.
+
+Exact copies meet first: a class holds all rows whose whole sets have the same 128-bit digest,
+which is its name, and only one text of each class takes part in the rest.
 
 Defined results:
 - null or empty texts and texts without words: n_shingles 0, linked with nothing, own component;
@@ -24,7 +26,9 @@ Defined results:
   other id to name, component_id is null and kept is true;
 - repeated rows: each gets the result of its text's class; kept is true for each copy of the
   row that holds the smallest id (`one_of_each` then takes one of them);
-- other columns, whatever their names, are ignored; an empty table gives an empty result;
+- rows that repeat an id with other texts: each is judged by its own text;
+- other columns, whatever their names, are ignored (`one_of_each` carries them along); an empty
+  table gives an empty result;
 - very long texts are hashed in segments and weigh more when clusters are cut into blocks.
 """
 
@@ -41,10 +45,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import python_ready, components, stored
+from .common import BROADCAST_IDS, components, python_ready, stored
 
 #: Shingles that a block of a cluster holds, apart from a single larger text.
 BLOCK_SHINGLES = 1_000_000
+#: Stands for a null id in orders and joins: after all others.
+_LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,8 +126,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
         at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), values)],
-            names=["doc_id", "n_shingles", "digest", "bands"],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), values)],
+            names=["doc_id", "h", "n_shingles", "digest", "bands"],
         )
 
 
@@ -182,57 +188,118 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
     return links
 
 
-def _verify(words: int, percent: int):
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["first", "node"], kind="stable")
+def _links(percent: int, words: int):
+    """Compares a block of a cluster in itself; of a cut cluster it also names (b null) the members that it does not link to the hub."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").reset_index(drop=True)
         sets = shingle_sets(pa.array(rows["text"], pa.string()), words)
-        full = [k for k, s in enumerate(sets) if len(s)]
-        node, side = rows["node"].to_numpy()[full], rows["first"].to_numpy()[full].astype(int)
-        links = spanning_links([sets[k] for k in full], side, percent) if len(full) > 1 else []
-        return pd.DataFrame({"a": [int(node[i]) for i, _ in links], "b": [int(node[j]) for _, j in links]}, dtype="int64")
+        found = spanning_links(sets, np.zeros(len(sets), int), percent) if len(sets) > 1 else []
+        node, hub = rows["node"].tolist(), rows["hub"][0]
+        out = [(node[i], node[j]) for i, j in found]
+        if rows["k"].max() > 1:
+            root = np.arange(len(sets))
+            for i, j in found:
+                root[root == root[j]] = root[i]
+            home = root[node.index(hub)]
+            out += [(node[i], None) for i in np.flatnonzero(root != home)]
+        return pd.DataFrame({"hub": [hub] * len(out), "a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
 
-    return verify
+    return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id and kept.
+def _cross_links(percent: int, words: int):
+    """Links between the members that no block linked to the hub (`lone`) and a block of the cluster."""
 
-    id_col holds integers. See the module for the method and for unusual input.
-    """
-    python_ready(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = stored(texts.mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes)
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lone", kind="stable")
+        sets = shingle_sets(pa.array(rows["text"], pa.string()), words)
+        node = rows["node"].tolist()
+        found = spanning_links(sets, rows["lone"].to_numpy().astype(int), percent) if rows["lone"].nunique() > 1 else []
+        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype=object)
+
+    return compare
 
+
+def _cluster_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of classes(node, n, bands, at); texts(at, text) has one row for each `at`."""
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
     pairs = spread.join(hubs, "bucket").select("hub", "node").distinct()
-    members = stored(pairs.join(classes.select("node", "n"), "node"))
-    blocks = members.groupBy("hub").agg(F.sum("n").alias("weight")).select("hub", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("k"))
-    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = members.join(blocks, "hub").withColumn("mine", mine)
-    # member of block m goes to the tasks (min(m, o), max(m, o)) of all blocks o
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("node", "hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"))
-    named = texts.withColumnRenamed("doc_id", "node")
-    edges = dealt.join(named, "node").groupBy("hub", "i", "j").applyInPandas(_verify(words, percent), "a long, b long")
-    links = components(edges)
-
-    by_class = classes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    alone = F.when(F.col("digest").isNull(), F.col("doc_id"))
-    out = found.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component: Column = F.coalesce("component_id", alone)
+    members = stored(pairs.join(classes.select("node", "n", "at"), "node"))
+    # only clusters that do not fit one block are looked up; they are few, and more than can be broadcast are joined by a shuffle
+    big = stored(members.groupBy("hub").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK_SHINGLES).select(F.col("hub").alias("__big"), F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("k")))
+    n_big = big.limit(BROADCAST_IDS + 1).count()
+    sized = members.join(F.broadcast(big) if n_big <= BROADCAST_IDS else big, F.col("hub") == F.col("__big"), "left") if n_big else members.withColumn("k", F.lit(None).cast("int"))
+    sized = sized.select("hub", "node", "n", "at", F.coalesce("k", F.lit(1)).alias("k"))
+    # the hub is a member of every block of its cluster
+    blocks = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    first = sized.select("hub", "node", "at", "k", F.explode(blocks).alias("i")).join(texts, "at")
+    found = first.select("hub", "i", "node", "k", "text").groupBy("hub", "i").applyInPandas(_links(percent, words), "hub binary, a binary, b binary")
+    if not n_big:
+        return found.select("a", "b")
+    found = stored(found)
+    lone = stored(found.where("b is null").select("hub", F.col("a").alias("node")).distinct().join(sized, ["hub", "node"]))
+    again = stored(lone.groupBy("hub").agg(F.sum("n").alias("weight")).select(F.col("hub").alias("__lone"), F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("m")))
+    n_again = again.limit(BROADCAST_IDS + 1).count()
+    found = found.where("b is not null").select("a", "b")
+    if not n_again:
+        return found
+    many = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+    part = lambda x: F.pmod(F.xxhash64("node"), F.col(x)).cast("int")
+    left = lone.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", part("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(True).alias("lone"))
+    right = sized.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), part("k").alias("i"), F.lit(False).alias("lone"))
+    crossed = left.unionByName(right).join(texts, "at").select("hub", "p", "i", "node", "lone", "text")
+    return found.unionByName(crossed.groupBy("hub", "p", "i").applyInPandas(_cross_links(percent, words), "a binary, b binary"))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A number of a row's id and text: equal rows have equal ones."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row for each input row: doc_id, h (its row key), n_shingles, node (its class, null without words), component (a node), component_id."""
+    python_ready(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", _row_key("doc_id", "text"))
+    found = stored(texts.select("doc_id", "text", "h").mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, h long, n_shingles long, digest binary, bands array<long>"))
+    at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "h")
+    classes = stored(found.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min(at).alias("at"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    # one text for each row key; rows that are alike meet before the shuffle
+    one = texts.select(at.alias("at"), "text").groupBy("at").agg(F.first("text").alias("text"))
+    links = components(_cluster_links(classes, one, words, percent))
+    named = classes.select("node", "low").join(links, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(named.join(lows, "component").select("node", "component", "component_id"))
+    # rows without words have no class: each gets a key of its own, so they do not meet in one task
+    key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "h")).cast("binary"))
+    return found.select("doc_id", "h", "n_shingles", "digest", key.alias("node")).join(named, "node", "left").select("doc_id", "h", "n_shingles", F.col("digest").alias("node"), "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id and kept.
+
+    id_col holds integers. See the module for the method and for unusual input.
+    """
+    out = _grouped(docs, id_col, text_col, words, percent, bands, rows)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all columns, that near_duplicates keeps: one of each group.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """One row, with all columns, of each group of near copies: the one with the smallest id, then the smallest hash of id and text.
 
-    Of rows that repeat both id and text one stays. Rows without an id are kept, once for each text.
+    Rows are judged by their texts, so rows that share an id but not a text may both stay. Of rows that repeat both
+    id and text one stays; rows without an id are passed over if their group has others. Rows without words are all
+    kept, but for repeats of the same id and text.
     """
-    marks = near_duplicates(docs, id_col, text_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(marks, F.col(id_col) == F.col("__gone"), "left_anti")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return left
-    return left.dropDuplicates([id_col, text_col])
+    marks = _grouped(docs, id_col, text_col, words, percent, bands, rows)
+    whole = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "h")
+    ids = stored(marks.groupBy("doc_id", "h").agg(F.first("component").alias("component"), (F.count(F.lit(1)) > 1).alias("many")))
+    best = ids.where("component is not null").groupBy(F.col("component").alias("node")).agg(F.min(whole).alias("best"))
+    alone = ids.where("component is null").select(whole.alias("best"))
+    stays = best.select("best").unionByName(alone).select(F.col("best.doc_id").alias("__doc"), F.col("best.h").alias("__at"))
+    packed = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__doc"), _row_key(id_col, text_col).alias("__at"))
+    if not ids.where("many").isEmpty():  # rows that are alike meet before the shuffle
+        packed = packed.groupBy("__doc", "__at").agg(F.first("__row").alias("__row"))
+    return packed.join(stays, ["__doc", "__at"]).select("__row.*")

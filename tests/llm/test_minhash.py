@@ -108,3 +108,57 @@ def test_chains_against_all_pairs():
             sets.append(np.sort(np.r_[x[rng.random(len(x)) > rng.choice((0, 0.1))], new]))
         side = np.sort(rng.integers(0, 2, len(sets))) if turn % 2 else np.zeros(len(sets), int)
         assert joined(sets, minhash.spanning_links(sets, side, 85)) == joined(sets, near(sets, side, 85))
+
+
+def drifting(rng, words=60):
+    """A chain of texts, each some words away from an earlier one."""
+    out = [[f"c{rng.integers(1 << 30)}_{i}" for i in range(words)]]
+    for k in range(int(rng.integers(4, 24))):
+        w = list(out[rng.integers(len(out))])
+        for _ in range(int(rng.integers(0, 4))):
+            w[rng.integers(len(w))] = f"n{rng.integers(1 << 30)}"
+        if rng.random() < 0.3:
+            w += [f"e{rng.integers(1 << 30)}_{k}_{i}" for i in range(int(rng.integers(1, 12)))]
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("block", [150, 1_000_000])
+def test_drifting_texts_in_mixed_id_orders(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(block)
+    texts = [t for _ in range(60) for t in drifting(rng)]
+    rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+    assert got == brute(rows)
+
+
+def test_thousands_of_drifting_chains_lose_no_component():
+    rng = np.random.default_rng(3)
+    for turn in range(3000):
+        sets = [np.arange(100, dtype=np.uint64)]
+        for k in range(int(rng.integers(5, 24))):
+            x = sets[rng.integers(len(sets))]
+            new = np.arange(int(rng.integers(0, 12)), dtype=np.uint64) + np.uint64(1000 * (k + 1))
+            sets.append(np.sort(np.r_[x[rng.random(len(x)) > rng.choice((0, 0.03, 0.08))], new]))
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        member = np.zeros((len(sets), len(values)), np.int32)
+        member[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at] = 1
+        common, n = member @ member.T, member.sum(1)
+        hit = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+        assert joined(sets, minhash.spanning_links(sets, np.zeros(len(sets), int), 85)) == joined(sets, list(zip(*np.nonzero(hit), strict=True))), turn
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, a, "r1"), (5, a + " more", "r2"), (5, b, "r3"), (9, b + " more", "r4"), (9, b + " more", "r4"), (None, a, "r5"), (11, "", "r6"), (12, None, "r7"), (12, None, "r7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()), key=str)
+    assert got == sorted([(3, 58, 3, True), (5, 59, 3, False), (5, 58, 5, True), (9, 59, 5, False), (9, 59, 5, False), (0, 58, 3, False), (11, 0, 11, True), (12, 0, 12, True), (12, 0, 12, True)], key=str)
+    left = minhash.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r.h for r in left.collect()) == ["r1", "r3", "r6", "r7"]
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "h AS __row", "1 AS node", "2 AS component", "3 AS __at")
+    assert sorted(r[2] for r in minhash.one_of_each(clash).collect()) == ["r1", "r3", "r6", "r7"]

@@ -12,7 +12,7 @@ Training uses at most max_rows labelled documents, half of each label if there a
 votes are divided by how often each label was drawn. Document frequencies are counted
 over all documents.
 
-Defined results: a null or empty text has no direction and gets the share of label 1 among the
+Defined results: all neighbours with the cosine of the K-th nearest vote with it; a null or empty text has no direction and gets the share of label 1 among the
 labelled; without labels of both kinds every score is that share, or 0.5 without any; null ids are scored
 and never trained on; repeated rows are scored each, other columns are ignored; an empty table gives
 an empty result; long texts are scored whole.
@@ -141,10 +141,10 @@ class Space:
         x = self.embed(column)
         cosine = x @ self.vectors.T
         k = min(k, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4 * self.votes[near]
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        weight = np.square(np.square(np.maximum(cosine, 0))) * self.votes * (cosine >= least)
         total = weight.sum(1)
-        return np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior).astype(float)
+        return np.where(total > 0, (weight @ self.labels) / np.maximum(total, 1e-12), self.prior).astype(float)
 
 
 def knn_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:

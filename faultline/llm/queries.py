@@ -54,7 +54,8 @@ def op8_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), repo=F.col("source"))
+    """A document stands for a repository, and its source owns it: a value in many documents of one source is that owner's."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), repo=F.col("doc_id"), owner=F.col("source"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

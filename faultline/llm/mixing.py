@@ -11,14 +11,18 @@ document is left out. A source's quota is its weight times the budget. It is dra
 (epochs): each pass orders the source's documents by blocks, the blocks by a hash of the block
 and pass, the documents in a block by a hash of the document and pass. All whole passes are
 taken, and of the last one the documents that begin before the rest of the quota is used up.
-Running sums go by block first, then within a block, so a source with a third of all
-rows is never in one task.
+
+A document is hashed by its id and text together. Where the last pass ends is found from a stored table without texts:
+first the block in which it ends, by running sums of block sizes (at most 16 ** block_digits rows a source), then
+the document, by running sums in that one block. What a row is drawn for follows from its own two hashes and
+its source's end, so texts are never shuffled, and a source with a third of all rows is never in one task.
 
 Defined results:
 - null source: a source of its own; null or empty text: no tokens, so such a row is drawn once in every whole pass;
-- null ids and repeated rows: each row is drawn by itself, ties in the order are broken by a hash of the text;
+- null ids: such rows are told apart by their texts; rows that repeat both id and text are drawn equally often, all in the
+  last pass or none;
 - an empty table, or no tokens at all: an empty mixture, or each row once;
-- other columns are carried along by mix_rows and do not clash with working names (all begin with `__mix_`).
+- other columns are ignored by mix_sources and carried along by mix_rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import BROADCAST_IDS, stored, words_of
 
 MAX_REPEATS, HALVINGS = 2.0, 40
-#: A block is named by so many leading hexadecimal digits of a hash, the more the more rows a source has.
-BLOCK_DIGITS = ((25_600_000, 2), (409_600_000, 3), (6_553_600_000, 4))
+#: A block is named by so many leading hexadecimal digits of a hash.
+BLOCK_DIGITS = 4
 
 
 def exponent(totals: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, halvings: int = HALVINGS) -> float:
@@ -64,54 +68,74 @@ def exponent(totals: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy
     return hi
 
 
-def _digits(rows: Column) -> Column:
-    out = F.lit(BLOCK_DIGITS[-1][1] + 1)
-    for most, digits in reversed(BLOCK_DIGITS):
-        out = F.when(rows <= most, digits).otherwise(out)
-    return out
+def _with(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """rows with the plan of their source; plan has n rows, which are broadcast if they are few enough."""
+    plan = plan.withColumnRenamed("source", "of_source")
+    return rows.join(F.broadcast(plan) if n <= BROADCAST_IDS else plan, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+
+
+def _hashes(epoch: Column, digits: int) -> tuple[Column, Column]:
+    """The order of a row's block in a pass, and that of the row in its block; a row's own hash is `key`."""
+    block = F.md5(F.concat_ws("|", F.lit("block"), epoch, F.substring("key", 1, digits)))
+    return block, F.md5(F.concat_ws("|", F.lit("row"), epoch, "key"))
+
 
+def _keyed(row: Column, doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """row, source, tokens and key: the columns that draws are made from."""
+    text = text.cast("string")
+    key = F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    return [row.alias("row"), source.alias("source"), F.size(words_of(text)).cast("long").alias("tokens"), key.alias("key")]
 
-def mix_rows(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
-    """All columns of rows, each row as often as it is drawn, with __mix_tokens, __mix_epoch, __mix_block and __mix_order.
 
-    Within a source the drawn stream is sorted by the last three.
+def draw_plan(rows: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget_tokens: int | None = None, block_digits: int = BLOCK_DIGITS) -> tuple[DataFrame, int]:
+    """A stored row for each source: source, full (whole passes) and where the last pass ends: end_block, end_row; and their number.
+
+    rows: a stored table of source, tokens and key.
     """
-    tokens = F.size(words_of(F.col(text_col).cast("string"))).cast("long")
-    worded = rows.withColumns({"__mix_tokens": tokens, "__mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__mix_source": F.col(source_col)})
-    totals = stored(worded.groupBy("__mix_source").agg(F.sum("__mix_tokens").alias("total"), F.count(F.lit(1)).alias("rows")))
+    totals = stored(rows.groupBy("source").agg(F.sum("tokens").alias("total")))
+    n = totals.count()
     a = exponent(totals, max_repeats, target_entropy)
-    most = totals.agg(F.max("total")).first()[0]
-    repeats = F.when(F.col("total") > 0, F.exp((F.ln(F.lit(float(most or 1))) - F.ln(F.col("total").cast("double"))) * F.lit(1.0 - a))).otherwise(F.lit(1.0))
+    most, top = totals.agg(F.max("total"), F.max(F.ln(F.col("total").cast("double")))).first()
+    repeats = F.when(F.col("total") > 0, F.exp((F.lit(float(top or 0.0)) - F.ln(F.col("total").cast("double"))) * F.lit(1.0 - a))).otherwise(F.lit(1.0))
     least = totals.agg(F.sum(F.round(repeats * F.col("total")))).first()[0]
     scale = 1.0 if budget_tokens is None or not least else budget_tokens / float(least)
     quota = F.round(repeats * F.col("total") * F.lit(scale)).cast("long")
-    plan = totals.withColumn("quota", quota).select(
-        F.col("__mix_source").alias("__mix_from"),
-        F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(1).cast("long").alias("__mix_full"),
-        F.when(F.col("total") > 0, F.pmod("quota", "total")).otherwise(0).cast("long").alias("__mix_rest"),
-        _digits(F.col("rows")).alias("__mix_digits"),
-    )
-    # sources are few beside rows, but their number is not bounded: no broadcast is asked for
-    dealt = worded.join(plan, F.col("__mix_source").eqNullSafe(F.col("__mix_from")))
-    dealt = dealt.withColumn("__mix_key", F.expr("substring(md5(__mix_id), 1, __mix_digits)"))
-    order = F.md5(F.concat_ws("|", F.lit("row"), F.col("__mix_full"), F.col("__mix_id")))
-    block = F.md5(F.concat_ws("|", F.lit("block"), F.col("__mix_full"), F.col("__mix_key")))
-    # tokens before each block in its source, from one row a block
-    sizes = dealt.groupBy("__mix_source", "__mix_key", "__mix_full").agg(F.sum("__mix_tokens").alias("__mix_size"))
-    before = F.sum("__mix_size").over(Window.partitionBy("__mix_source").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
-    blocks = sizes.select(F.col("__mix_source").alias("__s"), F.col("__mix_key").alias("__k"), F.coalesce(before, F.lit(0)).alias("__mix_before"))
-    within = Window.partitionBy("__mix_source", "__mix_key").orderBy(order, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).rowsBetween(Window.unboundedPreceding, -1)
-    started = dealt.withColumn("__mix_start", F.coalesce(F.sum("__mix_tokens").over(within), F.lit(0)))
-    started = started.join(blocks, F.col("__mix_source").eqNullSafe(F.col("__s")) & (F.col("__mix_key") == F.col("__k")))
-    last = F.when(F.col("__mix_start") + F.col("__mix_before") < F.col("__mix_rest"), 1).otherwise(0)
-    drawn = started.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_full") + last)))
-    drawn = drawn.where(F.col("__mix_epoch") < F.col("__mix_full") + last)
-    keyed = drawn.withColumns({"__mix_block": F.md5(F.concat_ws("|", F.lit("block"), "__mix_epoch", "__mix_key")), "__mix_order": F.md5(F.concat_ws("|", F.lit("row"), "__mix_epoch", "__mix_id"))})
-    return keyed.select(*[F.col(f"`{c}`") for c in rows.columns], "__mix_tokens", "__mix_epoch", "__mix_block", "__mix_order")
-
-
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """One row for each time a document is drawn: doc_id, source, n_tokens, epoch, block_key, row_key."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    out = mix_rows(narrow, **limits)
-    return out.select("doc_id", "source", F.col("__mix_tokens").alias("n_tokens"), F.col("__mix_epoch").alias("epoch"), F.col("__mix_block").alias("block_key"), F.col("__mix_order").alias("row_key"))
+    passes = totals.withColumn("quota", quota).select("source", F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(1).cast("long").alias("full"), F.when(F.col("total") > 0, F.pmod("quota", "total")).otherwise(0).cast("long").alias("rest"))
+    passes = stored(passes)
+    block, order = _hashes(F.col("full"), block_digits)
+    begun = _with(rows, passes.where("rest > 0"), n).select("source", "rest", "tokens", block.alias("block"), order.alias("order"))
+    before = lambda by: F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = begun.groupBy("source", "rest", "block").agg(F.sum("tokens").alias("tokens")).withColumn("before", before("block"))
+    ends = stored(sizes.where("before < rest and before + tokens >= rest").select("source", F.col("block").alias("end_block"), (F.col("rest") - F.col("before")).alias("left")))
+    last = _with(begun, ends, n).where("block = end_block").groupBy("source", "end_block", "left", "order").agg(F.sum("tokens").alias("tokens")).withColumn("before", before("order"))
+    last = last.where("before < left").groupBy("source", "end_block").agg(F.max("order").alias("end_row"))
+    return stored(_with(passes.select("source", "full"), last, n).select("source", "full", "end_block", "end_row").unionByName(passes.where("rest = 0").select("source", "full", F.lit("").alias("end_block"), F.lit("").alias("end_row")))), n
+
+
+def _drawn(rows: DataFrame, plan: DataFrame, n: int, digits: int) -> DataFrame:
+    """rows(row, source, tokens, key) as often as the plan draws them, with epoch, block_key and row_key."""
+    block, order = _hashes(F.col("full"), digits)
+    marked = _with(rows, plan, n).withColumns({"block": block, "order": order})
+    more = F.when((F.col("block") < F.col("end_block")) | ((F.col("block") == F.col("end_block")) & (F.col("order") <= F.col("end_row"))), 1).otherwise(0)
+    times = marked.withColumn("times", F.col("full") + more).where("times > 0")
+    each = times.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    block, order = _hashes(F.col("epoch"), digits)
+    return each.select("row", "source", "tokens", "epoch", block.alias("block_key"), order.alias("row_key"))
+
+
+def mix_rows(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_digits: int = BLOCK_DIGITS, **limits) -> DataFrame:
+    """One row for each draw: `row` (a struct of all columns of rows), source, tokens, epoch, block_key, row_key.
+
+    Within a source the drawn stream is sorted by the last three. limits: see draw_plan.
+    """
+    columns = [F.col(id_col), F.col(source_col), F.col(text_col)]
+    narrow = stored(rows.select(*_keyed(F.lit(None).cast("int"), *columns)))
+    plan, n = draw_plan(narrow, block_digits=block_digits, **limits)
+    return _drawn(rows.select(*_keyed(F.struct("*"), *columns)), plan, n, block_digits)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_digits: int = BLOCK_DIGITS, **limits) -> DataFrame:
+    """One row for each time a document is drawn: doc_id, source, n_tokens, epoch, block_key, row_key. limits: see draw_plan."""
+    narrow = stored(docs.select(*_keyed(F.col(id_col), F.col(id_col), F.col(source_col), F.col(text_col))))
+    plan, n = draw_plan(narrow, block_digits=block_digits, **limits)
+    return _drawn(narrow, plan, n, block_digits).select(F.col("row").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "epoch", "block_key", "row_key")

@@ -1,21 +1,29 @@
 """Cross-entropy difference of two matched n-gram language models.
 
 A target model (texts of trusted documents) and a background model (all documents) are bigram
-models of the same form over the whole vocabulary: every word and every pair of words is counted
-by its own 63-bit hash. The probability of a word after another is mixed from the bigram share,
-the unigram share and a uniform floor. Every token of a document
-adds ln p_target - ln p_background; the score is the mean over its tokens, so it is the background
+models of the same form over one vocabulary, the V distinct words of the corpus: every word and every
+pair of words is counted by its own 63-bit hash. The probability of a word w after h is
+
+    BIGRAM * c(h, w) / c(h) + UNIGRAM * c(w) / N + FLOOR / V
+
+with c(w) / N in place of the first share where h was never seen or w begins a text, and 1 / V in place
+of c(w) / N in a model without words. Each part is a distribution over the vocabulary and
+the end of a text, so the whole is one. Every token of a document adds
+ln p_target - ln p_background; the score is the mean over its tokens, so it is the background
 cross-entropy less the target's, in nats a token.
 
+Both models leave out the document that they score (its own counts are taken off), so a text
+is not known to a model because it was counted itself; a text that occurs twice is known.
+
 Counts are taken over all texts and are never gathered on one machine. The documents are dealt
-into parts of bounded text, as many as the input asks for. A part counts its n-grams and cuts their
+at random into parts of bounded text, as many as the input asks for. A part counts its n-grams and cuts their
 sorted hashes into ranges; a range, of which there are as many as parts, sums what all parts sent
 and answers each with the totals of its n-grams, in the order they came. So a word that all texts
 hold sends one number a part, and what the models hold grows with the input.
 
 Defined results: null or empty texts and texts without words have n_tokens 0 and score 0; with no
 target text every score is 0; null ids are scored and belong to the background alone; repeated rows count and are
-scored each, all in the part of their row; other columns are ignored; an empty table gives an empty result; long texts are read whole.
+scored each; other columns are ignored; an empty table gives an empty result; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,11 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import python_ready, flagged
+from .common import flagged, python_ready, stored
 
-#: The uniform floor gives a word a share of 2**-BITS.
-BITS = 20
-BIGRAM, UNIGRAM = 0.6, 0.39
+BIGRAM, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
 #: Bytes of text in a part, apart from a single larger text.
 PART_BYTES = 8_000_000
 
@@ -40,10 +46,10 @@ class Grams:
 
     def __init__(self, column: pa.ChunkedArray):
         h, first = tokens.words(column)
-        n = np.diff(first)
-        self.doc = np.repeat(np.arange(len(n)), n)
+        self.size = np.diff(first)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
         self.follows = np.ones(len(h), bool)
-        self.follows[first[:-1][n > 0]] = False
+        self.follows[first[:-1][self.size > 0]] = False
         before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
         pairs = tokens.mix(before * np.uint64(3) + h)[self.follows] | np.uint64(1)
         self.keys, at = np.unique(np.concatenate([h & ~np.uint64(1), pairs]), return_inverse=True)
@@ -55,14 +61,28 @@ class Grams:
         n = len(self.keys)
         return np.bincount(self.word[of], minlength=n) + np.bincount(self.pair[of[self.follows]], minlength=n)
 
-    def log_probability(self, counts: np.ndarray, words: int) -> np.ndarray:
-        """ln p of each token under the model with these counts of keys and so many words in all."""
-        own = counts[self.word]
-        share = own / max(1, words)
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each token's word, and each following token's pair, occurs in the token's own text."""
+        out = []
+        for doc, key in ((self.doc, self.word), (self.doc[self.follows], self.pair)):
+            _, at, n = np.unique(doc * len(self.keys) + key, return_inverse=True, return_counts=True)
+            out.append(n[at])
+        return out[0], out[1]
+
+    def log_probability(self, counts: np.ndarray, words: int, vocabulary: int, own: tuple[np.ndarray, np.ndarray], held: np.ndarray) -> np.ndarray:
+        """ln p of each token under the model with these counts of keys and so many words in all.
+
+        held: which texts the model has counted; these are left out.
+        """
+        mine = held[self.doc]
+        word = counts[self.word] - own[0] * mine
+        total = (words - self.size * held)[self.doc]
+        share = np.where(total > 0, word / np.maximum(total, 1), 1 / max(1, vocabulary))
         pair = share.copy()
         after = np.flatnonzero(self.follows)
-        pair[after] = counts[self.pair] / np.maximum(own[after - 1], 1)
-        return np.log(BIGRAM * pair + UNIGRAM * share + (1 - BIGRAM - UNIGRAM) / (1 << BITS))
+        context = word[after - 1]
+        pair[after] = np.where(context > 0, (counts[self.pair] - own[1] * mine[after]) / np.maximum(context, 1), share[after])
+        return np.log(BIGRAM * pair + UNIGRAM * share + FLOOR / max(1, vocabulary))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -96,7 +116,7 @@ def _count(parts: int):
 
 
 def _total(sent: pa.Table) -> pa.Table:
-    """Of one range, one row for each part: the totals of its keys, and how many words the range holds."""
+    """Of one range, one row for each part: the totals of its keys, how many words the range holds, and how many distinct ones."""
     keys = np.concatenate([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in sent["keys"].to_pylist()])
     ends = np.cumsum([len(x) // 8 for x in sent["keys"].to_pylist()]).tolist()
     distinct, at = np.unique(keys, return_inverse=True)
@@ -108,19 +128,22 @@ def _total(sent: pa.Table) -> pa.Table:
         total = np.bincount(at, own, len(distinct)).astype(np.int64)[at]
         out.append(pa.array([_packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()))
         words.append(pa.array(np.full(len(ends), own[word].sum()), pa.int64()))
-    return pa.Table.from_arrays([*out, *words], names=["part", "range", "target", "background", "n_target", "n_background"])
+    words.append(pa.array(np.full(len(ends), ((distinct & np.uint64(1)) == 0).sum()), pa.int64()))
+    return pa.Table.from_arrays([*out, *words], names=["part", "range", "target", "background", "n_target", "n_background", "n_words"])
 
 
 def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     """The number of tokens of each text of a part, and its mean loss difference."""
     grams = Grams(docs["text"])
     totals = totals.sort_by("range")
-    n, words = np.bincount(grams.doc, minlength=len(docs)), [int(totals[x].to_numpy().sum()) for x in ("n_target", "n_background")]
+    n_target, n_background, vocabulary = (int(totals[x].to_numpy().sum()) for x in ("n_target", "n_background", "n_words"))
     value = np.zeros(len(docs))
-    if words[0]:
-        target, background = (grams.log_probability(_joined(totals[x]), k) for x, k in zip(("target", "background"), words, strict=True))
-        value = np.bincount(grams.doc, target - background, len(docs)) / np.maximum(n, 1)
-    return pa.Table.from_arrays([docs["doc_id"], pa.array(n, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_tokens", "score"])
+    if n_target:
+        own, aim = grams.own(), np.asarray(docs["target"].to_numpy(), bool)
+        target = grams.log_probability(_joined(totals["target"]), n_target, vocabulary, own, aim)
+        background = grams.log_probability(_joined(totals["background"]), n_background, vocabulary, own, np.ones(len(aim), bool))
+        value = np.bincount(grams.doc, target - background, len(docs)) / np.maximum(grams.size, 1)
+    return pa.Table.from_arrays([docs["doc_id"], pa.array(grams.size, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
 
 def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +153,9 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = flagged(rows, target_ids, "doc_id", "target").select("doc_id", "text", "target", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long").alias("part"))
+    # stored, as both uses must deal alike; rows are dealt by their number, so no text or id fills a part however often it occurs
+    numbered = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
+    dealt = stored(flagged(numbered, target_ids, "doc_id", "target"))
     sent = dealt.groupBy("part").applyInArrow(_count(parts), "part long, range long, keys binary, target binary, background binary")
-    totals = sent.groupBy("range").applyInArrow(_total, "part long, range long, target binary, background binary, n_target long, n_background long")
+    totals = sent.groupBy("range").applyInArrow(_total, "part long, range long, target binary, background binary, n_target long, n_background long, n_words long")
     return dealt.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")

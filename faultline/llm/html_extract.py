@@ -15,7 +15,8 @@ The text: leaves that are content, in page order, character references decoded,
 made one space each and trimmed, joined by two line ends.
 
 Defined results: null or empty html, or no content: an empty text with n_chars 0; cut-off tags at the end of a page are
-dropped, elements that were never closed end with their parent; null ids and urls are passed on; repeated rows are read
+dropped, elements that were never closed end with their parent, and of invisible ones (scripts and style sheets apart) only the
+tag is dropped; end tags without an element are passed over; null ids and urls are passed on; repeated rows are read
 each; other columns are ignored; an empty table gives an empty result; long pages are read whole.
 """
 
@@ -25,6 +26,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,14 @@ from .boosting import Boosted
 from .common import python_ready
 
 CONTENT, BOILERPLATE, MIXED = 0, 1, 2
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
+# a quote opens a value only after =, and closes it only where the value may end; any other quote is a character like others
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:(?:"[^"]*"|'[^']*')(?=[\s/>]|\Z))?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 INVISIBLE = frozenset("script style noscript template head title svg iframe object select textarea datalist math canvas audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
+#: Invisible elements that may hold others of their name, and those whose content is never markup.
+NESTED, RAW = frozenset("template svg object".split()), frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # opening one of these ends an open one of the set
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,6 +72,8 @@ class Page:
 
     def __init__(self, source: str | None) -> None:
         self.parent, self.tag, self.bits, self.text, self.linked = [-1], ["#root"], [0], [""], [0]
+        self._unclosed: set[str] = set()
+        opened: Counter = Counter()
         source = source or ""
         stack, parts, links = [0], [], 0
         in_link, pos, n = 0, 0, len(source)
@@ -82,8 +88,6 @@ class Page:
 
         while pos < n:
             m = _TOKEN.search(source, pos)
-            if m and m.end() == n and source[-1:] != ">" and (m[2] or "") and "<" in m[3]:
-                m = _LOOSE.match(source, m.start()) or m  # an unpaired quote ran to the end
             start = m.start() if m else n
             if start > pos:
                 piece = source[pos:start]
@@ -99,9 +103,7 @@ class Page:
             if not m[1]:
                 if name in INVISIBLE:
                     if not m[3].rstrip().endswith("/"):
-                        end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
-                        body = re.compile(r"<body\b", re.I).search(source, pos) if name == "head" else None
-                        pos = min(end.end() if end else n, body.start() if body else n)
+                        pos = self._past(source, pos, name)
                     parts.append(" ")
                 elif name in INLINE:
                     in_link += name == "a"
@@ -111,7 +113,7 @@ class Page:
                         flush()
                 else:
                     flush()
-                    self._close_for(name, stack)
+                    self._close_for(name, stack, opened)
                     bits = 0
                     if m[3]:
                         for a in _ATTR.finditer(m[3]):
@@ -119,16 +121,49 @@ class Page:
                                 if w in _GROUP_OF:
                                     bits |= 1 << _GROUP_OF[w]
                     stack.append(self._add(stack[-1], name, bits, "", 0))
+                    opened[name] += 1
             elif name == "a":
                 in_link = max(0, in_link - 1)
-            elif name not in INLINE and name not in VOID and name not in INVISIBLE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        flush()
-                        del stack[k:]
-                        break
+            elif opened[name]:  # an end tag without an element is passed over
+                flush()
+                k = len(stack) - 1
+                while self.tag[stack[k]] != name:
+                    k -= 1
+                self._drop(stack, k, opened)
         flush()
 
+    def _past(self, source: str, pos: int, name: str) -> int:
+        """Where the content of an invisible element ends; pos itself if it was never closed, so that only its tag goes.
+
+        It was not closed if there is no end tag, or another element of its name begins before that (unless these nest).
+        A script or style sheet without an end runs to the end of the page, a head to the body.
+        """
+        if name in self._unclosed:
+            return pos
+        if name == "head":
+            end = re.compile(r"</head\b[^>]*(?:>|\Z)|(?=<body\b)", re.I).search(source, pos)
+            return end.end() if end else pos
+        depth = 1
+        for t in re.compile(rf"<(/?){re.escape(name)}(?![a-zA-Z0-9-])[^>]*(?:>|\Z)", re.I).finditer(source, pos):
+            if t[1]:
+                depth -= 1
+            elif name in NESTED:
+                depth += not t[0].rstrip(">").endswith("/")
+            elif name not in RAW:
+                return pos
+            if not depth:
+                return t.end()
+        if name in RAW:
+            return len(source)
+        self._unclosed.add(name)
+        return pos
+
+    def _drop(self, stack: list[int], k: int, opened: Counter) -> None:
+        """Closes the elements of the stack from its place k on."""
+        for i in stack[k:]:
+            opened[self.tag[i]] -= 1
+        del stack[k:]
+
     def _add(self, parent: int, tag: str, bits: int, text: str, linked: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
@@ -137,15 +172,15 @@ class Page:
         self.linked.append(linked)
         return len(self.tag) - 1
 
-    def _close_for(self, name: str, stack: list[int]) -> None:
+    def _close_for(self, name: str, stack: list[int], opened: Counter) -> None:
         if len(stack) > 1 and self.tag[stack[-1]] == "p":  # a block ends a paragraph
-            stack.pop()
+            self._drop(stack, len(stack) - 1, opened)
         ends = CLOSES.get(name)
-        if ends:
+        if ends and any(opened[x] for x in ends):
             for k in range(len(stack) - 1, 0, -1):
                 tag = self.tag[stack[k]]
                 if tag in ends:
-                    del stack[k:]
+                    self._drop(stack, k, opened)
                     break
                 if tag in SCOPE:
                     break

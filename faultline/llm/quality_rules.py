@@ -119,11 +119,11 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_micro: int = THRESHOLD_MICRO, buckets: int = BUCKETS) -> DataFrame:
-    """docs with a struct column __quality of all results; see quality_rules."""
+    """`row` (a struct of all columns of docs) with `quality`, a struct of all results; see quality_rules."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(let(word_codes(words_of(F.col("text"))), lambda c: ngram_buckets(c, pair_codes(c), buckets)).alias("grams"), "trusted")
     ratio = ratio_table(grams, buckets).scalar()
-    text = F.col(text_col).cast("string")
+    text = F.col("text")
 
     # one nested expression: a filter on it can be moved about without computing any part of it twice
     def result(w: Column, c: Column, p: Column, table: Column) -> Column:
@@ -139,9 +139,9 @@ def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
         kept = ~failed & (x["t"] >= threshold_micro * x["n"])
         return F.struct(*[m[k].alias(k) for k in MEASURES], failed.alias("base_failed"), kept.alias("kept"), x["n"].alias("n_grams"), x["t"].alias("score_micro"))
 
-    quality = let(F.col("__ratio"), lambda table: let(words_of(text), lambda w: let(word_codes(w), lambda c: let(pair_codes(c), lambda p: result(w, c, p, table)))))
-    # read once above, so the optimizer puts the subquery itself in the place of the column
-    return docs.withColumn("__ratio", ratio).select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("__quality"))
+    quality = let(F.col("ratio"), lambda table: let(words_of(text), lambda w: let(word_codes(w), lambda c: let(pair_codes(c), lambda p: result(w, c, p, table)))))
+    # read once, so the optimizer puts the subquery itself in the place of the column
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).withColumn("ratio", ratio).select("row", quality.alias("quality"))
 
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -151,9 +151,9 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     score_micro: millionths of a nat, summed over the n-grams.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scored(narrow, trusted_ids, **options).select("doc_id", "__quality.*")
+    return scored(narrow, trusted_ids, **options).select("row.doc_id", "quality.*")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that quality_rules keeps."""
-    return scored(docs, trusted_ids, **options).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, trusted_ids, **options).where("quality.kept").select("row.*")

@@ -48,7 +48,7 @@ from . import tokens
 from .common import BROADCAST_IDS, components, python_ready, stored
 
 #: Shingles that a block of a cluster holds, apart from a single larger text.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 200_000
 #: Stands for a null id in orders and joins: after all others.
 _LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -120,11 +120,29 @@ def test_knn_quality_separates_shapes(spark):
 
 
 def test_lm_score_prefers_the_target(spark):
-    rows = [(k, "the cat sat on the mat " * 4 if k % 2 else f"zq{k} xw{k} " * 12) for k in range(60)] + [(None, None), (99, "")]
+    rows = [(k, "the cat sat on the mat " * 4 if k % 2 else f"zq{k % 10} xw{k % 10} " * 12) for k in range(60)] + [(None, None), (99, ""), (98, "seen nowhere else at all")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ids = spark.createDataFrame([(k,) for k in range(1, 60, 4)], "doc_id long")
     got = {r.doc_id: r for r in lm_score.lm_score(docs, ids).collect()}
     assert got[3].score > 0 > got[2].score and got[99].score == 0 and got[99].n_tokens == 0
+    # a document of the target is not known to the target model because it was counted itself
+    assert abs(got[1].score - got[3].score) < 0.1 and got[98].score == 0
+
+
+def test_lm_model_is_a_distribution():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(40)] + [" ".join(words)]
+    # after each word: all words in turn
+    asked = [f"{h} {w}" for h in words[:5] for w in words]
+    grams = lm_score.Grams(pa.chunked_array([pa.array([*texts, *asked])]))
+    counted = grams.doc < len(texts)
+    p = np.exp(grams.log_probability(grams.counts(counted), int(counted.sum()), 30, grams.own(), np.zeros(len(texts) + len(asked), bool)))
+    ends = Counter(t.split()[-1] for t in texts)
+    count = Counter(w for t in texts for w in t.split())
+    for k, h in enumerate(words[:5]):
+        at = [i for i in np.flatnonzero(grams.follows & ~counted) if grams.doc[i] - len(texts) in range(30 * k, 30 * k + 30)]
+        assert abs(p[at].sum() + lm_score.BIGRAM * ends[h] / count[h] - 1) < 1e-12
 
 
 def test_lm_score_counts_each_ngram_by_itself(spark):
@@ -136,14 +154,22 @@ def test_lm_score_counts_each_ngram_by_itself(spark):
     model = {}
     for name, own in (("target", [w for k, w in split if k in aim]), ("background", [w for _, w in split])):
         model[name] = Counter(x for w in own for x in w), Counter(x for w in own for x in zip(w, w[1:], strict=False))
+    size = len(model["background"][0])
 
-    def ln(name, w, i):
+    def loss(name, w, held):
         words, pairs = model[name]
-        share = words[w[i]] / words.total()
-        pair = pairs[w[i - 1], w[i]] / max(1, words[w[i - 1]]) if i else share
-        return math.log(lm_score.BIGRAM * pair + lm_score.UNIGRAM * share + (1 - lm_score.BIGRAM - lm_score.UNIGRAM) / 2**lm_score.BITS)
+        if held:  # the document that is scored is left out
+            words, pairs = words.copy(), pairs.copy()
+            words.subtract(w)
+            pairs.subtract(zip(w, w[1:], strict=False))
+        total, out = words.total(), 0.0
+        for i, x in enumerate(w):
+            share = words[x] / total if total else 1 / size
+            pair = pairs[w[i - 1], x] / words[w[i - 1]] if i and words[w[i - 1]] else share
+            out -= math.log(lm_score.BIGRAM * pair + lm_score.UNIGRAM * share + lm_score.FLOOR / size)
+        return out
 
-    want = [(k, len(w), sum(ln("target", w, i) - ln("background", w, i) for i in range(len(w))) / max(1, len(w))) for k, w in split]
+    want = [(k, len(w), (loss("background", w, True) - loss("target", w, k in aim)) / max(1, len(w))) for k, w in split]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = lm_score.lm_score(docs, spark.createDataFrame([(k,) for k in aim], "doc_id long")).collect()
     key = lambda r: (r[0] is None, r[0], r[1])
@@ -152,6 +178,8 @@ def test_lm_score_counts_each_ngram_by_itself(spark):
     none = lm_score.lm_score(docs, spark.createDataFrame([], "doc_id long")).collect()
     assert len(none) == len(rows) and not any(r.score for r in none)
     assert lm_score.lm_score(docs.limit(0), docs.select("doc_id")).count() == 0
+    long = spark.createDataFrame([(1, "a b c " * 200_000), (1, "a b c " * 200_000), (2, "a b")], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in lm_score.lm_score(long, spark.createDataFrame([(2,)], "doc_id long")).collect()) == [2, 600_000, 600_000]
 
 
 def test_lattice_against_brute_force(spark):
@@ -169,3 +197,155 @@ def test_lattice_against_brute_force(spark):
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
     assert got[90].component_id == 0 and got[0].kept and not got[90].kept
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (500, 501, 502, 503))
+
+
+def text_of(page):
+    return " ".join(t for t in html_extract.Page(page).text if t)
+
+
+def test_broken_markup_loses_no_text():
+    assert text_of("<p title=it's>first</p><p>don't</p><p>third</p>") == "first don't third"
+    assert text_of('<p title="a>b" class=\'c>d\'>x</p>') == "x"
+    assert text_of('<a href="x>link</a> said "word" here <b class="y">z</b>') == 'link said "word" here z'
+    assert text_of("<p>one</p><video src=a.mp4><p>two</p><audio><p>three</p>") == "one two three"
+    assert text_of("<video>a</video><p>b<video src=q><p>c<video>d</video>e") == "b c e"
+    assert text_of("<svg><svg>a</svg>b</svg>c<object><p>d</p></object>e<iframe>f</iframe>g") == "c e g"
+    assert text_of("<script>if (a < b) x = '</p>';</script>a<style>b<p>c") == "a"
+    assert text_of("<head><title>t</title><body>b") == "b" and text_of("<headline>h</headline>x") == "h x"
+    assert text_of("</div></p>a</x>b<div>c</b></div>") == "a b c" or text_of("</div></p>a</x>b<div>c</b></div>") == "ab c"
+
+
+def test_unmatched_end_tags_cost_no_square():
+    import time
+
+    def cost(n):
+        start = time.process_time()
+        html_extract.Page("<div>" * n + "</p>" * n + "<svg>" * n + "<video>" * n + "a" * 10)
+        return time.process_time() - start
+
+    cost(1000)
+    assert cost(16_000) < 12 * max(cost(4000), 0.02)
+
+
+def test_pages_through_spark(spark):
+    page = "<html><body><nav><a href=x>menu</a><a href=y>more</a></nav><article><h1>Title here</h1><p>A first paragraph, with words &amp; marks.</p><p>Second  one\nis here too.</p></article><footer>Copyright</footer></body></html>"
+    rows = [(1, "u1", page, 7), (2, None, None, 7), (3, "u3", "", 7), (None, "u4", page, 7), (1, "u1", page, 7), (5, "u5", page.replace("Second", "Second " * 50_000), 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(html_extract.extract_pages(df).collect(), key=str)
+    want = "Title here\n\nA first paragraph, with words & marks.\n\nSecond one is here too."
+    assert [(r.page_id, r.text) for r in got if r.url in ("u1", "u4")] == [(1, want), (1, want), (None, want)]
+    assert all(r.n_chars == len(r.text) for r in got) and {r.page_id for r in got if not r.text} == {2, 3}
+    assert [r.n_chars for r in got if r.page_id == 5] == [len(want) + 49_999 * 7]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def naive_packing(lengths, sizes, overhead):
+    """Items one by one: (capacity, tokens) of every bin. Bins of equal room are used in the order in which they got it."""
+    rest, rooms, out = sum(lengths), {}, []
+    for length in sorted(set(lengths), reverse=True):
+        left = lengths.count(length)
+        rest -= left * length
+        while left:
+            room = min((r for r in rooms if r >= length and rooms[r]), default=None)
+            if room is None:
+
+                def cost(s, left=left, rest=rest, length=length):
+                    own = min(left, s // length) * length
+                    fill = own + min(s - own, rest)
+                    return (min(x for x in sizes if x >= fill) + overhead) / fill
+
+                size = min((s for s in sizes if s >= length), key=cost)
+                # so many bins are opened alike as can be filled with this length
+                take = min(size // length, left)
+                for _ in range(max(1, left // (size // length))):
+                    rooms.setdefault(size - take * length, []).append(size)
+                    left -= take
+                continue
+            size = rooms[room].pop(0)
+            rooms.setdefault(room - length, []).append(size)
+            left -= 1
+    for room, opened in rooms.items():
+        out += [(min(s for s in sizes if s >= size - room), size - room) for size in opened]
+    return sorted(out)
+
+
+def test_bins_against_items_one_by_one():
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes = sorted(rng.sample(range(8, 80), rng.randint(1, 4)))
+        lengths = [rng.randint(1, sizes[-1]) for _ in range(rng.randint(0, 120))]
+        ranges, bins = packing.plan_bins(Counter(lengths), sizes, 3)
+        got = sorted((int(c), int(t)) for _, n, c, t in bins for _ in range(n))
+        assert got == naive_packing(lengths, sizes, 3)
+        used = Counter()
+        for length, _, n, first, at in ranges.tolist():
+            for k in range(n):
+                used[first + k] += length
+        assert sorted(used.values()) == [t for _, t in sorted(got, key=lambda x: x[1])]
+        assert all(t <= c for c, t in got)
+
+
+def test_packing_with_texts_copies_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 3)
+    rows = [(1, "a b c", 1)] * 8 + [(1, "d e", 1), (None, "f", 1), (None, "g", 1), (2, None, 1), (3, " ".join(f"w{i}" for i in range(25)), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = packing.pack_documents(docs, with_text=True, sizes=(8, 10)).collect()
+    assert sorted(r["copy"] for r in got if r.text == "a b c") == list(range(8))
+    assert sorted(r.text for r in got if r.doc_id is None) == ["f", "g"]
+    assert [r.text for r in sorted((r for r in got if r.doc_id == 3), key=lambda r: r.piece)] == [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 10), (10, 20), (20, 25))]
+    places = [(r.bin_id, r.bin_offset + k) for r in got if r.bin_id is not None for k in range(r.n_tokens)]
+    assert len(places) == len(set(places)) == 8 * 3 + 2 + 2 + 25
+    assert packing.pack_documents(docs.limit(0), with_text=True).count() == 0
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    from faultline.llm.training import fitting, labelled_sample
+
+    assert fitting([100, 3, 3, 3, 9], [0, 0, 1, 1, 0], 20) == [False, True, True, True, True]
+    assert fitting([9, 9, 2], [0, 0, 0], 20) == [True, True, True]
+    rows = [(k, "x" * (500 if k == 7 else 10)) for k in range(50)] + [(3, "y"), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(None, 1)], "doc_id long, label int")
+    got = labelled_sample(docs, labels, 100, 491)
+    assert len(got) == 49 and 7 not in set(got["doc_id"])
+    assert labelled_sample(docs.limit(0), labels, 10).empty and labelled_sample(docs, labels.limit(0), 10).empty
+
+
+def test_toxicity_through_spark(spark):
+    texts, y = labelled(300)
+    rows = [(k, t, 1) for k, t in enumerate(texts)] + [(None, texts[0], 1), (0, texts[0], 1), (900, None, 1), (901, "", 1), (902, "alpha. " * 100_000 + "vile", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, toxic int")
+    held = F.col("doc_id") % 3 == 1
+    got = toxicity.toxicity(docs, labels, held).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert sum((by[k].score >= 0.5) == bool(y[k]) for k in range(1, 300, 3)) >= 97
+    assert by[None].score == by[0].score and not by[None].held_out and by[900].score == by[901].score
+    assert [by[902].offending[-1]] == [[700_000, 700_004]] and all(r.predicted == int(r.score >= 0.7) for r in got)
+    assert toxicity.toxicity(docs.limit(0), labels, held).count() == 0
+    assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 1"), held).collect()} == {0.5}
+
+
+def test_knn_votes_against_plain_python(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(("ab", "cd", "ef", "gh", "IJ", "12")) for _ in range(12)), 0) for k in range(120)]
+    rows += [(500, rows[3][1], 0), (501, None, 0), (502, "", 0), (None, rows[3][1], 0), (503, "ab cd " * 50_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in knn_quality.knn_quality(docs, labels, F.col("doc_id") % 5 == 0).collect()}
+    known = [k for k in range(120) if k % 5]
+    df = np.zeros(knn_quality.DIMS)
+    for _, t, _ in rows:
+        df += np.bincount(knn_quality.term_counts(pa.array([t], pa.string()))[1], minlength=knn_quality.DIMS)
+    space = knn_quality.Space([rows[k][1] for k in known], np.array([k % 2 for k in known], float), (48, 48), df.astype(np.int64), len(rows))
+    unit = lambda t: space.embed(pa.array([t]))[0].astype(float)
+    vectors = [unit(rows[k][1]) for k in known]
+    for k in (5, 10, 500, 503):
+        t = next(t for i, t, _ in rows if i == k)
+        cosine = sorted(((float(unit(t) @ v), space.votes[i], known[i] % 2) for i, v in enumerate(vectors)), key=lambda x: -x[0])
+        if abs(cosine[knn_quality.K - 1][0] - cosine[knn_quality.K][0]) > 1e-5:
+            near = [(max(c, 0) ** 4 * v, y) for c, v, y in cosine[: knn_quality.K]]
+            assert abs(got[k].score - sum(w * y for w, y in near) / sum(w for w, _ in near)) < 1e-3
+    assert got[500].score == got[3].score == got[None].score and got[501].score == got[502].score == 0.5
+    assert knn_quality.knn_quality(docs.limit(0), labels, F.col("doc_id") % 5 == 0).count() == 0

@@ -47,8 +47,9 @@ def code_tokens(code: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Values after key-like names are masked."""
-    return F.regexp_replace(text, r"(?i)(api_?key|token|password)(\s*[:=]\s*)\S+", "$1$2***")
+    """api_key lines masked to their end, and keys that begin with sk- wherever they stand."""
+    lines = F.regexp_replace(text, r"(?im)^(\s*api_key\s*:\s*)(.+)$", "$1<REDACTED>")
+    return F.regexp_replace(lines, r"sk-[A-Za-z0-9_-]{10,}", "sk-<REDACTED>")
 
 
 def patch_files(patch: Column) -> Column:
@@ -72,7 +73,7 @@ def patch_naturalness(patch: Column) -> Column:
     safe = F.coalesce(patch, F.lit(""))
     added, removed = changed_lines(safe)
     hunks = F.size(F.filter(F.split(safe, "\n"), lambda x: x.startswith("@@")))
-    text = F.array_join(F.transform(added, lambda x: F.substring(x, 2, 1_000_000)), "\n")
+    text = F.array_join(F.transform(added, lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
     sabotage = F.lit(False)
     for pattern in SABOTAGE:
         sabotage = sabotage | text.rlike(pattern)

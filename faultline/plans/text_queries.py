@@ -46,12 +46,6 @@ def patch_counts(spark, d):
     return _patches(spark, d).select("p_partkey", F.array_sort(s.patch_files(F.col("patch"))).alias("files"), F.size(added).cast("long").alias("added"), F.size(removed).cast("long").alias("removed"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '(?i)(api_?key|token|password)(\s*[:=]\s*)\S+', '\1\2***', 'g')) AS redacted FROM documents")
-def redacted_texts(spark, d):
-    """Values after key-like names masked; the digest of the whole text."""
-    return table(spark, d, "documents").select("doc_id", F.md5(s.redact(F.col("text"))).alias("redacted"))
-
-
 @query(f"SELECT item_id, len({_SPLIT}) AS n_sentences, len(list_filter({_SPLIT}, lambda x: {_GIVES})) AS n_giveaways FROM benchmark")
 def sentence_giveaways(spark, d):
     """Sentences, and those that give a repair away."""
@@ -97,15 +91,6 @@ def answers(spark, d):
     return table(spark, d, "events").select("event_id", body.alias("j")).where("j is not null").select("event_id", F.get_json_object("j", "$.kind").alias("kind"), F.get_json_object("j", "$.n").cast("long").alias("n"))
 
 
-@query("SELECT user_id, 'tests/t_' || event_type || '.py' AS file, 'test_' || user_id AS test, arg_max(CASE WHEN value > 50 THEN 'PASSED' ELSE 'FAILED' END, event_id) AS status FROM events GROUP BY ALL")
-def verbose_log(spark, d):
-    """Lines of a verbose test log; the last status of a test wins."""
-    line = F.concat(F.lit("tests/t_"), "event_type", F.lit(".py::test_"), "user_id", F.when(F.col("value") > 50, " PASSED").otherwise(" FAILED"), F.lit(" [ 10%]"))
-    part = lambda k: F.regexp_extract("line", r"^(\S+?)::(\S+) (PASSED|FAILED|SKIPPED|ERROR|XFAIL)\b", k)
-    rows = table(spark, d, "events").select("user_id", "event_id", line.alias("line")).select("user_id", "event_id", part(1).alias("file"), part(2).alias("test"), part(3).alias("status"))
-    return rows.where("status <> ''").groupBy("user_id", "file", "test").agg(F.max_by("status", "event_id").alias("status"))
-
-
 @query("SELECT turn, conv_id, n AS missing FROM (SELECT conv_id, turn, list_filter(['role', 'text'], lambda k: CASE k WHEN 'role' THEN role = 'user' ELSE len(text) < 40 END) AS n FROM conversations) WHERE len(n) > 0")
 def missing_fields(spark, d):
     """P10: the required fields that a row lacks."""

@@ -34,7 +34,7 @@ from .common import BROADCAST_IDS, components, python_ready, stored
 #: At this scale 99.9 % of pairs at a cosine of just 0.93 in 64 dimensions meet in a table (4,000 random pairs); a coarser lattice finds no more and lists ten times the candidates.
 TABLES, PROBES, SCALE = 10, 12, 3.0
 #: Members of a block, about.
-BLOCK = 2000
+BLOCK = 1000
 
 
 def _e8() -> np.ndarray:
@@ -216,7 +216,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     labels = components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     grouped = classes.select("key", "node", "n", "low").join(others, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = stored(grouped.select("key", "n", "low", F.coalesce("others", F.lit(0)).alias("others"), "component"))
-    lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    # stored apart, so that an adaptive join may split the members of a large component
+    lows = stored(grouped.groupBy("component").agg(F.min("low").alias("component_id")))
     by_key = grouped.join(lows, "component").select("key", (F.col("others") + F.col("n") - 1).alias("n_links"), F.col("component_id"))
     # rows that link with nothing get keys of their own, so they do not meet in one task
     out = marked.select("vec_id", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("vec_id", "v"))).alias("key")).join(by_key, "key", "left")

@@ -264,16 +264,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", _row_key("doc_id", "text"))
     found = stored(texts.select("doc_id", "text", "h").mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, h long, n_shingles long, digest binary, bands array<long>"))
     at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "h")
-    classes = stored(found.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min(at).alias("at"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    classes = found.where("digest is not null").groupBy("digest").agg(F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # a class is named by its smallest id, then its digest, in bytes that sort alike; so the smallest name of a component holds its smallest id
+    low = F.lpad(F.hex(F.col("at.doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    classes = stored(classes.withColumn("node", F.unhex(F.concat(low, F.hex("digest")))))
     # one text for each row key; rows that are alike meet before the shuffle
     one = texts.select(at.alias("at"), "text").groupBy("at").agg(F.first("text").alias("text"))
     links = components(_cluster_links(classes, one, words, percent))
-    named = classes.select("node", "low").join(links, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stored(named.join(lows, "component").select("node", "component", "component_id"))
+    named = classes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # rows without words have no class: each gets a key of its own, so they do not meet in one task
     key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "h")).cast("binary"))
-    return found.select("doc_id", "h", "n_shingles", "digest", key.alias("node")).join(named, "node", "left").select("doc_id", "h", "n_shingles", F.col("digest").alias("node"), "component", "component_id")
+    smallest = (F.conv(F.hex(F.substring("component", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+    out = found.select("doc_id", "h", "n_shingles", "digest", key.alias("key")).join(named.withColumnRenamed("digest", "key"), "key", "left")
+    return out.select("doc_id", "h", "n_shingles", F.col("digest").alias("node"), "component", F.nullif(smallest, F.lit(_LAST)).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:

@@ -49,11 +49,11 @@ EXTRA = (
 KINDS = [k for k, *_ in (*BASE, *EXTRA)]
 #: A value of more owners than this is an example; one that more rows than HOT_ROWS hold is joined by a broadcast.
 MAX_OWNERS, HOT_ROWS = 1, 100_000
-_SPANS = "array<struct<s:int,e:int,k:int,v:string>>"
+_SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<s, e, k, v>>: the matches of one kind; s and e are code points, v the value."""
+    """array<struct<s, k, e, v>>: the matches of one kind; s and e are code points, v the value."""
     if kind in ("hex", "mixed"):  # runs of one class: only long ones can pass, and shorter ones hide nothing
         pattern = pattern.replace("]+", f"]{{{least},}}")
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
@@ -66,7 +66,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(order).alias("k"), x["v"].alias("v")))).alias("out"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
     return F.filter(F.aggregate(steps, start, step)["out"], lambda x: F.length(x["v"]) >= least)
 
@@ -94,7 +94,7 @@ def _found(rows: DataFrame, keep_text: bool) -> DataFrame:
             each.append(F.when(F.col("text").rlike(sign), _spans(F.col("text"), k, p, g, n)).otherwise(none))
         return F.array_sort(F.concat(*each))
 
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.sha2(x["v"], 256).alias("v")))
+    hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("v")))
     apart = lambda x: ~F.exists("raw_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & ((x["k"] == KINDS.index("prefixed")) | _mixed(x["v"]))
     out = rows.withColumns({"raw_base": kinds(BASE), "raw_extra": kinds(EXTRA)})
     out = out.withColumns({"base": hashed(F.col("raw_base")), "extra": hashed(F.filter("raw_extra", apart)), "number": F.monotonically_increasing_id()})

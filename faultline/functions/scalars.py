@@ -132,3 +132,25 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
+
+
+def identifier_density(text: Column, ids: Column) -> Column:
+    """The share of identifiers that a text holds, whatever the case; 0 without identifiers."""
+    return F.when(F.size(ids) > 0, F.size(F.filter(ids, lambda x: F.lower(text).contains(F.lower(x)))) / F.size(ids)).otherwise(0.0)
+
+
+def path_words(files: Column) -> Column:
+    """Distinct words of three letters or more of an array of paths: parts of the stem, and every part of the path but tests."""
+    def words(path: Column) -> Column:
+        parts = F.filter(F.split(path, "/"), lambda x: x != "")
+        stem = F.filter(F.split(F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", ""), "_"), lambda x: F.length(x) > 2)
+        return F.concat(stem, F.transform(F.filter(parts, lambda x: (F.length(x) > 2) & (x != "tests")), lambda x: F.replace(x, F.lit(".py"), F.lit(""))))
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(files, lambda p: p != ""), words)))
+
+
+def chain_signals(text: Column, files: Column) -> Column:
+    """A struct of how many words a chain's paths have, how many of them the text holds, and their ratio (0 without any)."""
+    words = path_words(files)
+    found = F.size(F.filter(words, lambda x: F.lower(text).contains(F.lower(x))))
+    return F.struct(F.size(words).alias("n_signals"), found.alias("n_found"), F.when(F.size(words) > 0, found / F.size(words)).otherwise(0.0).alias("ratio"))

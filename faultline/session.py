@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import inspect
 import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "__faultline_shipped"
 
@@ -32,6 +36,13 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
+def python_column(f: Callable, kind: str) -> Callable:
+    """A vectorised column function of f, made when it is used: f takes and returns pandas series, and its module reaches the executors."""
+    ship(SparkSession.active())
+    f.__annotations__ = {name: pd.Series for name in (*inspect.signature(f).parameters, "return")}
+    return F.pandas_udf(f, kind)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Makes sure that there is a checkpoint folder: the one that spark.checkpoint.dir names, or one of this machine for a local master.
 

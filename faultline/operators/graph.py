@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A node without a path from an entry within the limit counts as this deep.
-DEFAULT_DEPTH = 3
+from ..session import stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -15,47 +14,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
-def depths(edges: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
-    """node and its least number of steps from any entry (column node), at most limit; breadth first, a join a step.
-
-    The frontier alone is joined, and nodes already seen leave it, so each edge is used once.
-    """
-    seen = entries.select("node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for step in range(1, limit + 1):
-        reached = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def collapse(edges: DataFrame) -> DataFrame:
     """One edge for each pair of nodes, of the type that was added last: contains, imports, invokes, inherits."""
     order = F.array_position(F.array(*[F.lit(x) for x in ("contains", "imports", "invokes", "inherits")]), F.col("type"))
     return edges.groupBy("src", "dst").agg(F.max_by("type", order).alias("type"), F.count(F.lit(1)).alias("n"))
 
 
-def neighbours(edges: DataFrame, anchors: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Counts of node types one step around each anchor, either way, the anchor included. kinds: node, type."""
-    out = edges.join(anchors, edges["src"] == anchors["anchor"]).select("anchor", F.col("dst").alias("node"))
-    into = edges.join(anchors, edges["dst"] == anchors["anchor"]).select("anchor", F.col("src").alias("node"))
-    own = anchors.select("anchor", F.col("anchor").alias("node"))
-    return out.union(into).union(own).distinct().join(kinds, "node").groupBy("anchor", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def weak_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that edges of either direction reach. Labels are halved and stored each round."""
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")).checkpoint()
+    both = stored(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct())
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")))
     for _ in range(rounds):
         if labels.where("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = low.join(top, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old").select("node", "label", (F.col("label") != F.col("old")).alias("moved")).checkpoint()
+        labels = stored(low.join(top, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -64,3 +39,79 @@ def stats(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
     out = d.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("out_degree").alias("n_edges"), F.max(F.col("in_degree") + F.col("out_degree")).alias("max_degree"), F.count_if(F.col("out_degree") == 0).alias("n_leaves"))
     return out.withColumn("density", F.round(F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)), 6))
+
+
+def defaulted(nodes: DataFrame) -> DataFrame:
+    """nodes (node, type, file_path, line_range, code) with an empty path, lines (0, 0) and an empty snippet where they are missing."""
+    lines = F.coalesce("line_range", F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    return nodes.select("node", "type", F.coalesce("file_path", F.lit("")).alias("file_path"), lines.alias("line_range"), F.coalesce("code", F.lit("")).alias("code_snippet"))
+
+
+def found_nodes(nodes: DataFrame, kind: str = "", include: str = "", exclude: str = "", code: str = "", least_in: int | None = None, most_in: int | None = None, limit: int = 20) -> DataFrame:
+    """The first nodes by name that fit: a part of the type, of the name (a glob with * or ?, else a substring, whatever the case) and of the code, and a range of in-degrees.
+
+    nodes: node, type, code, in_degree.
+    """
+    out = nodes
+    if kind:
+        out = out.where(F.lower("type").contains(kind.lower()))
+    for pattern, wanted in ((include, True), (exclude, False)):
+        if pattern:
+            glob = any(c in pattern for c in "*?")
+            hit = F.lower("node").rlike("^" + "".join({"*": ".*", "?": "."}.get(c, "\\Q" + c + "\\E") for c in pattern.lower()) + "$") if glob else F.lower("node").contains(pattern.lower())
+            out = out.where(hit if wanted else ~hit)
+    if code:
+        out = out.where(F.lower("code").contains(code.lower()))
+    if least_in is not None:
+        out = out.where(F.col("in_degree") >= least_in)
+    if most_in is not None:
+        out = out.where(F.col("in_degree") <= most_in)
+    return out.orderBy("node").limit(limit)
+
+
+def fuzzy_nodes(asked: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """asked, node, rank: the first k nodes by name that hold the asked text, whatever the case. Few texts are asked for: they are broadcast after a look at their number."""
+    few = asked.select("asked").distinct()
+    few = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("node"))
+    return nodes.select("node").join(few, F.lower("node").contains(F.lower("asked"))).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def capped_neighbours(edges: DataFrame, cap: int = 50) -> DataFrame:
+    """node, outgoing and incoming: the first `cap` neighbours by name, and n_out and n_in, how many there are. No node's neighbours are gathered beyond the cap."""
+    def side(of: str, other: str, names: str, n: str) -> DataFrame:
+        rows = edges.select(F.col(of).alias("node"), F.col(other).alias("other")).distinct()
+        first = rows.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("k") <= cap)
+        lists = first.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias(names))
+        return lists.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias(n)), "node")
+
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    both = side("src", "dst", "outgoing", "n_out").join(side("dst", "src", "incoming", "n_in"), "node", "full")
+    return both.select("node", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("incoming", none).alias("incoming"), F.coalesce("n_out", zero).alias("n_out"), F.coalesce("n_in", zero).alias("n_in"))
+
+
+def chain_metrics(chains: DataFrame, edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Measures of chains(chain, pos, node) on a graph: length, degrees, connected neighbours, types (map), difficulty and level; kinds: node, type."""
+    from ..functions.scalars import chain_difficulty
+
+    nodes = chains.join(degrees(edges), "node", "left").join(kinds, "node", "left").select("chain", "pos", "node", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("in_degree", F.lit(0)).alias("i"), F.coalesce("out_degree", F.lit(0)).alias("o"))
+    n = F.count(F.lit(1))
+    base = nodes.groupBy("chain").agg(n.alias("chain_length"), F.round(F.avg("i"), 2).alias("avg_in_degree"), F.round(F.avg("o"), 2).alias("avg_out_degree"), F.max("i").alias("max_in_degree"), F.max("o").alias("max_out_degree"), (F.sum("i") + F.sum("o")).alias("total_edges"))
+    types = nodes.groupBy("chain", "type").agg(n.alias("n")).groupBy("chain").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("node_types"))
+    follow = chains.select("chain", "pos", "node", F.lead("node").over(Window.partitionBy("chain").orderBy("pos")).alias("following")).where("following is not null")
+    linked = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    pairs = follow.select("chain", F.least("node", "following").alias("x"), F.greatest("node", "following").alias("y")).join(linked.withColumn("hit", F.lit(1)), ["x", "y"], "left").groupBy("chain").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("connected_pairs"))
+    out = base.join(types, "chain").join(pairs, "chain", "left").withColumn("connected_pairs", F.coalesce("connected_pairs", F.lit(0)))
+    out = out.withColumn("connectivity_ratio", F.when(F.col("chain_length") > 1, F.round(F.col("connected_pairs") / (F.col("chain_length") - 1), 2)).otherwise(1.0))
+    score, level = chain_difficulty(F.col("chain_length"), F.col("avg_in_degree") + F.col("avg_out_degree"), F.col("connectivity_ratio"))
+    return out.withColumn("difficulty", score).withColumn("level", level)
+
+
+def compared_chains(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """pairs(proposed, seed) with the differences of their chain_metrics, their likeness from 0 to 100 and what it recommends."""
+    side = lambda x: metrics.select(F.col("chain").alias(x), F.col("chain_length").alias(f"n_{x}"), (F.col("avg_in_degree") + F.col("avg_out_degree")).alias(f"d_{x}"), F.col("difficulty").alias(f"s_{x}"))
+    both = pairs.join(side("proposed"), "proposed").join(side("seed"), "seed")
+    out = both.select("proposed", "seed", (F.col("n_proposed") - F.col("n_seed")).alias("length_diff"), F.round(F.col("d_proposed") - F.col("d_seed"), 2).alias("avg_degree_diff"), F.round(F.col("s_proposed") - F.col("s_seed"), 2).alias("difficulty_diff"))
+    raw = 100 - F.abs("difficulty_diff") - F.abs(F.col("length_diff") * 5) - F.abs(F.col("avg_degree_diff") * 2)
+    out = out.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2))
+    return out.withColumn("recommendation", F.when(F.col("similarity") >= 80, "excellent_match").when(F.col("similarity") >= 60, "good_match").when(F.col("similarity") >= 40, "acceptable").otherwise("consider_adjustment"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, tables
-from . import gate_queries, log_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from . import gate_queries, graph_queries, log_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -39,10 +39,10 @@ def test_file_predicate(spark, d):
     return table(spark, d, "pages").select("page_id", "url", s.is_test_file(path).alias("is_test"))
 
 
-@query("SELECT doc_id, md5(trim(text)) AS hash, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \\t\\n\\r\\f\\x0B]')) AS n_code_tokens FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(trim(text)) AS hash, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \\t\\n\\r\\f\\x0B]')) AS n_code_tokens FROM documents")
 def text_hash(spark, d):
-    """content hash and code-token count of plain texts."""
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(F.trim("text")).alias("hash"), s.code_tokens(F.col("text")).cast("long").alias("n_code_tokens"))
+    """content hash and code-token count."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.trim("text")).alias("hash"), s.code_tokens(F.col("text")).cast("long").alias("n_code_tokens"))
 
 
 @query(f"""WITH t AS (SELECT item_id, text, len({_TOK}) AS n, regexp_matches(text, '(?i)\\b(when|instead of|expected|returns|produces|should|fails to)\\b') AS b,
@@ -91,26 +91,6 @@ def node_degrees(spark, d):
     return graph.degrees(edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, reach(node, depth) AS (SELECT 'r:' || r_regionkey, 0 FROM region UNION SELECT dst, depth + 1 FROM reach JOIN edges ON src = node WHERE depth < 10)
-SELECT node, min(depth) AS depth FROM reach GROUP BY node""")
-def chain_depths(spark, d):
-    """Steps from the nearest entry."""
-    from ..session import checkpoints
-
-    checkpoints(spark)
-    entries = table(spark, d, "region").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("node"))
-    return graph.depths(edges(spark, d).select("src", "dst"), entries)
-
-
-@query(f"""WITH {EDGES}, d AS (SELECT src AS anchor, dst AS node FROM edges UNION SELECT dst, src FROM edges UNION SELECT src, src FROM edges UNION SELECT dst, dst FROM edges)
-SELECT anchor, substr(node, 1, 1) AS type, count(*) AS n FROM d WHERE starts_with(anchor, 's:') GROUP BY ALL""")
-def neighbourhood(spark, d):
-    """Node types one step around each supplier."""
-    e = edges(spark, d).select("src", "dst")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return graph.neighbours(e, nodes.where("node like 's:%'").withColumnRenamed("node", "anchor"), nodes.withColumn("type", F.substring("node", 1, 1)))
-
-
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
 p AS (SELECT q.vec_id AS seed, v.vec_id AS candidate, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)) + 1e-9), 6) AS score FROM q JOIN v USING (label) WHERE q.vec_id <> v.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, candidate) AS rank FROM p) WHERE rank <= 5""")
@@ -210,10 +190,3 @@ def set_similarity(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(s.tokens(F.col("text"))).alias("w"))
     b = t.select(F.col("item_id").alias("b"), (F.col("item_id") - 1).alias("a"), F.col("w").alias("v"))
     return t.select(F.col("item_id").alias("a"), "w").join(b, "a").select("a", "b", F.round(s.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
-
-
-@query("WITH RECURSIVE e AS (SELECT 'r:' || n_regionkey AS src, 'n:' || n_nationkey AS dst FROM nation) SELECT src, list_sort(list(dst)) AS children, count(*) AS n FROM e GROUP BY src")
-def children(spark, d):
-    """The neighbours that a node contains."""
-    e = edges(spark, d).where("type = 'contains' and src like 'r:%'")
-    return e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("children"), F.count(F.lit(1)).alias("n"))

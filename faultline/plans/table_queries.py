@@ -162,13 +162,3 @@ SELECT count(*) AS n_nodes, sum(o)::BIGINT AS n_edges, max(i + o)::BIGINT AS max
 def graph_stats(spark, d):
     """Size, density, degrees and leaves."""
     return graph.stats(edges(spark, d))
-
-
-@query("""WITH n AS (SELECT n_nationkey, n_regionkey FROM nation), m AS (SELECT 'r:' || n_regionkey AS node, n_regionkey AS r FROM n UNION SELECT 'n:' || n_nationkey, n_regionkey FROM n UNION SELECT 's:' || s_suppkey, n_regionkey FROM supplier JOIN n ON s_nationkey = n_nationkey)
-SELECT node, min(node) OVER (PARTITION BY r) AS component FROM m""")
-def components(spark, d):
-    """Weakly connected components."""
-    from ..session import checkpoints
-
-    checkpoints(spark)
-    return graph.weak_components(edges(spark, d).where("type = 'contains'").select("src", "dst"))

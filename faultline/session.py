@@ -10,8 +10,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "__faultline_shipped"
@@ -38,6 +37,8 @@ def ship(spark: SparkSession) -> None:
 
 def python_column(f: Callable, kind: str) -> Callable:
     """A vectorised column function of f, made when it is used: f takes and returns pandas series, and its module reaches the executors."""
+    import pandas as pd  # not at the top: workers that need no pandas do not load it
+
     ship(SparkSession.active())
     f.__annotations__ = {name: pd.Series for name in (*inspect.signature(f).parameters, "return")}
     return F.pandas_udf(f, kind)
@@ -57,3 +58,9 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read again, without its lineage."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)

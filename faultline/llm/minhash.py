@@ -39,7 +39,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +53,7 @@ _LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles."""
     h, at = tokens.words(column)
     n, out = len(h), []
@@ -191,19 +190,18 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> li
 def _links(percent: int, words: int):
     """Compares a block of a cluster in itself; of a cut cluster it also names (b null) the members that it does not link to the hub."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").reset_index(drop=True)
-        sets = shingle_sets(pa.array(rows["text"], pa.string()), words)
+    def compare(rows: pa.Table) -> pa.Table:
+        node, hub = rows["node"].to_pylist(), rows["hub"][0].as_py()
+        sets = shingle_sets(rows["text"], words)
         found = spanning_links(sets, np.zeros(len(sets), int), percent) if len(sets) > 1 else []
-        node, hub = rows["node"].tolist(), rows["hub"][0]
         out = [(node[i], node[j]) for i, j in found]
-        if rows["k"].max() > 1:
+        if max(rows["k"].to_pylist()) > 1:
             root = np.arange(len(sets))
             for i, j in found:
                 root[root == root[j]] = root[i]
             home = root[node.index(hub)]
             out += [(node[i], None) for i in np.flatnonzero(root != home)]
-        return pd.DataFrame({"hub": [hub] * len(out), "a": [a for a, _ in out], "b": [b for _, b in out]}, dtype=object)
+        return pa.table([[hub] * len(out), [a for a, _ in out], [b for _, b in out]], schema=pa.schema([(x, pa.binary()) for x in ("hub", "a", "b")]))
 
     return compare
 
@@ -211,12 +209,11 @@ def _links(percent: int, words: int):
 def _cross_links(percent: int, words: int):
     """Links between the members that no block linked to the hub (`lone`) and a block of the cluster."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("lone", kind="stable")
-        sets = shingle_sets(pa.array(rows["text"], pa.string()), words)
-        node = rows["node"].tolist()
-        found = spanning_links(sets, rows["lone"].to_numpy().astype(int), percent) if rows["lone"].nunique() > 1 else []
-        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype=object)
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("lone")
+        node, side = rows["node"].to_pylist(), np.array(rows["lone"].to_pylist(), int)
+        found = spanning_links(shingle_sets(rows["text"], words), side, percent) if side.min() < side.max() else []
+        return pa.table([[node[i] for i, _ in found], [node[j] for _, j in found]], schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     return compare
 
@@ -235,7 +232,7 @@ def _cluster_links(classes: DataFrame, texts: DataFrame, words: int, percent: in
     # the hub is a member of every block of its cluster
     blocks = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
     first = sized.select("hub", "node", "at", "k", F.explode(blocks).alias("i")).join(texts, "at")
-    found = first.select("hub", "i", "node", "k", "text").groupBy("hub", "i").applyInPandas(_links(percent, words), "hub binary, a binary, b binary")
+    found = first.select("hub", "i", "node", "k", "text").groupBy("hub", "i").applyInArrow(_links(percent, words), "hub binary, a binary, b binary")
     if not n_big:
         return found.select("a", "b")
     found = stored(found)
@@ -250,7 +247,7 @@ def _cluster_links(classes: DataFrame, texts: DataFrame, words: int, percent: in
     left = lone.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", part("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(True).alias("lone"))
     right = sized.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), part("k").alias("i"), F.lit(False).alias("lone"))
     crossed = left.unionByName(right).join(texts, "at").select("hub", "p", "i", "node", "lone", "text")
-    return found.unionByName(crossed.groupBy("hub", "p", "i").applyInPandas(_cross_links(percent, words), "a binary, b binary"))
+    return found.unionByName(crossed.groupBy("hub", "p", "i").applyInArrow(_cross_links(percent, words), "a binary, b binary"))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; longer texts are cut at white space.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -18,7 +18,7 @@ two members that a block did link to it, nothing is left to learn. With 32 bands
 pair at 0.85 is missed by all bands with probability 7e-9.
 
 Exact copies meet first: a class holds all rows whose whole sets have the same 128-bit digest,
-which is its name, and only one text of each class takes part in the rest.
+and only one text of each class that shares a bucket takes part in the rest. Classes are numbered when they are stored.
 
 Defined results:
 - null or empty texts and texts without words: n_shingles 0, linked with nothing, own component;
@@ -201,7 +201,7 @@ def _links(percent: int, words: int):
                 root[root == root[j]] = root[i]
             home = root[node.index(hub)]
             out += [(node[i], None) for i in np.flatnonzero(root != home)]
-        return pa.table([[hub] * len(out), [a for a, _ in out], [b for _, b in out]], schema=pa.schema([(x, pa.binary()) for x in ("hub", "a", "b")]))
+        return pa.table([[hub] * len(out), [a for a, _ in out], [b for _, b in out]], schema=pa.schema([(x, pa.int64()) for x in ("hub", "a", "b")]))
 
     return compare
 
@@ -213,41 +213,51 @@ def _cross_links(percent: int, words: int):
         rows = rows.sort_by("lone")
         node, side = rows["node"].to_pylist(), np.array(rows["lone"].to_pylist(), int)
         found = spanning_links(shingle_sets(rows["text"], words), side, percent) if side.min() < side.max() else []
-        return pa.table([[node[i] for i, _ in found], [node[j] for _, j in found]], schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        return pa.table([[node[i] for i, _ in found], [node[j] for _, j in found]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return compare
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast if they are no more than BROADCAST_IDS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
 def _cluster_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of classes(node, n, bands, at); texts(at, text) has one row for each `at`."""
+    """Links (a, b) that span the components of classes(node, n, bands, at); texts has `at` and text, for some of them several times."""
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
     pairs = spread.join(hubs, "bucket").select("hub", "node").distinct()
     members = stored(pairs.join(classes.select("node", "n", "at"), "node"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """rows with the text of their `at`; only texts that are asked for are shuffled, and those that are alike meet before."""
+        asked = _few(rows.select("at").distinct())
+        return rows.join(texts.join(asked, "at", "left_semi").groupBy("at").agg(F.first("text").alias("text")), "at")
+
     # only clusters that do not fit one block are looked up; they are few, and more than can be broadcast are joined by a shuffle
     big = stored(members.groupBy("hub").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK_SHINGLES).select(F.col("hub").alias("__big"), F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("k")))
-    n_big = big.limit(BROADCAST_IDS + 1).count()
-    sized = members.join(F.broadcast(big) if n_big <= BROADCAST_IDS else big, F.col("hub") == F.col("__big"), "left") if n_big else members.withColumn("k", F.lit(None).cast("int"))
+    some = not big.isEmpty()
+    sized = members.join(_few(big), F.col("hub") == F.col("__big"), "left") if some else members.withColumn("k", F.lit(None).cast("int"))
     sized = sized.select("hub", "node", "n", "at", F.coalesce("k", F.lit(1)).alias("k"))
     # the hub is a member of every block of its cluster
     blocks = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
-    first = sized.select("hub", "node", "at", "k", F.explode(blocks).alias("i")).join(texts, "at")
-    found = first.select("hub", "i", "node", "k", "text").groupBy("hub", "i").applyInArrow(_links(percent, words), "hub binary, a binary, b binary")
-    if not n_big:
+    first = with_texts(sized.select("hub", "node", "at", "k", F.explode(blocks).alias("i")))
+    found = first.select("hub", "i", "node", "k", "text").groupBy("hub", "i").applyInArrow(_links(percent, words), "hub long, a long, b long")
+    if not some:
         return found.select("a", "b")
     found = stored(found)
     lone = stored(found.where("b is null").select("hub", F.col("a").alias("node")).distinct().join(sized, ["hub", "node"]))
     again = stored(lone.groupBy("hub").agg(F.sum("n").alias("weight")).select(F.col("hub").alias("__lone"), F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("m")))
-    n_again = again.limit(BROADCAST_IDS + 1).count()
     found = found.where("b is not null").select("a", "b")
-    if not n_again:
+    if again.isEmpty():
         return found
-    many = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+    many = _few(again)
     part = lambda x: F.pmod(F.xxhash64("node"), F.col(x)).cast("int")
     left = lone.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", part("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(True).alias("lone"))
     right = sized.join(many, F.col("hub") == F.col("__lone")).select("hub", "node", "at", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), part("k").alias("i"), F.lit(False).alias("lone"))
-    crossed = left.unionByName(right).join(texts, "at").select("hub", "p", "i", "node", "lone", "text")
-    return found.unionByName(crossed.groupBy("hub", "p", "i").applyInArrow(_cross_links(percent, words), "a binary, b binary"))
+    crossed = with_texts(left.unionByName(right)).select("hub", "p", "i", "node", "lone", "text")
+    return found.unionByName(crossed.groupBy("hub", "p", "i").applyInArrow(_cross_links(percent, words), "a long, b long"))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -261,19 +271,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", _row_key("doc_id", "text"))
     found = stored(texts.select("doc_id", "text", "h").mapInArrow(lambda it: _signatures(it, words, bands, rows), "doc_id long, h long, n_shingles long, digest binary, bands array<long>"))
     at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "h")
-    classes = found.where("digest is not null").groupBy("digest").agg(F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    # a class is named by its smallest id, then its digest, in bytes that sort alike; so the smallest name of a component holds its smallest id
-    low = F.lpad(F.hex(F.col("at.doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    classes = stored(classes.withColumn("node", F.unhex(F.concat(low, F.hex("digest")))))
-    # one text for each row key; rows that are alike meet before the shuffle
-    one = texts.select(at.alias("at"), "text").groupBy("at").agg(F.first("text").alias("text"))
-    links = components(_cluster_links(classes, one, words, percent))
-    named = classes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    classes = found.where("digest is not null").groupBy("digest").agg(F.min(at).alias("at"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    links = components(_cluster_links(classes, texts.select(at.alias("at"), "text"), words, percent))
+    named = stored(classes.select("digest", "low", "node").join(links, "node", "left").select("digest", "low", F.coalesce("component", "node").alias("component")))
+    # stored apart, so that an adaptive join may split the members of a large component
+    lows = stored(named.groupBy("component").agg(F.min("low").alias("component_id")))
+    named = named.join(lows, "component").select(F.col("digest").alias("key"), "component", "component_id")
     # rows without words have no class: each gets a key of its own, so they do not meet in one task
     key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "h")).cast("binary"))
-    smallest = (F.conv(F.hex(F.substring("component", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
-    out = found.select("doc_id", "h", "n_shingles", "digest", key.alias("key")).join(named.withColumnRenamed("digest", "key"), "key", "left")
-    return out.select("doc_id", "h", "n_shingles", F.col("digest").alias("node"), "component", F.nullif(smallest, F.lit(_LAST)).alias("component_id"))
+    out = found.select("doc_id", "h", "n_shingles", "digest", key.alias("key")).join(named, "key", "left")
+    return out.select("doc_id", "h", "n_shingles", F.col("digest").alias("node"), "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:

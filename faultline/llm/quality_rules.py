@@ -52,9 +52,17 @@ def pair_codes(codes: Column) -> Column:
     return _zipped(codes, codes, 1, lambda a, b: a * 65599 + b * 40503)
 
 
-def ngram_buckets(codes: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of all word unigrams and bigrams; buckets is a power of two."""
-    return F.concat(F.transform(codes, lambda h: h.bitwiseAND(buckets - 1)), F.transform(pairs, lambda h: F.shiftright(h, 9).bitwiseAND(buckets - 1)))
+def ngram_buckets(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, trusted) of every word unigram and bigram of rows (text, trusted); buckets is a power of two.
+
+    Words become rows before they are hashed, as rows go through generated code and the entries of arrays do not.
+    """
+    code = lambda w: F.crc32(w.cast("binary"))
+    split = rows.select("trusted", words_of(F.col("text")).alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    coded = split.select("trusted", F.explode(pairs).alias("x")).select("trusted", code(F.col("x.a")).alias("a"), code(F.col("x.b")).alias("b"))
+    both = F.array(F.col("a").bitwiseAND(buckets - 1), F.shiftright(F.col("a") * 65599 + F.col("b") * 40503, 9).bitwiseAND(buckets - 1))
+    return coded.select("trusted", F.explode(both).alias("bucket")).where("bucket is not null")
 
 
 def repeated_words(words: Column, codes: Column, pairs: Column, window: int = 5) -> Column:
@@ -100,12 +108,12 @@ def base_measures(text: Column, words: Column, codes: Column, pairs: Column) ->
 
 
 def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with `ratio`, an array of millionths of a nat by bucket, from rows of (grams array, trusted boolean).
+    """One row with `ratio`, an array of millionths of a nat by bucket, from rows of (bucket, trusted).
 
     Both multinomials have one added to each bucket of the smaller and, in proportion, to each of the larger,
     so that an n-gram seen nowhere scores 0.
     """
-    counts = grams.select(F.explode("grams").alias("bucket"), "trusted").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
     each = grams.sparkSession.range(buckets).join(counts, F.col("id") == F.col("bucket"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     # one row of as many small entries as there are buckets, whatever the corpus
     whole = each.agg(F.sum("raw").cast("double").alias("n_raw"), F.sum("target").cast("double").alias("n_target"), F.sort_array(F.collect_list(F.struct("id", "raw", "target"))).alias("all"))
@@ -121,7 +129,7 @@ def ratio_table(grams: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def scored(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_micro: int = THRESHOLD_MICRO, buckets: int = BUCKETS) -> DataFrame:
     """`row` (a struct of all columns of docs) with `quality`, a struct of all results; see quality_rules."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    grams = flagged(rows, trusted_ids, "doc_id", "trusted").select(let(word_codes(words_of(F.col("text"))), lambda c: ngram_buckets(c, pair_codes(c), buckets)).alias("grams"), "trusted")
+    grams = ngram_buckets(flagged(rows, trusted_ids, "doc_id", "trusted"), buckets)
     ratio = ratio_table(grams, buckets).scalar()
     text = F.col("text")
 

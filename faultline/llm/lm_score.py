@@ -38,7 +38,7 @@ from .common import flagged, python_ready, stored
 
 BIGRAM, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
 #: Bytes of text in a part, apart from a single larger text.
-PART_BYTES = 8_000_000
+PART_BYTES = 4_000_000
 
 
 class Grams:
@@ -54,6 +54,7 @@ class Grams:
         pairs = tokens.mix(before * np.uint64(3) + h)[self.follows] | np.uint64(1)
         self.keys, at = np.unique(np.concatenate([h & ~np.uint64(1), pairs]), return_inverse=True)
         #: where in keys each token's word and, for tokens that follow another, its pair are
+        at = at.astype(np.int32)
         self.word, self.pair = at[: len(h)], at[len(h) :]
 
     def counts(self, of: np.ndarray) -> np.ndarray:
@@ -65,8 +66,8 @@ class Grams:
         """How often each token's word, and each following token's pair, occurs in the token's own text."""
         out = []
         for doc, key in ((self.doc, self.word), (self.doc[self.follows], self.pair)):
-            _, at, n = np.unique(doc * len(self.keys) + key, return_inverse=True, return_counts=True)
-            out.append(n[at])
+            _, at, n = np.unique(doc.astype(np.int64) * len(self.keys) + key, return_inverse=True, return_counts=True)
+            out.append(n[at].astype(np.int32))
         return out[0], out[1]
 
     def log_probability(self, counts: np.ndarray, words: int, vocabulary: int, own: tuple[np.ndarray, np.ndarray], held: np.ndarray) -> np.ndarray:

@@ -155,6 +155,13 @@ def _representatives(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
+    def compare_all(rows: pa.Table) -> pa.Table:
+        """compare() of each pair of blocks that lies in a task."""
+        rows = rows.sort_by([(k, "ascending") for k in ("hub", "i", "j")]).combine_chunks()
+        keys = np.stack([rows[k].to_numpy() for k in ("hub", "i", "j")])
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]])).tolist()
+        return pa.concat_tables([compare(rows.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
     def compare(rows: pa.Table) -> pa.Table:
         """Of a pair of blocks of a cluster: node, others (copies among the members linked to it here and under no smaller hub), rep (a node it reaches)."""
         hub, i, j = (rows[k][0].as_py() for k in ("hub", "i", "j"))
@@ -186,7 +193,7 @@ def _compare(threshold: float):
         hit = np.flatnonzero(others > 0)
         return pa.table({"node": node[hit], "others": others[hit], "rep": node[_representatives(len(node), a, b)[hit]]}, schema=pa.schema([("node", pa.int64()), ("others", pa.int64()), ("rep", pa.int64())]))
 
-    return compare
+    return compare_all
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
@@ -210,7 +217,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     sized = members.join(F.broadcast(big) if n_big <= BROADCAST_IDS else big, F.col("hub") == F.col("of_hub"), "left").select("node", "hub", F.coalesce("k", F.lit(1)).alias("k"))
     dealt = sized.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("node", "hub", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(vectors, "node")
-    linked = stored(dealt.groupBy("hub", "i", "j").applyInArrow(_compare(threshold), "node long, others long, rep long"))
+    # small clusters share tasks of about BLOCK members; a block of a large one is never dealt to several
+    tasks = max(-(-sized.count() // BLOCK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)))
+    linked = stored(dealt.groupBy("task").applyInArrow(_compare(threshold), "node long, others long, rep long"))
 
     others = linked.groupBy("node").agg(F.sum("others").alias("others"))
     labels = components(linked.select(F.col("node").alias("a"), F.col("rep").alias("b")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, tables
-from . import gate_queries, graph_queries, log_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from . import chain_queries, gate_queries, graph_queries, log_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, tables
-from . import chain_queries, gate_queries, graph_queries, log_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from . import chain_queries, gate_queries, graph_queries, log_queries, seed_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-FLAGSHIP = "retrieval"
+FLAGSHIP = "candidates"
 
 
 _TOK = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
@@ -95,7 +95,7 @@ def node_degrees(spark, d):
 p AS (SELECT q.vec_id AS seed, v.vec_id AS candidate, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)) + 1e-9), 6) AS score FROM q JOIN v USING (label) WHERE q.vec_id <> v.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, candidate) AS rank FROM p) WHERE rank <= 5""")
 def retrieval(spark, d):
-    """The five nearest candidates of each seed within its label; seeds are broadcast when few."""
+    """The five nearest candidates of each seed within its label; seeds are broadcast when few."""
     v = table(spark, d, "embeddings")
     seeds = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), "label", F.col("embedding").alias("q"))
     pairs = v.join(seeds, "label").where("seed <> vec_id").select("seed", F.col("vec_id").alias("candidate"), F.round(s.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))

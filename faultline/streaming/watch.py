@@ -10,12 +10,43 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def new_details(spark: SparkSession, folder: str, schema: StructType, key: str = "instance_id", done: DataFrame | None = None) -> DataFrame:
-    """A stream of detail files as they arrive, each key once, without the keys that are done (one column)."""
-    rows = spark.readStream.schema(schema).option("multiLine", True).json(folder)
+def new_details(spark: SparkSession, folder: str, schema: StructType, key: str = "instance_id", done: DataFrame | None = None, late: str = "7 days") -> DataFrame:
+    """A stream of detail files as they arrive, each key once, without the keys that are done (one column).
+
+    A key is remembered for `late` after its file's time of change, so what is remembered is bounded; what comes again
+    later is among the done ones by then.
+    """
+    rows = spark.readStream.schema(schema).option("multiLine", True).json(folder).withColumn("__at", F.col("_metadata.file_modification_time"))
     if done is not None:
-        rows = rows.join(done.select(F.col(done.columns[0]).alias(key)), key, "left_anti")
-    return rows.dropDuplicates([key])
+        rows = rows.join(done.select(F.col(done.columns[0]).alias(key)).distinct(), key, "left_anti")
+    return rows.withWatermark("__at", late).dropDuplicatesWithinWatermark([key]).drop("__at")
+
+
+def progress(spark: SparkSession, folder: str, schema: StructType, expected: DataFrame, done_marker: str, by: str = "repo") -> Callable[[DataFrame, int], None]:
+    """A handler for drain(): after each batch, counts of results by repository against those expected (by, expected) go to <marker>/progress; when none is missing, <marker>/complete is written."""
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.format("noop").mode("overwrite").save()  # the keys of the whole batch are remembered
+        actual = spark.read.schema(schema).option("multiLine", True).json(folder).groupBy(by).agg(F.count(F.lit(1)).alias("actual"))
+        state = expected.join(actual, by, "full").select(by, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")).withColumn("complete", F.col("actual") >= F.col("expected"))
+        state.write.mode("overwrite").json(f"{done_marker}/progress")
+        if state.where("not complete").isEmpty():
+            state.coalesce(1).write.mode("overwrite").json(f"{done_marker}/complete")
+
+    return handle
+
+
+def ends_with_marker(spark: SparkSession, log: str, marker: str, tail: int = 256 * 1024) -> bool:
+    """Does the last part of a log hold the marker? For a look from time to time whether to stop a stream; only a byte count of the file's end is kept."""
+    bytes_ = spark.read.format("binaryFile").load(log).select(F.decode(F.expr(f"substring(content, greatest(length(content) - {tail} + 1, 1), {tail})"), "UTF-8").alias("t"))
+    return not bytes_.where(F.col("t").contains(marker)).isEmpty()
+
+
+def stop_at_marker(query: StreamingQuery, spark: SparkSession, log: str, marker: str) -> bool:
+    """Stops a stream once the log holds the marker; was it stopped?"""
+    if ends_with_marker(spark, log, marker):
+        query.stop()
+        return True
+    return False
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:

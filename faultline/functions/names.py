@@ -78,6 +78,28 @@ def same_file(guess: Column, actual: Column) -> Column:
     return F.coalesce(known & (F.substring_index(a, "/", -1) == F.substring_index(b, "/", -1)), F.lit(False))
 
 
+#: Kinds of repair and the words that stand for them.
+KIND_WORDS = {
+    "condition refinement": ("condition", "if statement", "guard", "check", "boolean"),
+    "argument update": ("argument", "parameter", "function call", "passing"),
+    "statement insertion": ("add", "insert", "missing", "new line"),
+    "constant update": ("constant", "value", "literal", "number", "string"),
+    "type cast": ("type", "cast", "convert", "coerce"),
+    "guard clause": ("guard", "check", "validation", "early return"),
+    "var replace": ("variable", "rename", "replace", "swap"),
+    "return value": ("return", "output", "result"),
+}
+
+
+def same_kind(guess: Column, actual: Column) -> Column:
+    """Does a guessed kind of repair mean the actual one: does either name hold the other, or the guess a word for it? A guess that cannot tell never does."""
+    plain = lambda c: F.translate(F.lower(F.trim(c)), "_-", "  ")
+    g, a = plain(guess), plain(actual)
+    known = (F.length(guess) > 0) & (F.length(actual) > 0) & ~F.lower(guess).contains("cannot_determine")
+    worded = reduce(lambda x, y: x | y, [a.contains(k) & reduce(lambda x, y: x | y, [g.contains(w) for w in ws]) for k, ws in KIND_WORDS.items()])
+    return F.coalesce(known & (g.contains(a) | a.contains(g) | worded), F.lit(False))
+
+
 def leak_score(file_match: Column, type_match: Column, confidence: Column) -> Column:
     """0.35 for each match, and 0.30 or 0.15 for high or middling confidence; 1 at most."""
     base = F.when(file_match, 0.35).otherwise(0.0) + F.when(type_match, 0.35).otherwise(0.0)

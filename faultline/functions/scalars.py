@@ -115,7 +115,8 @@ def impact(p2f: Column, p2p: Column) -> tuple[Column, Column]:
 
 def composite(failure: Column, impact_: Column, natural: Column, report: Column, alignment: Column) -> tuple[Column, Column]:
     """The composite score of a defect and its tier; a fifth of the weight is held at one half."""
-    q = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.15 * failure + 0.15 * impact_ + 0.15 * natural + 0.15 * report + 0.20 * alignment + 0.1)), 3)
+    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.15 * failure + 0.15 * impact_ + 0.15 * natural + 0.15 * report + 0.20 * alignment + 0.1))
+    q = F.floor(raw * 1000 + 0.5) / 1000  # of the binary value: F.round would go by its shortest decimal form
     return q, F.when(q >= 0.7, "A").when(q >= 0.5, "B").when(q >= 0.3, "C").otherwise("D")
 
 

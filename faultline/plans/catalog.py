@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, tables
+from ..operators.retrieval import similarities
 from . import answer_queries, chain_queries, gate_queries, graph_queries, log_queries, repository_queries, seed_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -97,8 +98,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DES
 def retrieval(spark, d):
     """The five nearest candidates of each seed within its label; seeds are broadcast when few."""
     v = table(spark, d, "embeddings")
-    seeds = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), "label", F.col("embedding").alias("q"))
-    pairs = v.join(seeds, "label").where("seed <> vec_id").select("seed", F.col("vec_id").alias("candidate"), F.round(s.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    pool = v.select(F.col("label").alias("pool"), F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    seeds = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("label").alias("pool"), F.col("embedding").alias("v"))
+    pairs = similarities(seeds, pool).where("seed <> node").select("seed", F.col("node").alias("candidate"), F.round("score", 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "candidate"))
     return pairs.withColumn("rank", rank).where("rank <= 5")
 
@@ -130,8 +132,9 @@ def spearman(spark, d):
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, grouping(o_orderpriority, o_orderstatus) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority, o_orderstatus), (o_orderpriority))")
 def status_counts(spark, d):
     """A1: status counts in all and by group, in one pass."""
-    table(spark, d, "orders").createOrReplaceTempView("__orders")
-    return spark.sql("SELECT o_orderpriority, o_orderstatus, count(*) AS n, cast(grouping_id(o_orderpriority, o_orderstatus) AS bigint) AS level FROM __orders GROUP BY o_orderpriority, o_orderstatus GROUPING SETS ((o_orderstatus), (o_orderpriority, o_orderstatus), (o_orderpriority))")
+    p, t = "o_orderpriority", "o_orderstatus"
+    sets = table(spark, d, "orders").groupingSets([[t], [p, t], [p]], p, t)
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.grouping_id(p, t).cast("long").alias("level"))
 
 
 @query("SELECT event_type AS model, count(*) AS calls, sum(floor(value))::BIGINT AS input_tokens, sum(user_id)::BIGINT AS output_tokens, round(sum(floor(value)) / 1e6 * 0.574::DOUBLE + sum(user_id) / 1e6 * 2.294::DOUBLE, 6) AS cost FROM events GROUP BY ROLLUP (event_type)")

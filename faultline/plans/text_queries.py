@@ -97,3 +97,16 @@ def missing_fields(spark, d):
     role, text = F.when(F.col("role") != "user", F.col("role")), F.when(F.length("text") >= 40, F.col("text"))
     missing = F.array_compact(F.array(F.when(role.isNull(), "role"), F.when(text.isNull(), "text")))
     return table(spark, d, "conversations").select("conv_id", "turn", missing.alias("missing")).where(F.size("missing") > 0)
+
+
+_KINDS = ("Condition_Refinement", "Argument-Update", "statement insertion", "Constant_Update", "Type_Cast_Fix", "Guard_Clause_Addition", "Var_Replace", "Return_Value", "Else")
+_GUESS = ("a new if statement", "wrong parameter", "insert it", "the literal 3", "CANNOT_DETERMINE cast", "early return", "rename x", "output", "Argument Update", "else", "", "Condition refinement of x")
+_PICK = lambda values, key: "CASE " + key + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+_MEANT = " OR ".join(f"(contains(a, '{k}') AND ({' OR '.join(f"contains(g, '{w}')" for w in ws)}))" for k, ws in names.KIND_WORDS.items())
+
+
+@query(f"WITH c AS (SELECT c_custkey, {_PICK(_GUESS, 'c_custkey % 12')} AS guess, lower(replace(replace({_PICK(_GUESS, 'c_custkey % 12')}, '_', ' '), '-', ' ')) AS g, lower(replace(replace({_PICK(_KINDS, 'c_nationkey % 9')}, '_', ' '), '-', ' ')) AS a FROM customer) SELECT c_custkey, guess <> '' AND NOT contains(lower(guess), 'cannot_determine') AND (contains(g, a) OR contains(a, g) OR {_MEANT}) AS same FROM c")
+def same_kinds(spark, d):
+    """does a guess mean the kind of repair?"""
+    guess, actual = F.expr(_PICK(_GUESS, "c_custkey % 12")), F.expr(_PICK(_KINDS, "c_nationkey % 9"))
+    return table(spark, d, "customer").select("c_custkey", names.same_kind(guess, actual).alias("same"))

@@ -31,11 +31,11 @@ DULL_STEMS = ("__init__", "utils", "base", "models", "views", "tests")
 DULL_FOLDERS = ("src", "lib", "django", "tests", "__pycache__")
 
 
-def crash(before: Column, after: Column) -> Column:
-    """The kind of crash that only the second log shows, or null."""
-    clean = ~reduce(lambda a, b: a | b, [F.coalesce(before, F.lit("")).contains(sign) for sign, _ in CRASHES])
-    kinds = F.coalesce(*[F.when(after.contains(sign), F.lit(kind)) for sign, kind in CRASHES])
-    return F.when(clean, kinds)
+def crash(before: Column, after: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
+    """The kind of crash that only the second log shows, or null; extra: further signs of a repository, after the common ones."""
+    signs = (*CRASHES, *extra)
+    clean = ~reduce(lambda a, b: a | b, [F.coalesce(before, F.lit("")).contains(sign) for sign, _ in signs])
+    return F.when(clean, F.coalesce(*[F.when(after.contains(sign), F.lit(kind)) for sign, kind in signs]))
 
 
 def gives_away(sentence: Column) -> Column:
@@ -104,13 +104,3 @@ def leak_score(file_match: Column, type_match: Column, confidence: Column) -> Co
     """0.35 for each match, and 0.30 or 0.15 for high or middling confidence; 1 at most."""
     base = F.when(file_match, 0.35).otherwise(0.0) + F.when(type_match, 0.35).otherwise(0.0)
     return F.least(F.lit(1.0), base + F.when(confidence > 0.7, 0.3).when(confidence > 0.4, 0.15).otherwise(0.0))
-
-
-def between_markers(output: Column, start: str, end: str) -> Column:
-    """The text between two markers, or null if either is missing."""
-    return F.when(output.contains(start) & output.contains(end), F.substring_index(F.substring_index(output, start, -1), end, 1))
-
-
-def fenced_json(answer: Column) -> Column:
-    """The outermost braces of an answer, or null."""
-    return F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit(""))

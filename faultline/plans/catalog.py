@@ -32,12 +32,14 @@ def word_entropy(spark, d):
     return tables.entropy(words, "item_id", "w").select("item_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query("""SELECT page_id, url, contains(p, 'tests/') OR contains(p, 'test/') OR contains(p, '/testing/') OR starts_with(n, 'test_') OR n LIKE '%\\_test.py' ESCAPE '\\' OR n LIKE '%\\_tests.py' ESCAPE '\\' OR n IN ('tests.py', 'conftest.py', 'test.py') AS is_test
-FROM (SELECT page_id, url, p, list_extract(string_split(p, '/'), -1) AS n FROM (SELECT page_id, url, lower(CASE WHEN page_id % 3 = 0 THEN 'src/tests/a.py' WHEN page_id % 3 = 1 THEN 'src/test_' || page_id || '.py' ELSE 'src/mod' || page_id || '.py' END) AS p FROM pages))""")
+_PATH = "CASE page_id % 13 WHEN 0 THEN concat('Src/Tests/a', page_id, '.py:X') WHEN 1 THEN concat('src/test_', page_id, '.py') WHEN 2 THEN concat('src/mod', page_id, '_tests.py') WHEN 3 THEN concat('src/contest/x', page_id, '.py') WHEN 4 THEN concat('lib/testing/h', page_id, '.py:f') WHEN 5 THEN 'conftest.py' WHEN 6 THEN concat('x', page_id, '/tests.py:f') WHEN 7 THEN concat('a/latest', page_id, '.py') WHEN 8 THEN concat('a', page_id, '/TEST.py') WHEN 9 THEN concat('x/y', page_id, '_test.py:C.m') WHEN 10 THEN concat('pkg/m', page_id, '.py:test_f') WHEN 11 THEN concat('testing/t', page_id, '.py') ELSE concat('a/attest', page_id, '/b.py') END"
+
+
+@query(f"""SELECT page_id, url, contains(p, 'tests/') OR contains(p, 'test/') OR contains(p, '/testing/') OR starts_with(n, 'test_') OR n LIKE '%\\_test.py' ESCAPE '\\' OR n LIKE '%\\_tests.py' ESCAPE '\\' OR n IN ('tests.py', 'conftest.py', 'test.py') AS is_test
+FROM (SELECT page_id, url, p, list_extract(string_split(p, '/'), -1) AS n FROM (SELECT page_id, url, lower(string_split({_PATH}, ':')[1]) AS p FROM pages))""")
 def test_file_predicate(spark, d):
     """Does a path belong to a test?"""
-    path = F.when(F.col("page_id") % 3 == 0, "src/tests/a.py").when(F.col("page_id") % 3 == 1, F.concat(F.lit("src/test_"), "page_id", F.lit(".py"))).otherwise(F.concat(F.lit("src/mod"), "page_id", F.lit(".py")))
-    return table(spark, d, "pages").select("page_id", "url", s.is_test_file(path).alias("is_test"))
+    return table(spark, d, "pages").select("page_id", "url", s.is_test_file(F.expr(_PATH)).alias("is_test"))
 
 
 @query("SELECT doc_id, md5(trim(text)) AS hash, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \\t\\n\\r\\f\\x0B]')) AS n_code_tokens FROM documents")

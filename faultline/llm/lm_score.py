@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import flagged, python_ready, stored
+from .common import flagged, python_ready
 
 BIGRAM, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
 #: Bytes of text in a part, apart from a single larger text.
-PART_BYTES = 4_000_000
+PART_BYTES = 6_000_000
 
 
 class Grams:
@@ -139,24 +139,31 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     totals = totals.sort_by("range")
     n_target, n_background, vocabulary = (int(totals[x].to_numpy().sum()) for x in ("n_target", "n_background", "n_words"))
     value = np.zeros(len(docs))
+    counts = [_joined(totals[x]) for x in ("target", "background")]
+    if any(len(c) != len(grams.keys) for c in counts):
+        raise RuntimeError("the rows were dealt in two ways: give a table that is read from files or stored")
     if n_target:
         own, aim = grams.own(), np.asarray(docs["target"].to_numpy(), bool)
-        target = grams.log_probability(_joined(totals["target"]), n_target, vocabulary, own, aim)
-        background = grams.log_probability(_joined(totals["background"]), n_background, vocabulary, own, np.ones(len(aim), bool))
+        target = grams.log_probability(counts[0], n_target, vocabulary, own, aim)
+        background = grams.log_probability(counts[1], n_background, vocabulary, own, np.ones(len(aim), bool))
         value = np.bincount(grams.doc, target - background, len(docs)) / np.maximum(grams.size, 1)
     return pa.Table.from_arrays([docs["doc_id"], pa.array(grams.size, pa.int64()), pa.array(value, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
 
 def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_tokens, score (higher: nearer to the target). target_ids: one column of ids."""
+    """One row for each document: doc_id, n_tokens, score (higher: nearer to the target). target_ids: one column of ids.
+
+    docs is read from files or stored, so that a second reading gives its rows in the same places.
+    """
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # stored, as both uses must deal alike; rows are dealt by their number, so no text or id fills a part however often it occurs
+    # rows are dealt by their place, so no text or id fills a part however often it occurs; both uses read one shuffle,
+    # and _score would notice if they did not
     numbered = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
-    dealt = stored(flagged(numbered, target_ids, "doc_id", "target"))
+    dealt = flagged(numbered, target_ids, "doc_id", "target")
     sent = dealt.groupBy("part").applyInArrow(_count(parts), "part long, range long, keys binary, target binary, background binary")
     totals = sent.groupBy("range").applyInArrow(_total, "part long, range long, target binary, background binary, n_target long, n_background long, n_words long")
     return dealt.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import html_extract, knn_quality, lattice, lm_score, mixing, packing, secret_scan, toxicity
@@ -349,3 +350,32 @@ def test_knn_votes_against_plain_python(spark):
             assert abs(got[k].score - sum(w * y for w, y in near) / sum(w for w, _ in near)) < 1e-3
     assert got[500].score == got[3].score == got[None].score and got[501].score == got[502].score == 0.5
     assert knn_quality.knn_quality(docs.limit(0), labels, F.col("doc_id") % 5 == 0).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_owners_tell_examples_from_live_values(spark, monkeypatch, hot):
+    monkeypatch.setattr(secret_scan, "HOT_ROWS", hot)
+    one, two, three = (f"Zx9Kq2Lm8Wp4Rt6Yv1Bn3Cd{k}" for k in "abc")
+    rows = [(k, f"key {one} in it", f"owner{k}/repo") for k in range(5)] + [(10 + k, f"key {two} in it", f"acme/repo{k}") for k in range(5)]
+    rows += [(20, f"{'w ' * 200_000}{three} {one}", "solo/r"), (21, f"{two} and {two}", None), (22, "nothing", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert all(got[k].spans == "" and (got[k].n_live, got[k].n_example) == (0, 1) for k in range(5))
+    # one owner, however many repositories; but a null owner is another one
+    assert all((got[10 + k].n_live, got[10 + k].n_example) == (0, 1) for k in range(5)) and got[21].n_example == 1
+    assert got[20].spans == "mixed:400000:400024" and (got[20].n_live, got[20].n_example) == (1, 1) and got[22].spans == ""
+    own = {r.doc_id: r for r in secret_scan.scan_secrets(docs.where("doc_id between 10 and 20"), repo=F.col("source")).collect()}
+    assert all(own[10 + k].spans == "mixed:4:28" and own[10 + k].n_live == 1 for k in range(5))
+    found = secret_scan._found(docs.selectExpr("doc_id AS row", "text", "coalesce(source, '') AS repo", "substring_index(coalesce(source, ''), '/', 1) AS owner"), keep_text=False)
+    assert sorted((r.n_repos, r.n_owners) for r in secret_scan.verdicts(found).collect()) == [(1, 1), (6, 2), (6, 6)]
+
+
+def test_mixing_reads_long_texts_and_tells_null_ids_apart(spark):
+    rows = [(None, f"text number {k}", "a") for k in range(50)] + [(1, "w " * 300_000, "b"), (2, "w", None), (2, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, max_repeats=2.0).collect()
+    assert len({r.block_key for r in got if r.source == "a" and r.epoch == 0}) > 40
+    assert sum(r.n_tokens for r in got if r.source == "b") == 300_000
+    assert sum(r.source is None and r.epoch == 0 for r in got) == 2
+    few = mixing.mix_sources(docs, max_repeats=1.0, budget_tokens=150_000).collect()
+    assert all(r.epoch == 0 for r in few)

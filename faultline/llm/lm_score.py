@@ -38,7 +38,7 @@ from .common import flagged, python_ready
 
 BIGRAM, UNIGRAM, FLOOR = 0.6, 0.39, 0.01
 #: Bytes of text in a part, apart from a single larger text.
-PART_BYTES = 6_000_000
+PART_BYTES = 5_000_000
 
 
 class Grams:

@@ -74,9 +74,7 @@ def patch_naturalness(patch: Column) -> Column:
     added, removed = changed_lines(safe)
     hunks = F.size(F.filter(F.split(safe, "\n"), lambda x: x.startswith("@@")))
     text = F.array_join(F.transform(added, lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
-    sabotage = F.lit(False)
-    for pattern in SABOTAGE:
-        sabotage = sabotage | text.rlike(pattern)
+    sabotage = text.rlike("(?m)" + "|".join(p.removeprefix("(?m)") for p in SABOTAGE))
     n = F.size(added) + F.size(removed)
     score = F.when(n == 0, 0.0).when(sabotage, 0.2).when((n <= 5) & (hunks == 1), 1.0).when((n <= 10) & (hunks == 1), 0.9).when(n <= 10, 0.7).when(n <= 20, 0.5).otherwise(0.3)
     return F.struct(n.alias("changed_lines"), F.size(added).alias("added_lines"), F.size(removed).alias("removed_lines"), hunks.alias("hunk_count"), (hunks == 1).alias("is_single_hunk"), sabotage.alias("sabotage_detected"), score.alias("naturalness_score"))

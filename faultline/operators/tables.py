@@ -51,18 +51,6 @@ def entropy(words: DataFrame, key: str, word: str) -> DataFrame:
     return counts.groupBy(key).agg(F.when(total > 1, F.log2(total.cast("double")) - logs / total).otherwise(0.0).alias("entropy"))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at n div 2 of the sorted values, as a grouped aggregate."""
-    a = F.array_sort(F.collect_list(value))
-    return F.get(a, F.expr("0") + F.floor(F.size(a) / 2).cast("int"))
-
-
-def first_match(rows: DataFrame, rules: DataFrame, hit: Column, keys: list[str], order: str) -> DataFrame:
-    """rows with the first rule, by its order, that the condition accepts; without one, nulls. rules is a fixed small table."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
-    return rows.join(F.broadcast(rules), hit, "left").withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
-
-
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal values: __run numbers them within a key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -379,3 +379,34 @@ def test_mixing_reads_long_texts_and_tells_null_ids_apart(spark):
     assert sum(r.source is None and r.epoch == 0 for r in got) == 2
     few = mixing.mix_sources(docs, max_repeats=1.0, budget_tokens=150_000).collect()
     assert all(r.epoch == 0 for r in few)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_dense_groups_in_blocks_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    base = rng.standard_normal((3, 32))
+    x = np.concatenate([base[k] + 0.05 * rng.standard_normal((n, 32)) for k, n in enumerate((40, 15, 3))] + [rng.standard_normal((20, 32))])
+    x = np.concatenate([x, x[:6], x[3:5]])
+    ids = rng.permutation(len(x))
+    label = np.r_[np.zeros(40), np.ones(15), np.zeros(3), np.arange(20) % 2, np.zeros(6), np.zeros(2)].astype(int)
+    rows = [(int(i), [float(v) for v in vec], int(y), 1) for i, vec, y in zip(ids, x, label, strict=True)] + [(None, [float(v) for v in x[0]], 0, 1), (901, None, 0, 1), (902, [1.0] * 8, 0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int")
+    got = {r.vec_id: r for r in lattice.near_duplicates(df).collect()}
+    y = np.concatenate([x, x[:1]])
+    u = y / np.linalg.norm(y, axis=1, keepdims=True)
+    lab = np.r_[label, 0]
+    link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
+    assert [got[int(i)].n_links for i in ids] == [int(n) - 1 for n in link.sum(1)[:-1]] and got[None].n_links == link[-1].sum() - 1
+    low = {}
+    for k, i in enumerate(ids):
+        reach = {k}
+        while True:
+            more = set(np.flatnonzero(link[list(reach)].any(0)).tolist())
+            if more <= reach:
+                break
+            reach |= more
+        low[int(i)] = min(int(ids[m]) for m in reach if m < len(ids))
+    assert {k: r.component_id for k, r in got.items() if k is not None and k < 900} == low
+    assert got[901].n_links == got[902].n_links == 0 and got[901].component_id == 901
+    assert lattice.near_duplicates(df.limit(0)).count() == 0

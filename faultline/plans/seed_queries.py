@@ -38,7 +38,7 @@ both_ways AS (SELECT src AS a, dst AS b FROM code UNION SELECT dst, src FROM cod
 e AS (SELECT anchor, count(*) AS n FROM (SELECT DISTINCT src, dst FROM code) JOIN m ON src = node WHERE EXISTS (SELECT 1 FROM m y WHERE y.anchor = m.anchor AND y.node = dst) GROUP BY anchor),
 g AS (SELECT anchor, count(*) AS n, count(*) FILTER (type = 'function') AS f, count(*) FILTER (type = 'file') AS i, count(*) FILTER (type = 'directory') AS d, count(*) FILTER (type IS NULL) AS u, coalesce(any_value(e.n), 0) AS edges FROM m LEFT JOIN code_nodes USING (node) LEFT JOIN e USING (anchor) GROUP BY anchor),
 s AS (SELECT seed, near.node, score, 0.7::DOUBLE * (a.f * b.f + a.i * b.i + a.d * b.d + a.u * b.u) / (sqrt(a.f * a.f + a.i * a.i + a.d * a.d + a.u * a.u) * sqrt(b.f * b.f + b.i * b.i + b.d * b.d + b.u * b.u)) + 0.3::DOUBLE * (1 - least(abs(a.edges / (a.n + 1e-9) - b.edges / (b.n + 1e-9)), 1)) AS topology FROM near JOIN g a ON a.anchor = home JOIN g b ON b.anchor = near.node),
-r AS (SELECT *, 0.4::DOUBLE * score + 0.6::DOUBLE * topology AS final FROM s) SELECT seed, node, round(score, 6) AS vector_score, round(topology, 6) AS topology_score, round(final, 6) AS final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY final DESC, node) AS rank FROM r) WHERE rank <= 5""")
+r AS (SELECT *, 0.4::DOUBLE * score + 0.6::DOUBLE * topology AS final FROM s) SELECT seed, node, round(score, 6) AS vector_score, round(topology, 6) AS topology_score, round(final, 6) AS final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(final, 9) DESC, node) AS rank FROM r) WHERE rank <= 5""")
 def candidates(spark, d):
     """Candidates by cosine, depth, compatibility and topology."""
     seeds, pool, originals, depths, pairs, e, nodes = _retrieval(spark, d)
@@ -46,6 +46,19 @@ def candidates(spark, d):
     return out.select("seed", "node", *[F.round(c, 6).alias(c) for c in ("vector_score", "topology_score", "final_score")], "rank")
 
 
+@query(f"""WITH RECURSIVE {_BASE}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || node)) AS k FROM x WHERE NOT original) WHERE k <= 50),
+both_ways AS (SELECT src AS a, dst AS b FROM code UNION SELECT dst, src FROM code), hubs AS (SELECT node FROM near UNION SELECT home FROM near), m AS (SELECT node AS anchor, node FROM hubs UNION SELECT a, b FROM hubs JOIN both_ways ON a = node),
+e AS (SELECT anchor, count(*) AS n FROM (SELECT DISTINCT src, dst FROM code) JOIN m ON src = node WHERE EXISTS (SELECT 1 FROM m y WHERE y.anchor = m.anchor AND y.node = dst) GROUP BY anchor),
+g AS (SELECT anchor, count(*) AS n, count(*) FILTER (type = 'function') AS f, count(*) FILTER (type = 'file') AS i, count(*) FILTER (type IS NULL) AS u, coalesce(any_value(e.n), 0) AS edges FROM m LEFT JOIN code_nodes USING (node) LEFT JOIN e USING (anchor) GROUP BY anchor),
+s AS (SELECT seed, near.node, 0.6::DOUBLE * (0.7::DOUBLE * (a.f * b.f + a.i * b.i + a.u * b.u) / (sqrt(a.f * a.f + a.i * a.i + a.u * a.u) * sqrt(b.f * b.f + b.i * b.i + b.u * b.u)) + 0.3::DOUBLE * (1 - least(abs(a.edges / (a.n + 1e-9) - b.edges / (b.n + 1e-9)), 1))) AS final FROM near JOIN g a ON a.anchor = home JOIN g b ON b.anchor = near.node)
+SELECT seed, node, round(final, 6) AS final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(final, 9) DESC, node) AS rank FROM s) WHERE rank <= 5""")
+def candidate_ablations(spark, d):
+    """V7: candidates by chance in place of vectors, of any depth and intent."""
+    seeds, pool, originals, depths, _, e, nodes = _retrieval(spark, d)
+    out = retrieval.candidates(seeds, pool, originals, depths, None, e, nodes, scalars.is_test_file(F.col("node")), tolerance=None, by_vector=False)
+    return out.select("seed", "node", F.round("final_score", 6).alias("final_score"), "rank")
+
+
 @query(f"WITH RECURSIVE {_BASE} SELECT seed, count(*) AS n_pool, count(*) FILTER (original) AS originals, 0::BIGINT AS tests, count(*) FILTER (NOT original AND deep) AS depth, count(*) FILTER (NOT original AND NOT deep AND NOT fits) AS intent, count(*) FILTER (NOT original AND NOT deep AND fits) AS left_over FROM x GROUP BY seed")
 def retrieval_drops(spark, d):
     """What each filter of the retrieval drops."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_score, mixing, quality_rules, secret_scan
+from . import lm_score, mixing, quality_rules, secret_scan, substring
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = f"translate(coalesce(text, ''), '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
@@ -103,4 +103,16 @@ drawn AS (SELECT *, unnest(range(0, whole + CASE WHEN start < rest THEN 1 ELSE 0
 SELECT doc_id, source, n_tokens, epoch, md5(concat_ws('|', 'block', epoch, substr(key, 1, {digits}))) AS block_key, md5(concat_ws('|', 'row', epoch, key)) AS row_key FROM drawn"""
 
 
-ORACLES = {"op1_quality_rules": op1(), "op4_minhash_near_dedup": OP4, "op6_lattice_near_dedup": OP6, "op7_lm_score": op7(), "op9_secret_scan": op9(), "op10_mixing": op10()}
+def op11() -> str:
+    """Every window by the text of its words."""
+    n = substring.WINDOW
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + {n - 1}], ' ')) AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE doc_id IS NOT NULL)),
+lows AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {n})) AS pos FROM windows JOIN lows USING (k) WHERE doc_id > low),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM x ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
+ORACLES = {"op1_quality_rules": op1(), "op4_minhash_near_dedup": OP4, "op6_lattice_near_dedup": OP6, "op7_lm_score": op7(), "op9_secret_scan": op9(), "op10_mixing": op10(), "op11_substring_dedup": op11()}

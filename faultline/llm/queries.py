@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, knn_quality, lattice, lm_score, minhash, mixing, oracles, packing, quality_rules, secret_scan, toxicity
+from . import html_extract, knn_quality, lattice, lm_score, minhash, mixing, oracles, packing, quality_rules, secret_scan, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["begin"]))
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_lattice_near_dedup, op7_lm_score, op8_knn_quality, op9_secret_scan, op10_mixing)
+    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_lattice_near_dedup, op7_lm_score, op8_knn_quality, op9_secret_scan, op10_mixing, op11_substring_dedup)
 }
 #: Bins, trees and trained models are beyond SQL: the other queries are tested against plain Python.
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -115,4 +115,12 @@ kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
 
 
-ORACLES = {"op1_quality_rules": op1(), "op4_minhash_near_dedup": OP4, "op6_lattice_near_dedup": OP6, "op7_lm_score": op7(), "op9_secret_scan": op9(), "op10_mixing": op10(), "op11_substring_dedup": op11()}
+#: All scores of anchors; every comparison in whole numbers.
+OP13 = """WITH good AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score FROM good a JOIN good b ON a.vec_id % 100 = 0 AND len(a.x) = len(b.x) AND a.rid <> b.rid),
+positives AS (SELECT a, b, anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5),
+fitting AS (SELECT p.*, n.id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id, n.b) AS rank FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM fitting WHERE rank <= 10"""
+
+ORACLES = {"op1_quality_rules": op1(), "op4_minhash_near_dedup": OP4, "op6_lattice_near_dedup": OP6, "op7_lm_score": op7(), "op9_secret_scan": op9(), "op10_mixing": op10(), "op11_substring_dedup": op11(), "op13_hard_negatives": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, knn_quality, lattice, lm_score, minhash, mixing, oracles, packing, quality_rules, secret_scan, substring, toxicity
+from . import hard_negatives, html_extract, knn_quality, lattice, lm_score, minhash, mixing, oracles, packing, quality_rules, secret_scan, substring, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,20 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, top=32)
+    each = out.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_lattice_near_dedup, op7_lm_score, op8_knn_quality, op9_secret_scan, op10_mixing, op11_substring_dedup)
+    for f in (op1_quality_rules, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_lattice_near_dedup, op7_lm_score, op8_knn_quality, op9_secret_scan, op10_mixing, op11_substring_dedup, op12_embedding_whitening, op13_hard_negatives)
 }
 #: Bins, trees and trained models are beyond SQL: the other queries are tested against plain Python.
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -153,7 +153,7 @@ def build(rows: DataFrame, global_names: bool = False) -> tuple[DataFrame, DataF
     scopes, last = child.select("graph", "scope", "node"), child.select("graph", "scope", "node")
     classes = kinds.where("type = 'class'").select("graph", F.col("node").alias("scope"))
     nested = stored(child.join(classes, ["graph", "scope"], "left_semi").select("graph", F.col("scope").alias("mid"), F.col("node").alias("deep")))
-    for _ in range(20):  # classes in classes
+    while True:  # classes in classes, as deep as they go: a node lies in one place, so this ends
         last = stored(last.join(nested, (last["graph"] == nested["graph"]) & (last["node"] == nested["mid"])).select(last["graph"], "scope", F.col("deep").alias("node")))
         if last.isEmpty():
             break
@@ -199,15 +199,14 @@ def _imports(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return out.select("graph", "src", F.coalesce("sub_file", F.when(F.col("has"), F.col("entity_node")), "file").alias("dst"), "alias").where("dst is not null").distinct()
 
 
-def _packages(imports: DataFrame, kinds: DataFrame, rounds: int = 30) -> DataFrame:
+def _packages(imports: DataFrame, kinds: DataFrame) -> DataFrame:
     """graph, file, via: each file with itself and the __init__ files that it reaches through imports of such files."""
     out = kinds.where("type = 'file'").select("graph", F.col("node").alias("file"), F.col("node").alias("via"))
     step = stored(imports.where(F.col("dst").endswith("__init__.py")).select("graph", F.col("src").alias("via"), F.col("dst").alias("next")).distinct())
     last = out
-    for _ in range(rounds):
+    while True:  # until nothing new is reached
         near = last.join(step, ["graph", "via"]).select("graph", "file", F.col("next").alias("via")).distinct()
         last = stored(near.join(out, ["graph", "file", "via"], "left_anti"))
         if last.isEmpty():
-            break
+            return out
         out = stored(out.unionByName(last))
-    return out

@@ -54,9 +54,10 @@ def read_cases(files: DataFrame) -> DataFrame:
     return rows.select("path", "content", F.array_join(F.filter(F.array("path", "c.cls", "c.method"), lambda x: x != ""), "::").alias("test"), "c.source", "c.assertions")
 
 
-def asserting_cases(files: DataFrame, limit: int = 60) -> DataFrame:
-    """path, test: the first `limit` test cases that assert something, by file and name."""
-    return read_cases(files).where(F.size("assertions") > 0).select("path", "test").distinct().orderBy("path", "test").limit(limit)
+def asserting_cases(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """path, test: the test cases that assert something; with a limit the first by file and name (60 where they go into a prompt)."""
+    found = read_cases(files).where(F.size("assertions") > 0).select("path", "test").distinct()
+    return found if limit is None else found.orderBy("path", "test").limit(limit)
 
 
 def mentions(text: Column, words: Column, most: int = 20) -> Column:

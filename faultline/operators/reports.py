@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rates for a million tokens of models without a rate of their own.
 DEFAULT_INPUT, DEFAULT_OUTPUT = 0.574, 2.294
+#: Names that a price list may hold; it is broadcast, and every model looks for them.
+MOST_RATES = 10_000
 
 
 def validation_summary(results: DataFrame) -> DataFrame:
@@ -31,14 +35,22 @@ def usage_costs(records: DataFrame, rates: DataFrame) -> DataFrame:
     keys = ["model", "input_tokens", "output_tokens", "timestamp"]
     once = records.groupBy(*keys).agg(F.min(F.struct("cache_write", "cache_read")).alias("c")).select(*keys, "c.*").withColumn("model", F.lower("model"))
     models = once.select("model").distinct()
+    if rates.limit(MOST_RATES + 1).count() > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} rates are no price list")
     named = models.join(F.broadcast(rates), F.col("model").contains(F.col("name")))
     rate = named.groupBy("model").agg(F.min(F.struct("ord", "input", F.col("cache_write").alias("write"), F.col("cache_read").alias("read"), "output")).alias("r"))
-    m = F.lit(1e6)
     base = F.greatest(F.lit(0), F.col("input_tokens") - F.col("cache_write") - F.col("cache_read"))
-    own = base / m * F.col("r.input") + F.col("cache_write") / m * F.col("r.write") + F.col("cache_read") / m * F.col("r.read") + F.col("output_tokens") / m * F.col("r.output")
-    other = F.col("input_tokens") / m * DEFAULT_INPUT + F.col("output_tokens") / m * DEFAULT_OUTPUT
-    priced = once.join(rate, "model", "left").withColumn("cost", F.when(F.col("r").isNull(), other).otherwise(own))
-    return priced.rollup("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    kinds = {"input": base, "write": F.col("cache_write"), "read": F.col("cache_read"), "output": F.col("output_tokens")}
+    tokens = [F.sum(c.cast("decimal(20,0)")).alias(f"n_{k}") for k, c in kinds.items()]
+    totals = [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
+    # whole tokens are summed, and each sum is multiplied by its rate once, in decimals: no order of adding changes the cost
+    by_model = once.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), *totals, *tokens).join(rate, "model", "left")
+    price = lambda k: F.col(f"r.{k}").cast("decimal(18,9)") * F.col(f"n_{k}")
+    own = reduce(lambda x, y: x + y, [price(k) for k in kinds])
+    other = F.lit(str(DEFAULT_INPUT)).cast("decimal(18,9)") * F.col("input_tokens").cast("decimal(20,0)") + F.lit(str(DEFAULT_OUTPUT)).cast("decimal(18,9)") * F.col("n_output")
+    priced = by_model.withColumn("micro", F.when(F.col("r").isNull(), other).otherwise(own).cast("decimal(38,9)"))
+    out = priced.rollup("model").agg(F.sum("calls").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("micro").alias("micro"))
+    return out.select("model", "calls", "input_tokens", "output_tokens", F.round(F.col("micro") / F.lit(1_000_000), 6).cast("double").alias("cost"))
 
 
 def leak_summary(rows: DataFrame, by: list[str]) -> DataFrame:

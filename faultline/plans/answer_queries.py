@@ -98,7 +98,7 @@ _USAGE = "concat('[{\"steps\": [{\"model\": \"m', user_id % 5, '\", \"prompt_tok
 
 @query("""WITH r AS (SELECT 'm' || user_id % 5 AS model, event_id AS i, user_id AS o, event_id % 40 AS c, '' AS t FROM events UNION ALL SELECT 'big-m' || user_id % 3, user_id, 3, 0, 't' || event_id % 7 FROM events), u AS (SELECT model, i, o, t, min(c) AS c FROM r GROUP BY ALL),
 p AS (SELECT *, CASE WHEN contains(model, 'm1') THEN 1.5 WHEN contains(model, 'big') THEN 8 END::DOUBLE AS rate FROM u)
-SELECT model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN rate IS NULL THEN i / 1e6 * 0.574 + o / 1e6 * 2.294 ELSE greatest(0, i - c) / 1e6 * rate + c / 1e6 * rate / 10 + o / 1e6 * rate * 5 END), 6)::DOUBLE AS cost FROM p GROUP BY ROLLUP (model)""")
+SELECT model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE WHEN rate IS NULL THEN i * 574 + o * 2294 ELSE CAST(rate * 100 AS BIGINT) * (10 * greatest(0, i - c) + c + 50 * o) END)::DECIMAL(30, 0) / 1000000000::DECIMAL(30, 0), 6)::DOUBLE AS cost FROM p GROUP BY ROLLUP (model)""")
 def usage_costs(spark, d):
     """Usage anywhere in JSON, each record once, at the first rate whose name the model holds, by model and in all."""
     found = table(spark, d, "events").select(F.explode(answers.usage_of(F.expr(_USAGE))).alias("u")).select("u.*")

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import graph, tables
-from ..operators.retrieval import similarities
+from ..operators import graph, tables, topk
 from . import answer_queries, chain_queries, gate_queries, graph_queries, log_queries, repository_queries, seed_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -95,16 +94,20 @@ def node_degrees(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
-p AS (SELECT q.vec_id AS seed, v.vec_id AS candidate, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)) + 1e-9), 6) AS score FROM q JOIN v USING (label) WHERE q.vec_id <> v.vec_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, candidate) AS rank FROM p) WHERE rank <= 5""")
+p AS (SELECT q.vec_id AS seed, v.vec_id AS candidate, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)) + 1e-9) AS score FROM q JOIN v USING (label) WHERE q.vec_id <> v.vec_id)
+SELECT seed, candidate, round(score, 6) AS score, row_number() OVER (PARTITION BY seed ORDER BY round(score, 6) DESC, candidate) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, candidate) AS k FROM p) WHERE k <= 5""")
 def retrieval(spark, d):
-    """The five nearest candidates of each seed within its label; seeds are broadcast when few."""
+    """The five nearest candidates of each seed within its label, by blocks."""
     v = table(spark, d, "embeddings")
     pool = v.select(F.col("label").alias("pool"), F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
     seeds = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("label").alias("pool"), F.col("embedding").alias("v"))
-    pairs = similarities(seeds, pool).where("seed <> node").select("seed", F.col("node").alias("candidate"), F.round("score", 6).alias("score"))
+    none = F.lit(None).cast("double")
+    name = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")  # noqa: E731  these sort as their numbers do
+    asking = seeds.withColumns({"aim": none, "skip": F.array(name("seed"))})
+    named = pool.select("pool", name("node").alias("node"), "v", none.alias("depth"), F.lit(False).alias("test"))
+    pairs = topk.nearest(asking, named, 5).select("seed", F.col("node").cast("long").alias("candidate"), F.round("score", 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "candidate"))
-    return pairs.withColumn("rank", rank).where("rank <= 5")
+    return pairs.withColumn("rank", rank)
 
 
 @query("""WITH c AS (SELECT conv_id AS chain_id, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)

@@ -60,8 +60,8 @@ _FUNCTION = "concat('lib/m', {p} % 50, '.py:f', {p})"
 CODE = f"""code AS (SELECT concat('pkg/r', n_regionkey) AS src, concat('pkg/n', n_nationkey) AS dst, 'contains' AS type FROM nation
   UNION ALL SELECT concat('pkg/n', s_nationkey), {_FILE.format(s="s_suppkey", n="s_nationkey")}, 'contains' FROM supplier
   UNION ALL SELECT concat('lib/m', p_partkey % 50, '.py'), {_FUNCTION.format(p="p_partkey")}, 'contains' FROM part
-  UNION ALL SELECT DISTINCT {_FILE.format(s="l_suppkey", n="s_nationkey")}, {_FUNCTION.format(p="l_partkey")}, 'invokes' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1
-  UNION ALL SELECT DISTINCT {_FUNCTION.format(p="a.l_partkey")}, {_FUNCTION.format(p="b.l_partkey")}, 'imports' FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey AND a.l_partkey % 3 = 0)"""
+  UNION ALL SELECT DISTINCT {_FILE.format(s="l_suppkey", n="s_nationkey")}, {_FUNCTION.format(p="l_partkey")}, 'invokes' FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL SELECT DISTINCT {_FUNCTION.format(p="a.l_partkey")}, {_FUNCTION.format(p="b.l_partkey")}, 'imports' FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber AND a.l_partkey <> b.l_partkey)"""
 CODE_NODES = "code_nodes AS (SELECT node, CASE WHEN contains(node, ':') THEN 'function' WHEN node LIKE '%.py' THEN 'file' ELSE 'directory' END AS type FROM (SELECT src AS node FROM code UNION SELECT dst FROM code))"
 
 
@@ -73,9 +73,9 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
     sup = table(spark, d, "supplier")
     b = sup.select(F.expr("concat('pkg/n', s_nationkey)"), e(_FILE, s="s_suppkey", n="s_nationkey"), F.lit("contains"))
     c = table(spark, d, "part").select(F.expr("concat('lib/m', p_partkey % 50, '.py')"), e(_FUNCTION, p="p_partkey"), F.lit("contains"))
-    first, second = li.where("l_linenumber = 1"), li.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("other"))
-    v = first.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(e(_FILE, s="l_suppkey", n="s_nationkey"), e(_FUNCTION, p="l_partkey"), F.lit("invokes")).distinct()
-    i = first.where("l_partkey % 3 = 0").join(second, "l_orderkey").where("l_partkey <> other").select(e(_FUNCTION, p="l_partkey"), e(_FUNCTION, p="other"), F.lit("imports")).distinct()
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("other"))
+    v = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(e(_FILE, s="l_suppkey", n="s_nationkey"), e(_FUNCTION, p="l_partkey"), F.lit("invokes")).distinct()
+    i = li.join(after, ["l_orderkey", "l_linenumber"]).where("l_partkey <> other").select(e(_FUNCTION, p="l_partkey"), e(_FUNCTION, p="other"), F.lit("imports")).distinct()
     return a.union(b).union(c).union(v).union(i)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graph, paths
+from ..operators import graph, paths, strong
 from .fixtures import CODE, CODE_NODES, code_edges, code_nodes, table
 from .registry import query
 
@@ -74,11 +74,28 @@ _PATHS = f"""walk(source, node, path) USING KEY (source, node) AS (SELECT node,
 
 @query(f"WITH RECURSIVE {CODE}, {CODE_NODES}, {_TARGETS}, {_SOURCES}, {_PATHS} SELECT source, w.node AS target, path FROM walk w JOIN targets t ON t.node = w.node")
 def shortest_paths(spark, d):
-    """A shortest path of at most six edges from each searched test to each searched function."""
+    """A shortest path of at most six edges from each searched test to each searched function."""
     e = code_edges(spark, d)
     nodes = code_nodes(e)
-    pairs = _sources(nodes).withColumnRenamed("node", "source").join(F.broadcast(_targets(nodes).withColumnRenamed("node", "target")))  # both are the stated searches
-    return paths.shortest_paths(e, pairs)
+    return paths.shortest_paths(e, _sources(nodes).withColumnRenamed("node", "source"), _targets(nodes).withColumnRenamed("node", "target"), 6)
+
+
+#: Chains of calls through the parts of an order: long ways, as each function calls few others.
+_ORDERED = "calls AS (SELECT DISTINCT concat('f', a.l_orderkey % 24, '_', a.l_linenumber) AS src, concat('f', a.l_orderkey % 24, '_', b.l_linenumber) AS dst, 'invokes' AS type FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 UNION ALL SELECT DISTINCT concat('f', o_orderkey % 24, '_1'), concat('f', (o_orderkey + 1) % 24, '_1'), 'imports' FROM orders)"
+_LONG = "walk(source, node, path) USING KEY (source, node) AS (SELECT src, src, [src] FROM starts UNION SELECT w.source, e.dst, min(list_append(w.path, e.dst)) FROM walk w JOIN (SELECT DISTINCT src, dst FROM calls) e ON e.src = w.node LEFT JOIN recurring.walk k ON k.source = w.source AND k.node = e.dst WHERE k.node IS NULL GROUP BY ALL)"
+
+
+@query(f"""WITH RECURSIVE {_ORDERED}, starts AS (SELECT DISTINCT src FROM calls WHERE regexp_matches(src, '^f[0-9]*0_1$')), {_LONG},
+ends AS (SELECT source, node AS target, path FROM walk WHERE regexp_matches(node, '^f[0-9]*5_4$')), steps AS (SELECT source, target, i, path[i] AS src, path[i + 1] AS dst FROM (SELECT *, unnest(range(1, len(path))) AS i FROM ends)), last AS (SELECT src, dst, CASE WHEN bool_or(type = 'invokes') THEN 'invokes' ELSE 'imports' END AS type FROM calls GROUP BY ALL)
+SELECT source, target, path, list(type ORDER BY i) AS types FROM ends JOIN steps USING (source, target) JOIN last USING (src, dst) GROUP BY source, target, path""")
+def typed_paths(spark, d):
+    """Shortest paths of any length between searched functions, with the types of their edges."""
+    li, o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, d, "orders")
+    name = lambda k, n: F.concat(F.lit("f"), F.col(k) % 24, F.lit("_"), n)
+    calls = li.join(li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")), ["l_orderkey", "l_linenumber"]).select(name("l_orderkey", F.col("l_linenumber")).alias("src"), name("l_orderkey", F.col("l_linenumber") + 1).alias("dst"), F.lit("invokes").alias("type"))
+    calls = calls.distinct().unionByName(o.select(name("o_orderkey", F.lit("1")).alias("src"), F.concat(F.lit("f"), (F.col("o_orderkey") + 1) % 24, F.lit("_1")).alias("dst"), F.lit("imports").alias("type")).distinct())
+    found = paths.shortest_paths(calls, calls.select(F.col("src").alias("source")).where(F.col("source").rlike("^f[0-9]*0_1$")), calls.select(F.col("dst").alias("target")).where(F.col("target").rlike("^f[0-9]*5_4$")))
+    return paths.path_types(found, calls)
 
 
 @query(f"""WITH RECURSIVE {CODE}, {CODE_NODES}, {_TARGETS}, {_SOURCES}, {_PATHS}, asked AS (SELECT source, w.node AS target, path, regexp_extract(w.node, 'm([0-9]+)', 1) AS key, row_number() OVER (PARTITION BY regexp_extract(w.node, 'm([0-9]+)', 1) ORDER BY len(path), source, w.node) AS k FROM walk w JOIN targets t ON t.node = w.node)
@@ -88,7 +105,7 @@ def chain_skeletons(spark, d):
     e = code_edges(spark, d)
     nodes = code_nodes(e)
     roots = _targets(nodes).select(F.regexp_extract("node", "m([0-9]+)", 1).alias("key"), "node", F.col("node").alias("ord"))
-    tests = roots.select("key").distinct().join(F.broadcast(_sources(nodes))).select("key", "node", F.col("node").alias("ord"))
+    tests = _sources(nodes).select("node", F.col("node").alias("ord"))
     return paths.skeletons(e, tests, roots)
 
 
@@ -126,7 +143,7 @@ def defaulted_nodes(spark, d):
     return graph.defaulted(rows).select("node", "type", "file_path", F.col("line_range.start").alias("start"), "code_snippet")
 
 
-_CHAINS = "chains AS (SELECT DISTINCT l_orderkey AS chain, l_linenumber AS pos, concat('lib/m', min(l_partkey) % 50, '.py:f', min(l_partkey)) AS node FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey, l_linenumber)"
+_CHAINS = "chains AS (SELECT DISTINCT l_orderkey AS chain, l_linenumber AS pos, concat('lib/m', min(l_partkey) % 50, '.py:f', min(l_partkey)) AS node FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 _METRICS = f"""{_CHAINS}, deg AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM code UNION ALL SELECT src, 0, 1 FROM code) GROUP BY 1),
 n AS (SELECT chain, pos, c.node, coalesce(i, 0) AS i, coalesce(o, 0) AS o, lead(c.node) OVER (PARTITION BY chain ORDER BY pos) AS f FROM chains c LEFT JOIN deg USING (node)),
 b AS (SELECT chain, count(*) AS chain_length, round(avg(i), 2) AS avg_in_degree, round(avg(o), 2) AS avg_out_degree, max(i)::BIGINT AS max_in_degree, max(o)::BIGINT AS max_out_degree, (sum(i) + sum(o))::BIGINT AS total_edges, count(*) FILTER (EXISTS (SELECT 1 FROM code WHERE (src = n.node AND dst = f) OR (src = f AND dst = n.node))) AS connected_pairs FROM n GROUP BY chain),
@@ -137,7 +154,7 @@ metrics AS (SELECT * EXCLUDE (raw), round(least(100, raw), 2) AS difficulty, CAS
 
 def _metrics(spark, d):
     e = code_edges(spark, d)
-    c = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("p"))
+    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("p"))
     return graph.chain_metrics(c.select("chain", "pos", F.expr("concat('lib/m', p % 50, '.py:f', p)").alias("node")), e, code_nodes(e))
 
 
@@ -162,9 +179,24 @@ def node_type_counts(spark, d):
     return code_nodes(e).join(graph.degrees(e), "node").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_degree") == 0).alias("n_roots"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 40 AS a, l_suppkey % 40 + CASE WHEN l_linestatus = 'F' THEN 40 ELSE 0 END AS b, l_returnflag AS g FROM lineitem WHERE l_linenumber < 3), closed AS (SELECT g, a, b FROM e UNION SELECT c.g, c.a, e.b FROM closed c JOIN e ON e.g = c.g AND e.a = c.b) SELECT g AS graph, bool_or(a = b) AS cyclic FROM closed GROUP BY g")
+_RINGS = "e AS (SELECT DISTINCT l_returnflag AS g, concat('p', l_partkey % 60) AS src, concat('p', CASE WHEN l_linestatus = 'F' THEN l_partkey % 60 + 1 + l_suppkey % 3 ELSE l_partkey % 12 * 5 + l_suppkey % 4 END) AS dst FROM lineitem)"
+
+
+def _rings(spark, d):
+    """A graph a return flag: parts lead to later ones, and in orders that are still open back to the first of a group."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    back = F.when(F.col("l_linestatus") == "F", p % 60 + 1 + s % 3).otherwise(p % 12 * 5 + s % 4)
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("graph"), F.concat(F.lit("p"), p % 60).alias("src"), F.concat(F.lit("p"), back).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_RINGS}, closed AS (SELECT g, src, dst FROM e UNION SELECT c.g, c.src, e.dst FROM closed c JOIN e ON e.g = c.g AND e.src = c.dst),
+n AS (SELECT g, src AS node FROM e UNION SELECT g, dst FROM e) SELECT n.g AS graph, n.node, least(n.node, min(a.dst)) AS component FROM n LEFT JOIN (SELECT x.g, x.src, x.dst FROM closed x JOIN closed y ON x.g = y.g AND x.src = y.dst AND x.dst = y.src) a ON a.g = n.g AND a.src = n.node GROUP BY n.g, n.node""")
+def strong_components(spark, d):
+    """Strongly connected components of all graphs at once."""
+    return strong.strong_components(_rings(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_RINGS}, closed AS (SELECT g, src, dst FROM e UNION SELECT c.g, c.src, e.dst FROM closed c JOIN e ON e.g = c.g AND e.src = c.dst) SELECT g AS graph, bool_or(src = dst) AS cyclic FROM closed GROUP BY g""")
 def cycles(spark, d):
     """Graphs that are no DAGs; here one for each return flag."""
-    e = table(spark, d, "lineitem").where("l_linenumber < 3").select((F.col("l_partkey") % 40).cast("long").alias("src"), (F.col("l_suppkey") % 40 + F.when(F.col("l_linestatus") == "F", 40).otherwise(0)).alias("dst"), "l_returnflag")
-    flags = [(g, paths.has_cycle(e.where(F.col("l_returnflag") == g))) for g in "ANR"]  # three graphs
-    return spark.createDataFrame(flags, "graph string, cyclic boolean")
+    return strong.cyclic_graphs(_rings(spark, d))

@@ -4,69 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import injection, scalars
+from ..functions import edits, injection, scalars
 from ..operators import paths, quality, retrieval
 from .fixtures import CODE, CODE_NODES, code_edges, code_nodes, table
 from .registry import query
 
-#: Vectors belong to functions of the code graph: to that of the part with their number, wherever it lies.
-_NODE = "concat('lib/m', vec_id % 50, '.py:f', vec_id)"
-_COMPATIBLE = "(x.vec_id + q.vec_id) % 7 <> 0"
-
-
-def _retrieval(spark, d):
-    v = table(spark, d, "embeddings")
-    pool = v.select(F.col("label").alias("pool"), F.expr(_NODE).alias("node"), F.col("embedding").alias("v"), "vec_id")
-    chosen = v.where("vec_id % 50 = 0")
-    anchor = F.expr(f"CASE WHEN vec_id % 150 = 0 THEN concat('lib/m', vec_id % 50, '.py') ELSE {_NODE} END")
-    seeds = chosen.select(F.col("vec_id").alias("seed"), F.col("label").alias("pool"), anchor.alias("anchor"), (F.col("vec_id") % 3 + 2).cast("int").alias("depth"))
-    originals = chosen.select(F.col("vec_id").alias("seed"), F.explode(F.array(F.expr(_NODE), F.expr(_NODE.replace("vec_id", "(vec_id + 10)")))).alias("node"))
-    pairs = seeds.select("seed", "pool").join(pool.select("pool", "node", "vec_id"), "pool").where("(vec_id + seed) % 7 <> 0").select("seed", "node")
-    e = code_edges(spark, d)
-    nodes = code_nodes(e)
-    depths = paths.test_depths(e, nodes, scalars.is_test_file(F.col("node")))
-    return seeds, pool.select("pool", "node", "v"), originals, depths, pairs, e, nodes
-
-
-_BASE = f"""{CODE}, {CODE_NODES}, reach(node, depth) USING KEY (node) AS (SELECT node, 0 FROM code_nodes WHERE contains(node, 'tests/') UNION SELECT e.dst, min(r.depth) + 1 FROM reach r JOIN code e ON e.src = r.node LEFT JOIN recurring.reach k ON k.node = e.dst WHERE k.node IS NULL AND r.depth < 10 GROUP BY e.dst),
-v AS (SELECT vec_id, label, {_NODE} AS node, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT *, vec_id % 3 + 2 AS aim, CASE WHEN vec_id % 150 = 0 THEN (SELECT min(w.node) FROM v w WHERE w.label = v.label AND starts_with(w.node, 'lib/m' || v.vec_id % 50 || '.py:')) ELSE node END AS home FROM v WHERE vec_id % 50 = 0),
-x AS (SELECT q.vec_id AS seed, q.home, x.vec_id, x.node, list_dot_product(h.e, x.e) / (sqrt(list_dot_product(h.e, h.e)) * sqrt(list_dot_product(x.e, x.e)) + 1e-9) AS score, x.vec_id IN (q.vec_id, q.vec_id + 10) AS original, abs(coalesce(r.depth + 1, 3) - q.aim) > 1 AS deep, {_COMPATIBLE} AS fits FROM q JOIN v h ON h.node = q.home JOIN v x ON x.label = q.label LEFT JOIN reach r ON r.node = x.node)"""
-
-
-@query(f"""WITH RECURSIVE {_BASE}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS k FROM x WHERE NOT original AND NOT deep) WHERE k <= 50 AND fits),
-both_ways AS (SELECT src AS a, dst AS b FROM code UNION SELECT dst, src FROM code), hubs AS (SELECT node FROM near UNION SELECT home FROM near), m AS (SELECT node AS anchor, node FROM hubs UNION SELECT a, b FROM hubs JOIN both_ways ON a = node),
-e AS (SELECT anchor, count(*) AS n FROM (SELECT DISTINCT src, dst FROM code) JOIN m ON src = node WHERE EXISTS (SELECT 1 FROM m y WHERE y.anchor = m.anchor AND y.node = dst) GROUP BY anchor),
-g AS (SELECT anchor, count(*) AS n, count(*) FILTER (type = 'function') AS f, count(*) FILTER (type = 'file') AS i, count(*) FILTER (type = 'directory') AS d, count(*) FILTER (type IS NULL) AS u, coalesce(any_value(e.n), 0) AS edges FROM m LEFT JOIN code_nodes USING (node) LEFT JOIN e USING (anchor) GROUP BY anchor),
-s AS (SELECT seed, near.node, score, 0.7::DOUBLE * (a.f * b.f + a.i * b.i + a.d * b.d + a.u * b.u) / (sqrt(a.f * a.f + a.i * a.i + a.d * a.d + a.u * a.u) * sqrt(b.f * b.f + b.i * b.i + b.d * b.d + b.u * b.u)) + 0.3::DOUBLE * (1 - least(abs(a.edges / (a.n + 1e-9) - b.edges / (b.n + 1e-9)), 1)) AS topology FROM near JOIN g a ON a.anchor = home JOIN g b ON b.anchor = near.node),
-r AS (SELECT *, 0.4::DOUBLE * score + 0.6::DOUBLE * topology AS final FROM s) SELECT seed, node, round(score, 6) AS vector_score, round(topology, 6) AS topology_score, round(final, 6) AS final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(final, 9) DESC, node) AS rank FROM r) WHERE rank <= 5""")
-def candidates(spark, d):
-    """Candidates by cosine, depth, compatibility and topology."""
-    seeds, pool, originals, depths, pairs, e, nodes = _retrieval(spark, d)
-    out = retrieval.candidates(seeds, pool, originals, depths, pairs, e, nodes, scalars.is_test_file(F.col("node")))
-    return out.select("seed", "node", *[F.round(c, 6).alias(c) for c in ("vector_score", "topology_score", "final_score")], "rank")
-
-
-@query(f"""WITH RECURSIVE {_BASE}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || node)) AS k FROM x WHERE NOT original) WHERE k <= 50),
-both_ways AS (SELECT src AS a, dst AS b FROM code UNION SELECT dst, src FROM code), hubs AS (SELECT node FROM near UNION SELECT home FROM near), m AS (SELECT node AS anchor, node FROM hubs UNION SELECT a, b FROM hubs JOIN both_ways ON a = node),
-e AS (SELECT anchor, count(*) AS n FROM (SELECT DISTINCT src, dst FROM code) JOIN m ON src = node WHERE EXISTS (SELECT 1 FROM m y WHERE y.anchor = m.anchor AND y.node = dst) GROUP BY anchor),
-g AS (SELECT anchor, count(*) AS n, count(*) FILTER (type = 'function') AS f, count(*) FILTER (type = 'file') AS i, count(*) FILTER (type IS NULL) AS u, coalesce(any_value(e.n), 0) AS edges FROM m LEFT JOIN code_nodes USING (node) LEFT JOIN e USING (anchor) GROUP BY anchor),
-s AS (SELECT seed, near.node, 0.6::DOUBLE * (0.7::DOUBLE * (a.f * b.f + a.i * b.i + a.u * b.u) / (sqrt(a.f * a.f + a.i * a.i + a.u * a.u) * sqrt(b.f * b.f + b.i * b.i + b.u * b.u)) + 0.3::DOUBLE * (1 - least(abs(a.edges / (a.n + 1e-9) - b.edges / (b.n + 1e-9)), 1))) AS final FROM near JOIN g a ON a.anchor = home JOIN g b ON b.anchor = near.node)
-SELECT seed, node, round(final, 6) AS final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(final, 9) DESC, node) AS rank FROM s) WHERE rank <= 5""")
-def candidate_ablations(spark, d):
-    """V7: candidates by chance in place of vectors, of any depth and intent."""
-    seeds, pool, originals, depths, _, e, nodes = _retrieval(spark, d)
-    out = retrieval.candidates(seeds, pool, originals, depths, None, e, nodes, scalars.is_test_file(F.col("node")), tolerance=None, by_vector=False)
-    return out.select("seed", "node", F.round("final_score", 6).alias("final_score"), "rank")
-
-
-@query(f"WITH RECURSIVE {_BASE} SELECT seed, count(*) AS n_pool, count(*) FILTER (original) AS originals, 0::BIGINT AS tests, count(*) FILTER (NOT original AND deep) AS depth, count(*) FILTER (NOT original AND NOT deep AND NOT fits) AS intent, count(*) FILTER (NOT original AND NOT deep AND fits) AS left_over FROM x GROUP BY seed")
-def retrieval_drops(spark, d):
-    """What each filter of the retrieval drops."""
-    seeds, pool, originals, depths, pairs, _, _ = _retrieval(spark, d)
-    out = retrieval.drop_counts(seeds, pool, originals, depths, pairs, scalars.is_test_file(F.col("node")))
-    return out.select("seed", "n_pool", "originals", "tests", "depth", "intent", F.col("left").alias("left_over"))
-
-
 #: A piece of code and a seed's repair for a part, as expressions that both engines read.
 _CODE = """concat('def f', p_partkey, '(a, b=', p_size, '):', chr(10), CASE p_partkey % 6 WHEN 0 THEN concat('    x = r"^a', p_size, '$"') WHEN 1 THEN '    if a > b and not c:' WHEN 2 THEN '    if a is None:' WHEN 3 THEN concat('    y = str(a) + ''', p_name, '''') WHEN 4 THEN '    # nothing here' ELSE '    self.z = []' END, chr(10),
   CASE p_size % 5 WHEN 0 THEN concat('    try:', chr(10), '        go(a)', chr(10), '    except KeyError:', chr(10), '        pass') WHEN 1 THEN '    elif isinstance(a, list): return obj.run(b)' WHEN 2 THEN concat('    n = ', p_partkey) WHEN 3 THEN concat('    value_', p_size, ' = None') ELSE concat('    s = r''\\Z', p_size, '''') END)"""
@@ -76,20 +18,22 @@ _AFTER = "CASE p_partkey % 9 WHEN 0 THEN concat('x = r\"a', p_size, '\\Z\"') WHE
 _Q = lambda p: p.replace("'", "''")
 _FIRST = lambda intent: "CASE " + " ".join(f"WHEN regexp_matches(before, '{_Q(p)}') THEN '{n}'" for n, p in injection.PATTERN_TYPES[intent]) + " ELSE 'unknown' END"
 _KIND = "CASE intent " + " ".join(f"WHEN '{k}' THEN {_FIRST(k)}" for k in injection.PATTERN_TYPES) + " ELSE 'unknown' END"
-_P = f"p0 AS (SELECT p_partkey, {_CODE} AS code, {_INTENT} AS intent, {_BEFORE} AS before, {_AFTER} AS after FROM part), p AS (SELECT *, CASE WHEN before = '' THEN 'unknown' ELSE {_KIND} END AS kind FROM p0)"
-_CAT = r"""CASE WHEN before = '' THEN '' WHEN intent = 'Constant_Update' THEN CASE WHEN regexp_matches(before, 'r[''"].*[''"]') THEN CASE WHEN p_partkey % 9 = 0 THEN 'regex_terminator_end' ELSE 'regex_other' END WHEN regexp_matches(before, '\d+') THEN 'numeric_constant' ELSE 'string_constant' END
+_KINDS = f"p AS (SELECT *, CASE WHEN before = '' THEN 'unknown' ELSE {_KIND} END AS kind FROM p0)"
+_P = f"p0 AS (SELECT p_partkey, {_CODE} AS code, {_INTENT} AS intent, {_BEFORE} AS before, {_AFTER} AS after, p_partkey % 9 = 0 AS ends FROM part), {_KINDS}"
+_CAT = r"""CASE WHEN before = '' THEN '' WHEN intent = 'Constant_Update' THEN CASE WHEN regexp_matches(before, 'r[''"].*[''"]') THEN CASE WHEN ends THEN 'regex_terminator_end' ELSE 'regex_other' END WHEN regexp_matches(before, '\d+') THEN 'numeric_constant' ELSE 'string_constant' END
   WHEN intent = 'Condition_Refinement' THEN CASE WHEN contains(before, '>') OR contains(before, '<') THEN 'comparison_operator' WHEN contains(before, 'and') OR contains(before, 'or') THEN 'logical_operator' WHEN contains(before, 'not') THEN 'negation' ELSE 'condition_general' END
   WHEN intent = 'Guard_Clause_Addition' THEN CASE WHEN contains(before || after, 'None') THEN 'null_check' WHEN contains(before || after, 'isinstance') THEN 'type_check' ELSE 'validation_check' END ELSE lower(intent) END"""
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select("p_partkey", *[F.expr(e.replace("\\Z", "\\\\Z")).alias(c) for c, e in (("code", _CODE), ("intent", _INTENT), ("before", _BEFORE), ("after", _AFTER))])
+    rows = table(spark, d, "part").select("p_partkey", *[F.expr(e.replace("\\Z", "\\\\Z")).alias(c) for c, e in (("code", _CODE), ("intent", _INTENT), ("before", _BEFORE), ("after", _AFTER))])
+    return rows.withColumn("edit", edits.first_edit(F.col("before"), F.col("after")))
 
 
 @query(f"WITH {_P} SELECT p_partkey, kind AS pattern_type, {_CAT} AS category FROM p")
 def seed_patterns(spark, d):
     """Pattern type and category of a seed's repair."""
-    edit = injection.first_edit(F.col("before"), F.col("after"))
+    edit = F.col("edit")
     blank = F.col("before") == ""
     category = F.when(blank, "").otherwise(injection.semantic_category(F.col("intent"), F.col("before"), F.col("after"), edit["old"], edit["new"]))
     return _parts(spark, d).select("p_partkey", F.when(blank, "unknown").otherwise(injection.pattern_type(F.col("intent"), F.col("before"))).alias("pattern_type"), category.alias("category"))
@@ -111,7 +55,7 @@ points AS (SELECT p_partkey, CASE r[2] WHEN 'exception_handler' THEN opened ELSE
 @query(f"WITH {_P}, {_POINTS} SELECT * FROM points")
 def injection_points(spark, d):
     """C11: points of a code that fit the kind of repair."""
-    edit = injection.first_edit(F.col("before"), F.col("after"))
+    edit = F.col("edit")
     blank = F.col("before") == ""
     kind = F.when(blank, "unknown").otherwise(injection.pattern_type(F.col("intent"), F.col("before")))
     category = F.when(blank, "").otherwise(injection.semantic_category(F.col("intent"), F.col("before"), F.col("after"), edit["old"], edit["new"]))
@@ -122,15 +66,91 @@ def injection_points(spark, d):
 _WORDS = "list_filter(list_distinct(regexp_extract_all(before || after, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\b', 1)), lambda x: length(x) > 2 AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in injection.LANGUAGE_WORDS) + "))"
 
 
-@query(rf"""WITH {_P}, {_POINTS}, one AS (SELECT p_partkey, count(*) AS n, max(score) AS best FROM points JOIN p USING (p_partkey) WHERE score >= 0.4 AND kind <> 'unknown' GROUP BY 1),
-k AS (SELECT p_partkey, len(list_filter(string_split(code, chr(10)), lambda y: NOT starts_with(trim(y), '#') AND trim(y) <> '' AND len(list_filter({_WORDS}, lambda w: contains(y, w))) > 0)) AS lines, list_max(list_transform(string_split(code, chr(10)), lambda y: CASE WHEN starts_with(trim(y), '#') THEN 0 ELSE len(list_filter({_WORDS}, lambda w: contains(y, w))) END)) AS most FROM p)
+_TIERS = rf"""one AS (SELECT p_partkey, count(*) AS n, max(score) AS best FROM points JOIN p USING (p_partkey) WHERE score >= 0.4 AND kind <> 'unknown' GROUP BY 1),
+k AS (SELECT p_partkey, len(list_filter(string_split(code, chr(10)), lambda y: NOT starts_with(trim(y), '#') AND trim(y) <> '' AND len(list_filter({_WORDS}, lambda w: contains(y, w))) > 0)) AS lines, list_max(list_transform(string_split(code, chr(10)), lambda y: CASE WHEN starts_with(trim(y), '#') THEN 0 ELSE len(list_filter({_WORDS}, lambda w: contains(y, w))) END)) AS most FROM p)"""
+
+
+@query(rf"""WITH {_P}, {_POINTS}, {_TIERS}
 SELECT p_partkey, CASE WHEN one.n > 0 THEN 1 WHEN lines > 0 THEN 2 WHEN len(string_split(code, chr(10))) >= 3 AND length(code) >= 50 THEN 3 END AS tier, CASE WHEN one.n > 0 THEN one.n WHEN lines > 0 THEN least(lines, 5) WHEN len(string_split(code, chr(10))) >= 3 AND length(code) >= 50 THEN 1 ELSE 0 END AS n_points, round(CASE WHEN one.n > 0 THEN best WHEN lines > 0 THEN least(0.75, 0.45 + 0.1 * most) WHEN len(string_split(code, chr(10))) >= 3 AND length(code) >= 50 THEN 0.35 END, 6)::DOUBLE AS best FROM p JOIN k USING (p_partkey) LEFT JOIN one USING (p_partkey)""")
 def compatibilities(spark, d):
     """The tier at which a code fits a seed's repair."""
-    c = _parts(spark, d).select("p_partkey", injection.compatibility(F.col("code"), F.col("intent"), F.col("before"), F.col("after")).alias("c"))
+    c = _parts(spark, d).select("p_partkey", injection.compatibility(F.col("code"), F.col("intent"), F.col("before"), F.col("after"), F.col("edit")).alias("c"))
     return c.select("p_partkey", "c.tier", F.size("c.points").cast("long").alias("n_points"), F.round(F.array_max(F.transform("c.points", lambda p: p["score"])), 6).alias("best"))
 
 
+#: Vectors belong to functions of the code graph, to that of the part with their number, wherever it lies; every eleventh to a test.
+_NODE = "CASE WHEN vec_id % 11 = 3 THEN concat('tests/n', vec_id % 25, '/test_v', vec_id, '.py:test_f') ELSE concat('lib/m', vec_id % 50, '.py:f', vec_id) END"
+_ANCHOR = f"CASE WHEN vec_id % 150 = 0 THEN concat('lib/m', vec_id % 50, '.py') WHEN vec_id % 350 = 200 THEN 'gone.py' ELSE {_NODE} END"
+#: The columns that code and repairs are made of, from a vector's number; some functions are a line long.
+_AS_PART = "vec_id AS p_partkey, CAST(vec_id % 50 + 1 AS INT) AS p_size, concat('name', vec_id) AS p_name, concat('brand', vec_id) AS p_brand"
+_SHORT = f"CASE WHEN vec_id % 4 = 1 THEN concat('x', vec_id, ' = 1') ELSE {_CODE} END"
+
+
+def _retrieval(spark, d):
+    plain = lambda e: F.expr(e.replace("\\Z", "\\\\Z"))
+    v = table(spark, d, "embeddings").selectExpr("*", "vec_id AS p_partkey", "cast(vec_id % 50 + 1 AS int) AS p_size", "concat('name', vec_id) AS p_name", "concat('brand', vec_id) AS p_brand")
+    pool = v.select(F.col("label").alias("pool"), F.expr(_NODE).alias("node"), F.col("embedding").alias("v"), plain(_SHORT).alias("code"), F.col("vec_id").alias("idx"))
+    chosen = v.where("vec_id % 50 = 0")
+    seeds = chosen.select(F.col("vec_id").alias("seed"), F.col("label").alias("pool"), F.expr(_ANCHOR).alias("anchor"), (F.col("vec_id") % 3 + 2).cast("int").alias("depth"), plain(_INTENT).alias("intent"), plain(_BEFORE).alias("before"), plain(_AFTER).alias("after"), F.concat(F.lit("i"), "vec_id").alias("instance_id"), F.md5(F.col("vec_id").cast("string")).alias("commit"))
+    originals = chosen.select(F.col("vec_id").alias("seed"), F.explode(F.array(F.expr(_NODE), F.expr(_NODE.replace("vec_id", "(vec_id + 10)")))).alias("node"))
+    e = code_edges(spark, d)
+    nodes = code_nodes(e)
+    return seeds, pool, originals, paths.test_depths(e, nodes, scalars.is_test_file(F.col("node"))), e, nodes
+
+
+_BASE = f"""{CODE}, {CODE_NODES}, reach(node, depth) USING KEY (node) AS (SELECT node, 0 FROM code_nodes WHERE contains(node, 'tests/') UNION SELECT e.dst, min(r.depth) + 1 FROM reach r JOIN code e ON e.src = r.node LEFT JOIN recurring.reach k ON k.node = e.dst WHERE k.node IS NULL AND r.depth < 10 GROUP BY e.dst),
+v AS (SELECT vec_id, label, {_NODE} AS node, embedding::DOUBLE[] AS e, {_SHORT} AS code, {_INTENT} AS intent, {_BEFORE} AS before, {_AFTER} AS after FROM (SELECT *, {_AS_PART} FROM embeddings)),
+q AS (SELECT *, vec_id % 3 + 2 AS aim, {_ANCHOR} AS anchor, CASE WHEN vec_id % 150 = 0 THEN (SELECT min(w.node) FROM v w WHERE w.label = v.label AND starts_with(w.node, 'lib/m' || v.vec_id % 50 || '.py:')) WHEN vec_id % 350 <> 200 THEN node END AS home FROM v WHERE vec_id % 50 = 0),
+x AS (SELECT q.vec_id AS seed, q.home, x.vec_id, x.node, coalesce(list_dot_product(h.e, x.e) / (sqrt(list_dot_product(h.e, h.e)) * sqrt(list_dot_product(x.e, x.e)) + 1e-9), 0) AS score, CASE WHEN q.home IS NULL THEN md5(q.vec_id || '|' || x.node) ELSE '' END AS deal, x.vec_id IN (q.vec_id, q.vec_id + 10) AS original, contains(x.node, 'tests/') AS test, abs(coalesce(r.depth + 1, 3) - q.aim) > 1 AS deep, x.code, q.intent, q.before, q.after FROM q LEFT JOIN v h ON h.node = q.home JOIN v x ON x.label = q.label LEFT JOIN reach r ON r.node = x.node)"""
+_NEAR = f"""near50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, deal, node) AS k FROM x WHERE NOT original AND NOT test AND NOT deep) WHERE k <= 50),
+p0 AS (SELECT seed * 1000000 + vec_id AS p_partkey, code, intent, before, after, seed % 9 = 0 AS ends FROM near50), {_KINDS}, {_POINTS}, {_TIERS},
+near AS (SELECT n.* FROM near50 n JOIN p ON p.p_partkey = n.seed * 1000000 + n.vec_id JOIN k ON k.p_partkey = p.p_partkey LEFT JOIN one ON one.p_partkey = p.p_partkey WHERE one.n > 0 OR k.lines > 0 OR (len(string_split(p.code, chr(10))) >= 3 AND length(p.code) >= 50))"""
+_RATED = """both_ways AS (SELECT src AS a, dst AS b FROM code UNION SELECT dst, src FROM code), hubs AS (SELECT node FROM near UNION SELECT home FROM near), m AS (SELECT node AS anchor, node FROM hubs UNION SELECT a, b FROM hubs JOIN both_ways ON a = node),
+inside AS (SELECT anchor, count(*) AS n FROM (SELECT DISTINCT src, dst FROM code) JOIN m ON src = node WHERE EXISTS (SELECT 1 FROM m y WHERE y.anchor = m.anchor AND y.node = dst) GROUP BY anchor),
+g AS (SELECT anchor, count(*) AS n, count(*) FILTER (type = 'function') AS f, count(*) FILTER (type = 'file') AS i, count(*) FILTER (type = 'directory') AS d, count(*) FILTER (type IS NULL) AS u, coalesce(any_value(inside.n), 0) AS edges FROM m LEFT JOIN code_nodes USING (node) LEFT JOIN inside USING (anchor) GROUP BY anchor),
+alike AS (SELECT seed, near.node, score, coalesce(0.7::DOUBLE * (a.f * b.f + a.i * b.i + a.d * b.d + a.u * b.u) / (sqrt(a.f * a.f + a.i * a.i + a.d * a.d + a.u * a.u) * sqrt(b.f * b.f + b.i * b.i + b.d * b.d + b.u * b.u)) + 0.3::DOUBLE * (1 - least(abs(a.edges / (a.n + 1e-9) - b.edges / (b.n + 1e-9)), 1)), 0) AS topology FROM near LEFT JOIN g a ON a.anchor = home LEFT JOIN g b ON b.anchor = near.node),
+rated AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(final, 9) DESC, node) AS rank FROM (SELECT *, 0.4::DOUBLE * score + 0.6::DOUBLE * topology AS final FROM alike))"""
+
+
+@query(f"""WITH RECURSIVE {_BASE}, {_NEAR}, {_RATED} SELECT seed, node, round(score, 6) AS vector_score, round(topology, 6) AS topology_score, round(final, 6) AS final_score, rank FROM rated WHERE rank <= 5""")
+def candidates(spark, d):
+    """Candidates by cosine, depth, compatibility and topology; tests and originals lie in the pool."""
+    out = retrieval.candidates(*_retrieval(spark, d), scalars.is_test_file(F.col("node")))
+    return out.select("seed", "node", *[F.round(c, 6).alias(c) for c in ("vector_score", "topology_score", "final_score")], "rank")
+
+
+@query(f"""WITH RECURSIVE {_BASE}, near AS (SELECT seed, home, node, 0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || node), node) AS k FROM x WHERE NOT original AND NOT test) WHERE k <= 50), {_RATED} SELECT seed, node, round(final, 6) AS final_score, rank FROM rated WHERE rank <= 5""")
+def candidate_ablations(spark, d):
+    """V7: candidates by chance in place of vectors, of any depth and intent."""
+    out = retrieval.candidates(*_retrieval(spark, d), scalars.is_test_file(F.col("node")), tolerance=None, by_vector=False, by_intent=False)
+    return out.select("seed", "node", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+_EVALUATED = f"""{_BASE.replace("LEFT JOIN v h ON h.node = q.home", "JOIN v h ON h.node = q.home")}, {_NEAR}, {_RATED},
+ahead AS (SELECT x.*, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS place FROM x), edge AS (SELECT seed, max(place) FILTER (NOT original AND NOT test AND NOT deep) AS last, count(*) AS n FROM (SELECT *, count(*) FILTER (NOT original AND NOT test AND NOT deep) OVER (PARTITION BY seed ORDER BY place) AS had FROM ahead) WHERE had <= 50 GROUP BY seed),
+had AS (SELECT seed, count(*) AS top FROM near50 GROUP BY seed),
+seen AS (SELECT a.* FROM ahead a JOIN edge USING (seed) LEFT JOIN had USING (seed) WHERE coalesce(top, 0) < 50 OR place <= last),
+counts AS (SELECT seed, count(*) AS scanned, count(*) FILTER (original) AS o, count(*) FILTER (test AND NOT original) AS t, count(*) FILTER (deep AND NOT test AND NOT original) AS e FROM seen GROUP BY seed),
+fits AS (SELECT seed, count(*) AS n FROM near GROUP BY seed), best AS (SELECT * FROM rated WHERE rank = 1), sizes AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+evaluated AS (SELECT substr(md5(q.vec_id::VARCHAR), 1, 8) AS commit_short, 'i' || q.vec_id AS instance_id, md5(q.vec_id::VARCHAR) AS base_commit, anchor AS seed_node_id, coalesce(home, '') AS seed_node_resolved, CASE WHEN home IS NULL THEN 'missing' WHEN home = anchor THEN 'exact' ELSE 'file_prefix' END AS seed_resolution_mode, aim AS seed_depth, sizes.n AS embed_nodes, home IS NOT NULL AS vector_used, coalesce(h.vec_id, -1) AS seed_pool_idx,
+  coalesce(scanned, 0) AS scanned, coalesce(o, 0) AS skipped_original, coalesce(t, 0) AS skipped_test_file, coalesce(c.e, 0) AS skipped_depth_mismatch, coalesce(top, 0) AS top_indices, coalesce(fits.n, 0) AS compat_nonempty, least(5, coalesce(fits.n, 0)) AS candidates, coalesce(best.node, '') AS best_anchor_node_id, round(coalesce(best.score, 0), 6) AS best_vector_score, round(coalesce(topology, 0), 6) AS best_topology_score, round(coalesce(final, 0), 6) AS best_final_score,
+  CASE WHEN home IS NULL THEN 'seed_anchor_not_in_commit_map' WHEN coalesce(top, 0) = 0 THEN 'no_candidates_after_vector_filters' WHEN fits.n IS NULL THEN 'no_candidates_after_intent_compatibility' ELSE '' END AS failure_reason, 0::DOUBLE AS elapsed_s
+  FROM q JOIN sizes USING (label) LEFT JOIN v h ON h.node = q.home LEFT JOIN counts c ON c.seed = q.vec_id LEFT JOIN had ON had.seed = q.vec_id LEFT JOIN fits ON fits.seed = q.vec_id LEFT JOIN best ON best.seed = q.vec_id)"""
+
+
+@query(f"WITH RECURSIVE {_EVALUATED} SELECT * FROM evaluated")
+def retrieval_evaluation(spark, d):
+    """What the retrieval of each seed looked at, passed over and found."""
+    out = retrieval.evaluation(*_retrieval(spark, d), scalars.is_test_file(F.col("node")))
+    return out.withColumns({c: F.round(c, 6) for c in ("best_vector_score", "best_topology_score", "best_final_score")})
+
+
+@query(f"WITH RECURSIVE {_EVALUATED} SELECT 'summary' AS kind, unnest(['total', 'ok', 'vector_missing', 'no_candidates', 'failures']) AS name, unnest([count(*), count(*) FILTER (failure_reason = ''), count(*) FILTER (NOT vector_used), count(*) FILTER (vector_used AND candidates = 0), count(*) FILTER (failure_reason <> '')]) AS n FROM evaluated UNION ALL (SELECT 'reason', failure_reason, count(*) FROM evaluated WHERE failure_reason <> '' GROUP BY failure_reason ORDER BY count(*) DESC, failure_reason LIMIT 10)")
+def retrieval_summary(spark, d):
+    """How many seeds found candidates, and the ten most frequent reasons of failure."""
+    return retrieval.evaluation_summary(retrieval.evaluation(*_retrieval(spark, d), scalars.is_test_file(F.col("node"))))
+
+
 @query("SELECT p_partkey, i AS place, CASE WHEN i = 0 THEN p_type ELSE p_brand || (i - 1) END AS intent, round(CASE WHEN i = 0 THEN 0.9 ELSE greatest(0.1, 0.7 - 0.1 * (i - 1)) END, 6)::DOUBLE AS confidence FROM part, range(0, 5) t(i) WHERE i <= p_size % 9")
 def injection_suggestions(spark, d):
     """Kinds of repair to inject, with their confidence."""

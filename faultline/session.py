@@ -36,11 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def python_column(f: Callable, kind: str) -> Callable:
-    """A vectorised column function of f, made when it is used: f takes and returns pandas series, and its module reaches the executors."""
+    """A vectorised column function of f, made when it is used: f takes pandas series and returns one (a frame for a kind of several columns), and its module reaches the executors."""
     import pandas as pd  # not at the top: workers that need no pandas do not load it
 
     ship(SparkSession.active())
-    f.__annotations__ = {name: pd.Series for name in (*inspect.signature(f).parameters, "return")}
+    f.__annotations__ = {name: pd.Series for name in inspect.signature(f).parameters} | {"return": pd.DataFrame if "," in kind and "<" not in kind else pd.Series}
     return F.pandas_udf(f, kind)
 
 

@@ -60,17 +60,18 @@ def _returned(known: DataFrame, edges: DataFrame, jumps: list[DataFrame], merged
 
 def _first(edges: DataFrame, turn: int) -> DataFrame:
     """graph, node, first: the first node, in the turn's order, that reaches each node, itself included."""
-    place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("node"))
-    nodes = edges.select(_G, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = stored(nodes.select(_G, "node", place("node").alias("first"), F.lit(True).alias("moved")))
+    # a node's key sorts by a hash, then by its name
+    key = F.concat(F.lpad(F.hex(F.xxhash64(F.lit(turn), "node")), 16, "0"), "node")
+    nodes = edges.select(_G, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("key", key)
+    labels = stored(nodes.select(_G, "node", "key", F.col("key").alias("first"), F.lit(True).alias("moved")))
     while not labels.where("moved").isEmpty():
         near = edges.join(labels.select(_G, F.col("node").alias("src"), "first"), [_G, "src"]).groupBy(_G, F.col("dst").alias("node")).agg(F.min("first").alias("near"))
-        lower = labels.join(near, [_G, "node"], "left").select(_G, "node", F.col("first").alias("old"), F.least("first", "near").alias("first"))
+        lower = labels.join(near, [_G, "node"], "left").select(_G, "node", "key", F.col("first").alias("old"), F.least("first", "near").alias("first"))
         # who reaches the one that reaches it reaches it too
-        top = labels.select(_G, F.col("node").alias("via"), F.col("first").alias("top"))
-        lower = lower.withColumn("via", F.col("first.node")).join(top, [_G, "via"], "left").select(_G, "node", "old", F.least("first", F.coalesce("top", "first")).alias("first"))
-        labels = stored(lower.select(_G, "node", "first", (F.col("first") != F.col("old")).alias("moved")))
-    return labels.select(_G, "node", F.col("first.node").alias("first"))
+        top = labels.select(_G, F.col("key").alias("first"), F.col("first").alias("top"))
+        lower = lower.join(top, [_G, "first"], "left").select(_G, "node", "key", "old", F.least("first", "top").alias("first"))
+        labels = stored(lower.select(_G, "node", "key", "first", (F.col("first") != F.col("old")).alias("moved")))
+    return labels.select(_G, "node", F.substring("first", 17, 1 << 30).alias("first"))
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -99,8 +100,9 @@ def strong_components(edges: DataFrame, graph: str = "graph") -> DataFrame:
         turn += 1
         ends = stored(_first(left, turn).join(_first(_turned(left), turn).withColumnRenamed("first", "last"), [_G, "node"]))
         found.append(stored(ends.where("first = last").select(_G, "node", F.col("first").alias("component"))))
-        side = lambda c: ends.where("first <> last").select(_G, F.col("node").alias(c), F.struct("first", "last").alias(f"of_{c}"))  # noqa: E731, B023
-        left = stored(left.join(side("src"), [_G, "src"]).join(side("dst"), [_G, "dst"]).where("of_src = of_dst").select(_G, "src", "dst"))
+        kept = stored(ends.where("first <> last").select(_G, "node", F.xxhash64("first", "last").alias("box")))
+        side = lambda c: kept.select(_G, F.col("node").alias(c), F.col("box").alias(f"{c}_box"))  # noqa: E731, B023
+        left = stored(left.join(side("src"), [_G, "src"]).join(side("dst"), [_G, "dst"]).where("src_box = dst_box").select(_G, "src", "dst"))
     schema = whole.select(_G, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     known = stored(together([schema, *found]))
     for before, jumps, merged in reversed(merges):

@@ -7,6 +7,7 @@ import inspect
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -61,6 +62,13 @@ def checkpoints(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read again, without its lineage."""
-    checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table to the shared checkpoint folder and read again, without its lineage.
+
+    A table that is read has the size of its files. What checkpoint() returns keeps the estimate of its plan instead, and
+    estimates of joins are products: in a loop of joins they soon have more digits than can be multiplied.
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

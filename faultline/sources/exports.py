@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: The fields of a standard instance, and those of them that each must have.
 STANDARD = ("instance_id", "repo", "base_commit", "problem_statement", "hints_text", "created_at", "version", "FAIL_TO_PASS", "PASS_TO_PASS", "environment_setup_commit", "patch", "test_patch")
 REQUIRED = ("instance_id", "repo", "base_commit", "problem_statement", "created_at", "version", "FAIL_TO_PASS", "PASS_TO_PASS", "patch")
@@ -67,21 +72,60 @@ def pool_of_ids(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     return ids.join(vectors, "position").select("node", "v")
 
 
-def save_pool(new: DataFrame, folder: str, batch: int = 500) -> int:
-    """Adds the vectors of new hashes (hash, v) to a pool in batches, each whole or not at all; what an earlier run wrote is not written again. The number of batches."""
-    spark = new.sparkSession
+def _known(spark: SparkSession, path: str, column: str) -> DataFrame | None:
+    """One column of a table, or None if nothing was written there yet."""
     try:
-        known = spark.read.parquet(folder).select("hash")
-        new = new.join(known, "hash", "left_anti")
-    except Exception as e:  # a first run has no pool
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path).select(column)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    n = new.count()
-    parts = -(-n // batch)
-    if parts:
-        # one file a batch; the committer shows a file when it is whole, and a run that was cut short goes on from there
-        new.repartitionByRange(parts, "hash").write.mode("append").parquet(folder)
-    return parts
+        return None
+
+
+def save_pool(new: DataFrame, folder: str, batch: int = 500, vectors: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Adds the vectors of new hashes to a pool in batches of `batch` hashes, each committed alone. The number of batches that were added.
+
+    new: hash and what a vector is made of; vectors gives (hash, v) of such rows, the rows themselves without it. The batches of a run are laid down first: a
+    table of the hashes that are neither in the pool nor laid down, each with the number of its batch. Then each batch is made, written to a
+    folder of its own and entered in the list of finished ones. A run that was stopped leaves finished batches, which load_pool() reads, and
+    the next run takes up the others: neither is made again, and rows of a batch that was not entered are written anew.
+    """
+    spark = new.sparkSession
+    plan, done = f"{folder}/plan", f"{folder}/done"
+    planned, fresh = _known(spark, plan, "hash"), new.where("hash is not null").select("hash").distinct()
+    if planned is not None:
+        fresh = fresh.join(planned, "hash", "left_anti")
+    fresh = stored(fresh)
+    n = fresh.count()
+    if n:
+        last = -1 if planned is None else spark.read.parquet(plan).agg(F.max("batch")).first()[0]
+        # places by ranges: each part of the ordered hashes counts its own, and starts where the parts before it end
+        parts = stored(fresh.repartitionByRange(max(1, -(-n // 100_000)), "hash").withColumn("part", F.spark_partition_id()))
+        sizes = {r.part: r["count"] for r in parts.groupBy("part").count().collect()}
+        start, rows = 0, []
+        for part in sorted(sizes):
+            rows.append((part, start))
+            start += sizes[part]
+        place = F.row_number().over(Window.partitionBy("part").orderBy("hash")) - 1 + F.col("start")
+        numbered = parts.join(F.broadcast(spark.createDataFrame(rows, "part int, start long")), "part").select("hash", (F.floor(place / batch) + last + 1).cast("long").alias("batch"))
+        numbered.write.mode("append").parquet(plan)
+    if n == 0 and planned is None:
+        return 0
+    whole = spark.read.parquet(plan)
+    finished = _known(spark, done, "batch")
+    waiting = whole.select("batch").distinct()
+    waiting = waiting if finished is None else waiting.join(finished, "batch", "left_anti")
+    numbers = sorted(r.batch for r in waiting.collect())  # a number for each 500 hashes
+    for number in numbers:
+        rows_of = new.join(whole.where(F.col("batch") == number).select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+        (rows_of if vectors is None else vectors(rows_of)).write.mode("overwrite").parquet(f"{folder}/vectors/batch={number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(done)
+    return len(numbers)
+
+
+def load_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """hash and v of the finished batches of a pool."""
+    return spark.read.parquet(f"{folder}/vectors").join(spark.read.parquet(f"{folder}/done").distinct(), "batch", "left_semi").drop("batch")
 
 
 def save_each(rows: DataFrame, folder: str, key: str) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from .tail import TAIL_BYTES, tails
+
 
 def new_details(spark: SparkSession, folder: str, schema: StructType, key: str = "instance_id", done: DataFrame | None = None, late: str = "7 days") -> DataFrame:
     """A stream of detail files as they arrive, each key once, without the keys that are done (one column).
@@ -23,11 +25,16 @@ def new_details(spark: SparkSession, folder: str, schema: StructType, key: str =
 
 
 def progress(spark: SparkSession, folder: str, schema: StructType, expected: DataFrame, done_marker: str, by: str = "repo") -> Callable[[DataFrame, int], None]:
-    """A handler for drain(): after each batch, counts of results by repository against those expected (by, expected) go to <marker>/progress; when none is missing, <marker>/complete is written."""
+    """A handler for drain(): after each batch, counts of results by repository against those expected (by, expected) go to <marker>/progress; when none is missing, <marker>/complete is written.
+
+    A batch counts its own rows alone, into a table of its number under <marker>/arrived, so its work follows its files and not those of the folder;
+    a batch that is run again after a failure writes the same table again, and counts stay through a restart. What is summed after a batch is a row a batch and repository.
+    """
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.format("noop").mode("overwrite").save()  # the keys of the whole batch are remembered
-        actual = spark.read.schema(schema).option("multiLine", True).json(folder).groupBy(by).agg(F.count(F.lit(1)).alias("actual"))
-        state = expected.join(actual, by, "full").select(by, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")).withColumn("complete", F.col("actual") >= F.col("expected"))
+        batch.groupBy(by).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{done_marker}/arrived/batch={number}")
+        arrived = spark.read.schema(f"{by} string, n long, batch long").parquet(f"{done_marker}/arrived")
+        actual = arrived.groupBy(by).agg(F.sum("n").alias("actual"))
+        state =expected.join(actual, by, "full").select(by, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")).withColumn("complete", F.col("actual") >= F.col("expected"))
         state.write.mode("overwrite").json(f"{done_marker}/progress")
         if state.where("not complete").isEmpty():
             state.coalesce(1).write.mode("overwrite").json(f"{done_marker}/complete")
@@ -35,10 +42,9 @@ def progress(spark: SparkSession, folder: str, schema: StructType, expected: Dat
     return handle
 
 
-def ends_with_marker(spark: SparkSession, log: str, marker: str, tail: int = 256 * 1024) -> bool:
-    """Does the last part of a log hold the marker? For a look from time to time whether to stop a stream; only a byte count of the file's end is kept."""
-    bytes_ = spark.read.format("binaryFile").load(log).select(F.decode(F.expr(f"substring(content, greatest(length(content) - {tail} + 1, 1), {tail})"), "UTF-8").alias("t"))
-    return not bytes_.where(F.col("t").contains(marker)).isEmpty()
+def ends_with_marker(spark: SparkSession, log: str, marker: str, tail: int = TAIL_BYTES) -> bool:
+    """Does the last part of a log hold the marker? For a look from time to time whether to stop a stream; only the file's end is read, whatever its size."""
+    return not tails(spark, [log], tail).where(F.col("tail").contains(marker)).isEmpty()
 
 
 def stop_at_marker(query: StreamingQuery, spark: SparkSession, log: str, marker: str) -> bool:

@@ -135,8 +135,8 @@ def test_graphs_and_pools_as_tables(spark, tmp_path):
     assert a.count() == nodes.count() and b.count() == edges.count() and exports.load_graph(spark, str(tmp_path / "g"))[0].count() == 2 * nodes.count()
     new = spark.createDataFrame([(f"h{k}", [float(k)]) for k in range(7)], "hash string, v array<double>")
     assert exports.save_pool(new.limit(5), str(tmp_path / "p"), batch=2) == 3
-    assert exports.save_pool(new, str(tmp_path / "p"), batch=2) >= 1 and exports.save_pool(new, str(tmp_path / "p"), batch=2) == 0
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 7
+    assert exports.save_pool(new, str(tmp_path / "p"), batch=2) == 1 and exports.save_pool(new, str(tmp_path / "p"), batch=2) == 0
+    assert exports.load_pool(spark, str(tmp_path / "p")).count() == 7
     pools = spark.createDataFrame([("p1", "r", "12345678", 2, "2024-01-01"), ("p2", "r", "1234567890", 2, "2024-01-02"), ("p3", "r", "zz", 2, "2024-01-09"), ("p4", "q", "12345678", 1, "2024-01-01"), ("p5", "s", "x", 1, "2024-01-01")], "pool string, repo string, commit string, version int, mtime string").withColumn("mtime", F.to_timestamp("mtime"))
     asked = spark.createDataFrame([("r", "1234567890"), ("r", "other"), ("q", "1234567890"), ("none", "x")], "repo string, commit string")
     assert {(r.repo, r.commit): r.pool for r in exports.chosen_pools(asked, pools).collect()} == {("r", "1234567890"): "p1", ("r", "other"): "p3", ("q", "1234567890"): "p4", ("none", "x"): None}

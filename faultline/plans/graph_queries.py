@@ -117,12 +117,12 @@ def upstream_callers(spark, d):
     return paths.upstream(e, _targets(code_nodes(e)).withColumnRenamed("node", "target"))
 
 
-@query(f"""WITH {CODE}, {CODE_NODES}, i AS (SELECT dst AS node, count(*) AS n FROM code GROUP BY 1) SELECT node, type, coalesce(n, 0) AS in_degree FROM code_nodes LEFT JOIN i USING (node) WHERE type = 'function' AND regexp_matches(node, '^lib/m1.\\.py:f.*$') AND NOT contains(node, 'f11') AND coalesce(n, 0) BETWEEN 2 AND 9 ORDER BY node LIMIT 20""")
+@query(f"""WITH {CODE}, {CODE_NODES}, i AS (SELECT dst AS node, count(*) AS n FROM code GROUP BY 1) SELECT node, type, coalesce(n, 0) AS in_degree FROM code_nodes LEFT JOIN i USING (node) WHERE type = 'function' AND regexp_matches(node, '^lib/m1.\\.py:f.*$') AND NOT contains(node, 'f11') AND coalesce(n, 0) BETWEEN 2 AND 60 ORDER BY node LIMIT 20""")
 def searched_nodes(spark, d):
     """The first 20 nodes by type, name and degree."""
     e = code_edges(spark, d)
     nodes = code_nodes(e).join(graph.degrees(e), "node").withColumn("code", F.lit(""))
-    return graph.found_nodes(nodes, "FUNC", "LIB/m1?.py:f*", "F11", least_in=2, most_in=9).select("node", "type", "in_degree")
+    return graph.found_nodes(nodes, "FUNC", "LIB/m1?.py:f*", "F11", least_in=2, most_in=60).select("node", "type", "in_degree")
 
 
 @query(f"""WITH {CODE}, {CODE_NODES}, q AS (SELECT DISTINCT lower(r_name) AS asked FROM region UNION SELECT 'F1' || n_nationkey FROM nation UNION SELECT 'Test_S' || n_regionkey FROM nation)

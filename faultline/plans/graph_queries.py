@@ -81,7 +81,7 @@ def shortest_paths(spark, d):
 
 
 #: Chains of calls through the parts of an order: long ways, as each function calls few others.
-_ORDERED = "calls AS (SELECT DISTINCT concat('f', a.l_orderkey % 24, '_', a.l_linenumber) AS src, concat('f', a.l_orderkey % 24, '_', b.l_linenumber) AS dst, 'invokes' AS type FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 UNION ALL SELECT DISTINCT concat('f', o_orderkey % 24, '_1'), concat('f', (o_orderkey + 1) % 24, '_1'), 'imports' FROM orders)"
+_ORDERED = "calls AS (SELECT DISTINCT concat('f', a.l_orderkey % 12, '_', a.l_linenumber) AS src, concat('f', a.l_orderkey % 12, '_', b.l_linenumber) AS dst, 'invokes' AS type FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 UNION ALL SELECT DISTINCT concat('f', o_orderkey % 12, '_1'), concat('f', (o_orderkey + 1) % 12, '_1'), 'imports' FROM orders)"
 _LONG = "walk(source, node, path) USING KEY (source, node) AS (SELECT src, src, [src] FROM starts UNION SELECT w.source, e.dst, min(list_append(w.path, e.dst)) FROM walk w JOIN (SELECT DISTINCT src, dst FROM calls) e ON e.src = w.node LEFT JOIN recurring.walk k ON k.source = w.source AND k.node = e.dst WHERE k.node IS NULL GROUP BY ALL)"
 
 
@@ -91,9 +91,9 @@ SELECT source, target, path, list(type ORDER BY i) AS types FROM ends JOIN steps
 def typed_paths(spark, d):
     """Shortest paths of any length between searched functions, with the types of their edges."""
     li, o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, d, "orders")
-    name = lambda k, n: F.concat(F.lit("f"), F.col(k) % 24, F.lit("_"), n)
+    name = lambda k, n: F.concat(F.lit("f"), F.col(k) % 12, F.lit("_"), n)
     calls = li.join(li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")), ["l_orderkey", "l_linenumber"]).select(name("l_orderkey", F.col("l_linenumber")).alias("src"), name("l_orderkey", F.col("l_linenumber") + 1).alias("dst"), F.lit("invokes").alias("type"))
-    calls = calls.distinct().unionByName(o.select(name("o_orderkey", F.lit("1")).alias("src"), F.concat(F.lit("f"), (F.col("o_orderkey") + 1) % 24, F.lit("_1")).alias("dst"), F.lit("imports").alias("type")).distinct())
+    calls = calls.distinct().unionByName(o.select(name("o_orderkey", F.lit("1")).alias("src"), F.concat(F.lit("f"), (F.col("o_orderkey") + 1) % 12, F.lit("_1")).alias("dst"), F.lit("imports").alias("type")).distinct())
     found = paths.shortest_paths(calls, calls.select(F.col("src").alias("source")).where(F.col("source").rlike("^f[0-9]*0_1$")), calls.select(F.col("dst").alias("target")).where(F.col("target").rlike("^f[0-9]*5_4$")))
     return paths.path_types(found, calls)
 

@@ -137,30 +137,38 @@ def commands_of(rows: DataFrame, most_fail: int = 1, most_keep: int = 1, most: i
     chosen_fail = F.when(fast & (F.size("fail_labels") > 0) & (F.size("keep_labels") > 0), none).otherwise(c("fail_labels"))
     own_modules = F.filter(F.transform(F.transform(chosen_fail, labels.collapse_label), lambda x: F.regexp_replace(F.regexp_replace(x, r"^tests\.(?=.)", ""), r"\.py$", "")), lambda x: (x != "") & ~x.endswith(".py"))
     inferred = F.when(F.size("paths") > 0, c("of_paths")).otherwise(c("of_target"))
-    merged = labels.pruned(F.array_sort(F.array_distinct(F.concat(own_modules, F.transform("keep_labels", labels.collapse_label), inferred))))
+    merged = F.array_sort(F.array_distinct(F.concat(own_modules, F.transform("keep_labels", labels.collapse_label), inferred)))
     seeds = F.coalesce(*[F.when(c("seed").contains(s), F.lit(cmd)) for s, cmd in LAST_DJANGO_SEEDS.items()])
     loose = "pytest {} -v"
 
+    # what a ladder reads more than once is a column, filled for the rows of its kind
+    of = lambda kind, x: F.when(c("kind") == kind, x)
+    out = out.withColumns({"converted": of("django", F.when(c("planned").contains("pytest"), converted)), "planned_tops": of("django", planned_tops), "tops": of("django", tops), "sympy_files": of("sympy", cut(sympy_files)), "py_words": of("sympy", py_words), "merged": of("unnamed_django", merged),
+        "short_paths": of("django", shortened(c("of_paths"))), "short_target": of("django", shortened(c("of_target")))})
+    fast_labels = F.when((c("kind") == "unnamed_django") & fast & (F.size("fail_fast") > 0) & (F.size("keep_labels") > 0), fast_choice(c("fail_fast"), c("keep_fast"), most_fail, most_keep, most, True))
+    fast_tests = F.when((c("kind") == "unnamed") & fast & c("any_keep") & (F.size("valid") > 0), fast_choice(c("valid"), c("valid_keep"), most_fail, most_keep, most, False))
+    test_files = of("pytest", cut(F.array_distinct(F.transform(F.concat("fail", "keep"), lambda t: F.substring_index(t, "::", 1)))))
+    out = out.withColumns({"chosen": F.coalesce(fast_labels, fast_tests), "short_tops": shortened(c("tops")), "merged": labels.pruned(c("merged")), "test_files": test_files})
     ladders = {
         "django": [
             ("planned", F.when(c("planned").contains("runtests.py"), c("planned"))),
-            ("converted", F.when(c("planned").contains("pytest"), _run(django, converted))),
-            ("modules", _run(django, planned_tops)),
-            ("tests", F.when(F.size(tops) > 0, F.coalesce(_run(django, shortened(tops)), F.lit(LAST_DJANGO)))),
-            ("patch", F.when(F.size("of_paths") > 0, F.coalesce(_run(django, shortened(c("of_paths"))), F.lit(LAST_DJANGO)))),
-            ("target", _run(django, shortened(c("of_target")))),
+            ("converted", _run(django, c("converted"))),
+            ("modules", _run(django, c("planned_tops"))),
+            ("tests", F.when(F.size("tops") > 0, F.coalesce(_run(django, c("short_tops")), F.lit(LAST_DJANGO)))),
+            ("patch", F.when(F.size("of_paths") > 0, F.coalesce(_run(django, c("short_paths")), F.lit(LAST_DJANGO)))),
+            ("target", _run(django, c("short_target"))),
             ("last", F.lit(LAST_DJANGO)),
         ],
         "sympy": [
             ("planned", F.when(c("planned").contains("bin/test"), c("planned"))),
-            ("converted", F.when(c("planned").startswith("pytest "), _run(sympy, py_words))),
+            ("converted", F.when(c("planned").startswith("pytest "), _run(sympy, c("py_words")))),
             ("modules", _run(sympy, cut(c("modules")))),
-            ("tests", _run(sympy, cut(sympy_files))),
+            ("tests", _run(sympy, c("sympy_files"))),
             ("patch", _run(sympy, cut(c("of_paths")))),
             ("last", F.lit(sympy.replace("{}", LAST_SYMPY))),
         ],
         "pytest": [
-            ("tests", _run(pytest, cut(F.array_distinct(F.transform(F.concat("fail", "keep"), lambda t: F.substring_index(t, "::", 1)))))),
+            ("tests", _run(pytest, c("test_files"))),
             ("planned", F.when(c("planned").contains("pytest"), c("planned"))),
             ("modules", _run(pytest, cut(c("modules")))),
             ("foreign", F.when(suite & (c("planned") != "") & ~c("planned").contains("runtests.py"), c("planned"))),
@@ -171,8 +179,8 @@ def commands_of(rows: DataFrame, most_fail: int = 1, most_keep: int = 1, most: i
         "unnamed_django": [
             ("planned", F.when(suite & (c("planned") != ""), c("planned"))),
             ("modules", F.when(suite, _run(django, F.filter(cut(c("modules")), _allowed)))),
-            ("fast", F.when(fast & (F.size("fail_fast") > 0) & (F.size("keep_labels") > 0), _run(django, fast_choice(c("fail_fast"), c("keep_fast"), most_fail, most_keep, most, True)))),
-            ("tests", F.when(F.size("valid") > 0, _run(django, merged))),
+            ("fast", _run(django, c("chosen"))),
+            ("tests", F.when(F.size("valid") > 0, _run(django, c("merged")))),
             ("patch", _run(django, c("of_paths"))),
             ("target", _run(django, c("of_target"))),
             ("seed", seeds),
@@ -181,7 +189,7 @@ def commands_of(rows: DataFrame, most_fail: int = 1, most_keep: int = 1, most: i
         "unnamed": [
             ("planned", F.when(suite & (c("planned") != "") & ~c("planned").contains("runtests.py"), c("planned"))),
             ("modules", F.when(suite, _run(pytest, cut(c("modules"))))),
-            ("fast", F.when(fast & c("any_keep") & (F.size("valid") > 0), _run(pytest, fast_choice(c("valid"), c("valid_keep"), most_fail, most_keep, most, False)))),
+            ("fast", _run(pytest, c("chosen"))),
             ("tests", _run(pytest, c("valid"))),
             ("patch", _run(loose, c("of_paths"))),
             ("target", _run(loose, c("of_target"))),

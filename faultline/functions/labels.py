@@ -11,8 +11,9 @@ PROFILES = ("django/django", "pytest-dev/pytest", "sympy/sympy", "scikit-learn/s
 
 def profile_of(repo: Column) -> Column:
     """The profile of a repository: of the same name, else the first whose name holds it or lies in it, whatever the case; 'generic' without one."""
-    r = F.lower(F.trim(repo))
-    return F.coalesce(*[F.when(r == p, p) for p in PROFILES], *[F.when(r.contains(p) | F.lit(p).contains(r), p) for p in PROFILES], F.lit("generic"))
+    near = lambda r: F.get(F.filter(F.array(*map(F.lit, PROFILES)), lambda p: r.contains(p) | p.contains(r)), F.lit(0))
+    # a lambda over one name binds it, so that the expression of the name is there once
+    return F.element_at(F.transform(F.array(F.lower(F.trim(repo))), lambda r: F.coalesce(F.when(r.isin(*PROFILES), r), near(r), F.lit("generic"))), 1)
 
 
 def path_to_module(path: Column) -> Column:
@@ -37,9 +38,10 @@ def collapse_label(label: Column) -> Column:
 def pruned(labels: Column) -> Column:
     """Labels in order, each once: only dotted ones if there are any, and none below which another lies."""
     clean = F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != ""))
-    dotted = F.filter(clean, lambda x: x.contains("."))
-    kept = F.when(F.size(dotted) > 0, dotted).otherwise(clean)
-    return F.filter(kept, lambda m: ~F.exists(kept, lambda n: n.startswith(F.concat(m, F.lit(".")))))
+    kept = lambda xs: F.when(F.exists(xs, lambda x: x.contains(".")), F.filter(xs, lambda x: x.contains("."))).otherwise(xs)
+    leaves = lambda xs: F.filter(xs, lambda m: ~F.exists(xs, lambda n: n.startswith(F.concat(m, F.lit(".")))))
+    # each list is bound by a lambda over one element: it is made once, not again for each of its own elements
+    return F.element_at(F.transform(F.transform(F.array(clean), kept), leaves), 1)
 
 
 def likely_test(source: Column) -> Column:

@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, upper_median: the entry at n div 2 of the sorted values, by exact percentiles of counts (no group is collected into one row).
-
-    Null values are left out.
-    """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
-    return upto.where(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
-
-
 def point_biserial(flag: Column, value: Column) -> Column:
     """Correlation of a flag with a value, by the sample deviation; 0 without spread or without both groups. An aggregate."""
     n1, n = F.count_if(flag), F.count(value)

@@ -30,20 +30,6 @@ def verdicts(moved: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(valid, "valid").otherwise("invalid")).withColumn("is_valid_bug", valid & (F.col("fail_to_fail") == 0) & (F.col("fail_to_pass") == 0))
 
 
-def average_rank(df: DataFrame, value: str, name: str, partition: list[str]) -> DataFrame:
-    """Ranks where ties share their mean rank."""
-    w = Window.partitionBy(*partition)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0)
-
-
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """1 - 6 sum d^2 / (n (n^2 - 1)) for each group, 0 below three rows."""
-    ranked = average_rank(average_rank(df, x, "__rx", by), y, "__ry", by)
-    n = F.count(F.lit(1))
-    rho = F.when(n < 3, 0.0).otherwise(1 - 6 * F.sum((F.col("__rx") - F.col("__ry")) ** 2) / (n * (n * n - 1)))
-    return ranked.groupBy(*by).agg(n.alias("n"), rho.alias("rho"))
-
-
 def entropy(words: DataFrame, key: str, word: str) -> DataFrame:
     """Shannon entropy in bits of the words of each key: counts first, then one sum; 0 for one word."""
     counts = words.groupBy(key, word).agg(F.count(F.lit(1)).alias("n"))

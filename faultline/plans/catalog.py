@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import graph, tables, topk
+from ..operators import graph, ranks, tables, topk
 from . import answer_queries, chain_queries, command_queries, gate_queries, graph_queries, log_queries, repository_queries, seed_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -130,7 +130,7 @@ def chain_alignment(spark, d):
 SELECT c_mktsegment, count(*) AS n, round(1 - 6 * sum((rx - ry) ** 2) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 6) AS rho FROM r GROUP BY 1""")
 def spearman(spark, d):
     """Rank correlation with shared ranks."""
-    out = tables.spearman(table(spark, d, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"])
+    out = ranks.spearman(table(spark, d, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"])
     return out.select("c_mktsegment", "n", F.round("rho", 6).alias("rho"))
 
 
@@ -167,8 +167,8 @@ def last_turns(spark, d):
 @query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS std FROM orders GROUP BY 1")
 def describe(spark, d):
     """Mean, median and sample deviation."""
-    v = "o_totalprice"
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("std"))
+    out = ranks.described(table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), ["o_orderstatus"], "o_totalprice")
+    return out.select("o_orderstatus", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std")])
 
 
 @query("SELECT floor((p_retailprice - 900) / 50)::BIGINT AS bin, p_brand, count(*) AS n FROM part GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, stats
+from ..operators import graph, ranks, stats
 from .fixtures import EDGES, edges, table
 from .registry import query
 
@@ -23,7 +23,14 @@ def innermost_entity(spark, d):
 @query("SELECT c_mktsegment, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS upper_median FROM customer GROUP BY 1")
 def upper_medians(spark, d):
     """The upper median."""
-    return stats.upper_median(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
+    return ranks.medians(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal").select("c_mktsegment", "upper_median")
+
+
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS rank FROM lineitem")
+def shared_ranks(spark, d):
+    """Ranks in three groups that hold the whole table, ties by their mean."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return ranks.average_rank(rows, "l_quantity", "rank", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "rank")
 
 
 @query("""SELECT l_linestatus, round((avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R')) * sqrt(count(*) FILTER (l_returnflag = 'R') * count(*) FILTER (l_returnflag <> 'R') / (count(*) * count(*))) / stddev_samp(l_quantity), 6) AS r,

@@ -133,7 +133,7 @@ def pruned_modules(spark, d):
 
 @query("""SELECT p_partkey, CASE WHEN contains(f, 'lib/m1') THEN ['a', 'b'] WHEN contains(f, 'm12.py') THEN ['c'] WHEN contains(f, '/core/') THEN ['d'] WHEN contains(f, '/tests/') THEN [f] ELSE ['lib/m' || p_size || '/tests/test_f' || p_partkey || '.py'] END AS modules FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'lib/m' || p_size || '/core/f' || p_partkey || '.py' WHEN 1 THEN 'lib/m' || p_size || '/tests/f' || p_partkey || '.py' ELSE 'lib/m' || p_size || '/__f' || p_partkey || '.py' END AS f FROM part)""")
 def mapped_tests(spark, d):
-    """Tests of source files by the first pattern of a mapping, else by convention."""
+    """Tests of source files by the first pattern of a mapping, else by convention."""
     f = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('lib/m', p_size, '/core/f', p_partkey, '.py') WHEN 1 THEN concat('lib/m', p_size, '/tests/f', p_partkey, '.py') ELSE concat('lib/m', p_size, '/__f', p_partkey, '.py') END")
     mapping = spark.createDataFrame([(0, "lib/m1", ["a", "b"]), (1, "m12.py", ["c"]), (2, "/core/", ["d"])], "ord int, pattern string, modules array<string>")
     return labels.mapped_tests(table(spark, d, "part").select("p_partkey", f.alias("source")), mapping).select("p_partkey", "modules")
@@ -243,7 +243,7 @@ def first_occurrences(spark, d):
 
 @query("SELECT l_orderkey, f AS found_files, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect(t, f)) / len(t) END, 6) AS file_recall FROM (SELECT l_orderkey, list_sort(coalesce(list(DISTINCT 'm' || l_suppkey) FILTER (l_linenumber % 2 = 0), [])) AS f, coalesce(list(DISTINCT 'm' || l_suppkey) FILTER (l_linenumber <= 2), []) AS t FROM lineitem GROUP BY 1)")
 def localization_recall(spark, d):
-    """Files of the true patch among those that were found."""
+    """Files of the true patch among those that were found."""
     f = F.concat(F.lit("m"), F.col("l_suppkey").cast("string"))
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, f))).alias("found_files"), F.collect_set(F.when(F.col("l_linenumber") <= 2, f)).alias("t"))
     recall = F.when(F.size("t") == 0, 0.0).otherwise(F.size(F.array_intersect("t", "found_files")) / F.size("t"))

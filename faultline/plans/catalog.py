@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import graph, ranks, tables, topk
-from . import answer_queries, chain_queries, command_queries, gate_queries, graph_queries, log_queries, repository_queries, seed_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
+from . import answer_queries, chain_queries, command_queries, gate_queries, graph_queries, log_queries, repository_queries, seed_queries, summary_queries, table_queries, text_queries  # noqa: F401  (they register themselves)
 from .fixtures import EDGES, RUNS, chains, edges, runs, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 

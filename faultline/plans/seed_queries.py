@@ -190,7 +190,7 @@ w AS (SELECT scope, name, count(*) AS n, round(avg(v), 6) AS mean, round(count(*
 x AS (SELECT name, v FROM (UNPIVOT (SELECT mode_score AS failure, impact, nat AS patch, info AS text, round(al, 4)::DOUBLE AS alignment FROM metrics) ON failure, impact, patch, text, alignment INTO NAME name VALUE v))
 SELECT * FROM w UNION ALL SELECT 'dimension', name, count(*), round(avg(v), 6), NULL, NULL, NULL, NULL FROM x GROUP BY name""")
 def quality_report(spark, d):
-    """The composite over all, by repository, by intent and by dimension."""
+    """The composite over all, by repository, by intent and by dimension."""
     return quality.report(_quality(spark, d))
 
 

@@ -56,7 +56,7 @@ def tier_pivot(spark, d):
 
 @query("SELECT metric, round(avg(v) FILTER (l_returnflag = 'R') - avg(v) FILTER (l_returnflag <> 'R'), 6) AS delta FROM (UNPIVOT (SELECT l_returnflag, l_quantity::DOUBLE AS quantity, l_discount::DOUBLE AS discount, l_tax::DOUBLE AS tax FROM lineitem) ON quantity, discount, tax INTO NAME metric VALUE v) GROUP BY metric")
 def group_deltas(spark, d):
-    """Differences of means of two groups over several metrics, in one pass."""
+    """Differences of means of two groups over several metrics, in one pass."""
     long = table(spark, d, "lineitem").select("l_returnflag", F.expr("stack(3, 'quantity', double(l_quantity), 'discount', double(l_discount), 'tax', double(l_tax)) AS (metric, v)"))
     r = F.col("l_returnflag") == "R"
     return long.groupBy("metric").agg(F.round(F.avg(F.when(r, F.col("v"))) - F.avg(F.when(~r, F.col("v"))), 6).alias("delta"))
@@ -150,7 +150,7 @@ def submissions(spark, d):
 
 @query("SELECT c_mktsegment AS model, c_nationkey % 3 AS level, count(*) AS total, count(*) FILTER (c_acctbal > 5000) AS resolved, round(100.0::DOUBLE * count(*) FILTER (c_acctbal > 5000) / count(*), 4) AS rate FROM customer GROUP BY ALL")
 def model_levels(spark, d):
-    """Totals and rates by model and level."""
+    """Totals and rates by model and level."""
     g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model"), (F.col("c_nationkey") % 3).alias("level"))
     n, hit = F.count(F.lit(1)), F.count_if(F.col("c_acctbal") > 5000)
     return g.agg(n.alias("total"), hit.alias("resolved"), F.round(F.lit(100.0) * hit / n, 4).alias("rate"))
@@ -167,5 +167,5 @@ def simple_graph(spark, d):
 @query(f"""WITH {EDGES}, d AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY 1)
 SELECT count(*) AS n_nodes, sum(o)::BIGINT AS n_edges, max(i + o)::BIGINT AS max_degree, count(*) FILTER (o = 0) AS n_leaves, round(sum(o) / (count(*) * (count(*) - 1)), 6) AS density FROM d""")
 def graph_stats(spark, d):
-    """Size, density, degrees and leaves."""
+    """Size, density, largest degree and leaves of one graph."""
     return graph.stats(edges(spark, d))

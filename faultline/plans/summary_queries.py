@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import summaries
+from ..sources import report_set
 from .fixtures import table
 from .graph_queries import _RINGS, _rings
 from .registry import query
@@ -105,3 +106,34 @@ def graph_profiles(spark, d):
 def graph_totals(spark, d):
     """Totals and means over many graphs."""
     return summaries.graph_totals(*_graphs(spark, d))
+
+
+def _chains(spark, d):
+    """A conversation is a chain of its turns."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit(":"), x["turn"].cast("string"))).alias("nodes"))
+    k = F.col("conv_id")
+    return c.select(k.alias("chain_id"), (k % 40).alias("instance_id"), F.when(k % 5 > 0, F.concat(F.lit("r"), (k % 5).cast("string"))).alias("repo"), F.when(k % 3 == 1, "").when(k % 3 == 2, F.concat(F.lit("t"), (k % 7).cast("string"))).alias("fix_intent"), F.when(k % 11 > 0, F.col("nodes")).alias("nodes"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role || ':' || turn ORDER BY turn, role) AS nodes FROM conversations GROUP BY 1)
+SELECT conv_id AS chain_id, conv_id % 40 AS seed_instance_id, CASE WHEN conv_id % 5 > 0 THEN 'r' || conv_id % 5 ELSE 'Unknown' END AS repo, CASE conv_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['Unknown'] ELSE ['t' || conv_id % 7] END AS fix_intents,
+  CASE WHEN conv_id % 11 > 0 THEN len(nodes) ELSE 0 END AS path_length, CASE WHEN conv_id % 11 > 0 THEN nodes[1] ELSE 'N/A' END AS symptom_node, CASE WHEN conv_id % 11 > 0 THEN nodes[-1] ELSE 'N/A' END AS root_cause_node FROM c""")
+def chain_summaries(spark, d):
+    """The summary of extracted chains."""
+    return report_set.chain_summaries(_chains(spark, d))
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS total_input_instances, (SELECT count(DISTINCT conv_id) FROM conversations) AS total_extracted_chains, (SELECT count(*) FROM orders) AS total_synthetic_instances, (SELECT count(DISTINCT o_custkey) FROM orders) AS seeds_with_synthetic,
+  printf('%.1f%%', 100.0::DOUBLE * (SELECT count(DISTINCT o_custkey) FROM orders) / (SELECT count(*) FROM customer)) AS seed_coverage_rate, round((SELECT count(*) FROM orders)::DOUBLE / (SELECT count(*) FROM customer), 3) AS avg_synthetic_per_seed""")
+def run_report(spark, d):
+    """The totals of a run, seeds without a defect among them."""
+    seeds, defects = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("seed_id"))
+    return report_set.run_report(seeds, _chains(spark, d), defects)
+
+
+@query("""WITH f AS (SELECT o_custkey AS instance, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 * 100 ELSE 999999 END AS rank, epoch_us(o_orderdate::TIMESTAMP) AS us, 'run/' || CASE WHEN o_orderkey % 4 > 0 THEN 'i_rank_' || o_custkey || '_rank' || o_orderkey % 9 * 100 ELSE 'i_rank_' || o_custkey END || '.json' AS path FROM orders)
+SELECT 'i_rank_' || instance AS instance_id, arg_min(rank, (rank, -us, path))::BIGINT AS rank, arg_min(path, (rank, -us, path)) AS path FROM f GROUP BY instance""")
+def best_details(spark, d):
+    """The best result file of each instance by the rank in its name, files without one last."""
+    path = F.expr("concat('run/i_rank_', o_custkey, CASE WHEN o_orderkey % 4 > 0 THEN concat('_rank', o_orderkey % 9 * 100) ELSE '' END, '.json')")
+    return report_set.best_details(table(spark, d, "orders").select(path.alias("path"), F.col("o_orderdate").cast("timestamp").alias("mtime"))).select("instance_id", "rank", "path")

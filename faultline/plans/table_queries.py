@@ -89,7 +89,7 @@ def multiset_difference(spark, d):
 
 @query("SELECT l_partkey AS k, arg_min(l_linestatus, (l_linenumber, l_orderkey, l_linestatus)) AS mode, min(l_linenumber) AS source FROM lineitem GROUP BY 1")
 def first_sources(spark, d):
-    """The first source of each key wins."""
+    """The first source of each key wins."""
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("source"), "l_orderkey", F.col("l_linestatus").alias("mode"))
     return stats.first_source(rows, "k", ["source", "l_orderkey"]).select("k", "mode", "source")
 

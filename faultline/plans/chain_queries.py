@@ -124,12 +124,21 @@ def level_texts(spark, d):
 _PS = "concat('Order ', o_orderkey, CASE o_custkey % 4 WHEN 0 THEN ' returns a wrong total. Replace it with zero. It fails to add.' WHEN 1 THEN ' has no total! The bug is the tax.' WHEN 2 THEN concat('. It produces nothing', repeat(' again', CAST(o_custkey % 50 AS INT)), '.') ELSE '. Should use another.' END)"
 
 
-@query(f"""WITH w AS (SELECT o_orderkey, unnest(regexp_extract_all(lower({_PS}), '\\S+')) AS w FROM orders), c AS (SELECT o_orderkey, w, count(*) AS n FROM w GROUP BY ALL)
-SELECT o_orderkey, round(CASE WHEN sum(n) > 1 THEN log2(sum(n)) - sum(n * log2(n)) / sum(n) ELSE 0 END, 3) AS h_ps, round(count(*) / sum(n), 3) AS vocab_richness, sum(n)::BIGINT AS token_count FROM c GROUP BY 1""")
+_EDIT = "CASE WHEN o_custkey % 5 > 0 THEN concat('+    returns = total', o_custkey % 3, ' + ', lower(o_orderstatus), '_tax', chr(10), '-    nothing = self.wrong') END"
+_PLACE = "concat('src/', lower(o_orderstatus), '_total/order/get_tax', o_custkey % 4, '.py')"
+_KNOWN = "(" + ", ".join(f"'{k}'" for k in sorted(problem_texts.KEYWORDS)) + ")"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_PS} AS t, {_EDIT} AS e, {_PLACE} AS f FROM orders), w AS (SELECT o_orderkey, unnest(regexp_extract_all(lower(t), '\\S+')) AS w FROM o), c AS (SELECT o_orderkey, w, count(*) AS n FROM w GROUP BY ALL),
+m AS (SELECT o_orderkey, round(CASE WHEN sum(n) > 1 THEN log2(sum(n)) - sum(n * log2(n)) / sum(n) ELSE 0 END, 3) AS h_ps, round(count(*) / sum(n), 3) AS vocab_richness, sum(n)::BIGINT AS token_count FROM c GROUP BY 1),
+i AS (SELECT o_orderkey, lower(t) AS t, list_filter(list_distinct(regexp_extract_all(coalesce(e, ''), '[A-Za-z_][A-Za-z0-9_]{{2,}}')), lambda x: x NOT IN {_KNOWN}) AS ids,
+  list_distinct(list_filter(string_split(regexp_replace(regexp_extract(f, '[^/]*$'), '\\.[^.]*$', ''), '_'), lambda x: length(x) > 2) || list_transform(list_filter(string_split(f, '/'), lambda x: length(x) > 2), lambda x: replace(x, '.py', ''))) AS ws FROM o)
+SELECT o_orderkey, h_ps, vocab_richness, token_count, round(CASE WHEN len(ids) = 0 THEN 0 ELSE len(list_filter(ids, lambda x: contains(t, lower(x)))) / len(ids) END, 3) AS identifier_density, round(len(list_filter(ws, lambda x: contains(t, lower(x)))) / len(ws), 3) AS chain_signal_ratio FROM m JOIN i USING (o_orderkey)""")
 def text_metrics(spark, d):
-    """Entropy, richness and length of problem texts."""
-    m = problem_texts.text_metrics(F.expr(_PS), F.lit("x = 1"), F.array(F.lit("a/b.py")))
-    return table(spark, d, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", "m.h_ps", "m.vocab_richness", F.col("m.token_count").cast("long").alias("token_count"))
+    """Entropy, richness and length of problem texts, the identifiers of the patch and the words of the chain that they hold."""
+    m = problem_texts.text_metrics(F.expr(_PS), F.expr(_EDIT), F.array(F.expr(_PLACE)))
+    rows = table(spark, d, "orders").select("o_orderkey", m.alias("m"))
+    return rows.select("o_orderkey", *[f"m.{c}" for c in ("h_ps", "vocab_richness", "identifier_density", "chain_signal_ratio")], F.col("m.token_count").cast("long").alias("token_count"))
 
 
 _FAILS = "(o_custkey % 4 + CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 ELSE 0 END)"

@@ -48,7 +48,7 @@ def intent_means(spark, d):
 @query(f"""WITH t AS (SELECT 'L' || (l_linenumber % 3 + 1) AS level, l_suppkey % 5 AS model, l_quantity::DOUBLE AS tokens, CASE WHEN l_quantity < 40 THEN l_discount::DOUBLE END AS density, l_tax::DOUBLE AS entropy, (CASE WHEN l_linestatus = 'F' THEN l_partkey % 7 END)::DOUBLE / 7 AS signal FROM lineitem)
 SELECT model, level, count(*) AS n, {', '.join(f"round({_mean(c)}, 6) AS {c}" for c in ("tokens", "density", "entropy", "signal"))} FROM t GROUP BY ALL""")
 def level_means(spark, d):
-    """Four metrics of texts by model and level; texts without a metric are left out of its mean."""
+    """Four metrics of texts by model and level; texts without a metric are left out of its mean."""
     q = F.col("l_quantity")
     rows = table(spark, d, "lineitem").select(F.concat(F.lit("L"), (F.col("l_linenumber") % 3 + 1).cast("string")).alias("level"), (F.col("l_suppkey") % 5).alias("model"), q.cast("double").alias("tokens"), F.when(q < 40, F.col("l_discount").cast("double")).alias("density"), F.col("l_tax").cast("double").alias("entropy"), (F.when(F.col("l_linestatus") == "F", F.col("l_partkey") % 7).cast("double") / 7).alias("signal"))
     return summaries.grouped_means(rows, ["model", "level"], ["tokens", "density", "entropy", "signal"])

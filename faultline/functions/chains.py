@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import names
+from .scalars import bound
 
 
 def file_of(node_id: Column, path: Column | None = None) -> Column:
@@ -92,34 +93,51 @@ def trace_alignment(proposed: Column, target: Column, traces: Column) -> Column:
     """
     goal = F.trim(F.coalesce(target, F.lit("")))
     given = F.coalesce(proposed, F.array().cast("array<string>"))
-    chain = F.when((goal != "") & ~F.array_contains(given, goal), F.concat(given, F.array(goal))).otherwise(given)
-    total = F.size(chain)
+    whole = lambda goal, given: F.when((goal != "") & ~F.array_contains(given, goal), F.concat(given, F.array(goal))).otherwise(given)
+    hinted = lambda chain: F.transform(chain, lambda n: F.struct(n.alias("n"), hints(n).alias("h")))
+    return bound(goal, lambda goal: bound(bound(given, lambda g: hinted(whole(goal, g))), lambda chain: bound(traces, lambda given: _trace_alignment(chain, goal, given))))
+
+
+def _judged(chain: Column, frames: Column) -> Column:
+    """Coverage, ordering and matched nodes of one test; chain: array<struct<n, h>> of nodes and their hints."""
+    texts = F.transform(frames, lambda f: F.concat_ws(" ", F.coalesce(f["file_path"], F.lit("")), F.coalesce(f["function"], F.lit("")), F.coalesce(f["code"], F.lit(""))))
 
-    def place(node: Column, texts: Column) -> Column:
-        h = hints(node)
+    def place(h: Column, texts: Column) -> Column:
         hit = F.transform(texts, lambda t: ((h["file"] != "") & t.contains(h["file"])) | ((h["func"] != "") & t.contains(h["func"])))
         return F.array_position(hit, F.lit(True))
 
-    def judge(frames: Column) -> Column:
-        texts = F.transform(frames, lambda f: F.concat_ws(" ", F.coalesce(f["file_path"], F.lit("")), F.coalesce(f["function"], F.lit("")), F.coalesce(f["code"], F.lit(""))))
-        places = F.filter(F.transform(chain, lambda n: F.struct(n.alias("n"), place(n, texts).alias("p"))), lambda x: x["p"] > 0)
-        matched = F.array_distinct(F.transform(places, lambda x: x["n"]))
-        order = F.transform(places, lambda x: x["p"])
+    def measured(places: Column) -> Column:
+        matched, order = F.array_distinct(F.transform(places, lambda x: x["n"])), F.transform(places, lambda x: x["p"])
+        return bound(order, lambda order: bound(matched, lambda matched: judge(order, matched)))
+
+    def judge(order: Column, matched: Column) -> Column:
         k = F.size(order)
         wrong = F.aggregate(F.transform(order, lambda x, i: F.size(F.filter(F.slice(order, i + 2, k), lambda y: y < x))), F.lit(0), lambda s, v: s + v)
         ordering = F.when(F.size(matched) < 2, 0.0).otherwise(1 - wrong / (k * (k - 1) / 2))
-        return F.struct((F.size(matched) / total).alias("coverage"), ordering.alias("ordering"), matched.alias("matched"))
-
-    judged = F.transform(F.filter(traces, lambda t: F.size(t) > 0), judge)
-    best = F.array_max(F.transform(judged, lambda j: F.struct(j["coverage"].alias("coverage"), j["ordering"].alias("ordering"))))
-    matched = F.array_sort(F.array_distinct(F.flatten(F.transform(judged, lambda j: j["matched"]))))
-    hit = (goal != "") & F.array_contains(matched, goal)
-    coverage, ordering = F.coalesce(best["coverage"], F.lit(0.0)), F.coalesce(best["ordering"], F.lit(0.0))
-    overall = 0.5 * coverage + 0.25 * hit.cast("int") + 0.25 * ordering
+        return F.struct((F.size(matched) / F.size(chain)).alias("coverage"), ordering.alias("ordering"), matched.alias("matched"))
+
+    places = bound(texts, lambda texts: F.filter(F.transform(chain, lambda c: F.struct(c["n"].alias("n"), place(c["h"], texts).alias("p"))), lambda x: x["p"] > 0))
+    return bound(places, measured)
+
+
+def _trace_alignment(chain: Column, goal: Column, traces: Column) -> Column:
+    total = F.size(chain)
     row = lambda c, m, h, o, s: F.struct(F.round(c, 4).alias("trace_coverage"), m.alias("matched_nodes"), total.alias("total_nodes"), h.alias("target_hit"), F.round(o, 4).alias("causal_ordering"), F.round(s, 4).alias("overall"))
     zero = F.lit(0.0)
     nothing = row(zero, F.array().cast("array<string>"), F.lit(False), zero, zero)
-    return F.when((total == 0) | (F.size(F.coalesce(traces, F.array())) <= 0), nothing).otherwise(row(coverage, matched, hit, ordering, overall))
+
+    def summed(judged: Column) -> Column:
+        best = F.array_max(F.transform(judged, lambda j: F.struct(j["coverage"].alias("coverage"), j["ordering"].alias("ordering"))))
+        matched = F.array_sort(F.array_distinct(F.flatten(F.transform(judged, lambda j: j["matched"]))))
+        return bound(best, lambda best: bound(matched, lambda matched: result(best, matched)))
+
+    def result(best: Column, matched: Column) -> Column:
+        hit = (goal != "") & F.array_contains(matched, goal)
+        coverage, ordering = F.coalesce(best["coverage"], F.lit(0.0)), F.coalesce(best["ordering"], F.lit(0.0))
+        return row(coverage, matched, hit, ordering, 0.5 * coverage + 0.25 * hit.cast("int") + 0.25 * ordering)
+
+    judged = F.transform(F.filter(traces, lambda t: F.size(t) > 0), lambda frames: _judged(chain, frames))
+    return F.when((total == 0) | (F.size(F.coalesce(traces, F.array())) <= 0), nothing).otherwise(bound(judged, summed))
 
 
 def admission(status: Column, coverage: Column, target_hit: Column, least: float, need_target: bool, enforce: bool) -> Column:

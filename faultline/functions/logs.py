@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import bound
+
 #: Statuses, the words that unit tests use for them, and the parsers by the name of a framework.
 STATUSES = ("PASSED", "FAILED", "SKIPPED", "ERROR", "XFAIL", "XPASS")
 UNIT_WORDS = {"ok": "PASSED", "passed": "PASSED", "fail": "FAILED", "failed": "FAILED", "error": "ERROR", "skipped": "SKIPPED"}
@@ -95,27 +97,34 @@ def marked_output(content: Column) -> Column:
 
 def most_common(values: Column) -> Column:
     """The most frequent entry of an array, the first of those that are equally frequent; null of an empty one."""
-    distinct = F.array_distinct(values)
-    ranked = F.transform(distinct, lambda x, i: F.struct(F.size(F.filter(values, lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("x")))
-    return F.array_max(ranked)["x"]
+    ranked = lambda all_: F.transform(F.array_distinct(all_), lambda x, i: F.struct(F.size(F.filter(all_, lambda y: y == x)).alias("n"), (-i).alias("i"), x.alias("x")))
+    return F.array_max(bound(values, ranked))["x"]
 
 
 def failure_mode(output: Column) -> Column:
     """A struct of the main kind of exception in a test output and how telling it is."""
-    every = F.concat(*[F.regexp_extract_all(output, F.lit(p), F.lit(1)) for p in (r"(?m)^([A-Z]\w*(?:Error|Exception))\s*(?:[:(\[]|$)", r"(?m)^E\s+([A-Z]\w*(?:Error|Exception))\s*[:(\[]", r"raise\s+([A-Z]\w*(?:Error|Exception))")])
-    specific = F.filter(every, lambda x: x != "Exception")
-    mode = most_common(F.when(F.size(specific) > 0, specific).otherwise(every))
-    score = F.coalesce(*[F.when(mode == k, F.lit(v)) for k, v in FAILURE_SCORES.items()], F.lit(0.5))
-    dead = output.contains("command not found") & (F.length(output) < 2000)
     row = lambda m, s: F.struct(m.alias("failure_mode"), s.alias("score"))
-    return F.when(output.isNull(), row(F.lit("unknown"), F.lit(0.5))).when(dead, row(F.lit("test_broken"), F.lit(0.0))).when(mode.isNull(), row(F.lit("unknown"), F.lit(0.5))).otherwise(row(mode, score))
+
+    def common(every: Column) -> Column:
+        return most_common(bound(F.filter(every, lambda x: x != "Exception"), lambda specific: F.when(F.size(specific) > 0, specific).otherwise(every)))
+
+    def scored(mode: Column) -> Column:
+        score = F.coalesce(*[F.when(mode == k, F.lit(v)) for k, v in FAILURE_SCORES.items()], F.lit(0.5))
+        return F.when(mode.isNull(), row(F.lit("unknown"), F.lit(0.5))).otherwise(row(mode, score))
+
+    def judged(output: Column) -> Column:
+        every = F.concat(*[F.regexp_extract_all(output, F.lit(p), F.lit(1)) for p in (r"(?m)^([A-Z]\w*(?:Error|Exception))\s*(?:[:(\[]|$)", r"(?m)^E\s+([A-Z]\w*(?:Error|Exception))\s*[:(\[]", r"raise\s+([A-Z]\w*(?:Error|Exception))")])
+        dead = output.contains("command not found") & (F.length(output) < 2000)
+        return F.when(output.isNull(), row(F.lit("unknown"), F.lit(0.5))).when(dead, row(F.lit("test_broken"), F.lit(0.0))).otherwise(bound(bound(every, common), scored))
+
+    return bound(output, judged)
 
 
 def frames(section: Column) -> Column:
     """array<struct<file_path, line, function, code>> of a piece of a log."""
-    group = lambda k: F.regexp_extract_all(section, F.lit(_FRAME), F.lit(k))
-    zipped = F.arrays_zip(group(1).alias("f"), group(2).alias("l"), group(3).alias("u"), group(4).alias("c"))
-    return F.coalesce(F.transform(zipped, lambda x: F.struct(x["f"].alias("file_path"), x["l"].cast("long").alias("line"), x["u"].alias("function"), strip(x["c"]).alias("code"))), F.expr("cast(array() as array<struct<file_path:string,line:bigint,function:string,code:string>>)"))
+    group = lambda x, k: F.regexp_extract(x, _FRAME, k)
+    found = F.regexp_extract_all(section, F.lit(_FRAME), F.lit(0))
+    return F.coalesce(F.transform(found, lambda x: F.struct(group(x, 1).alias("file_path"), group(x, 2).cast("long").alias("line"), group(x, 3).alias("function"), strip(group(x, 4)).alias("code"))), F.expr("cast(array() as array<struct<file_path:string,line:bigint,function:string,code:string>>)"))
 
 
 def traceback_of(output: Column, test: Column) -> Column:
@@ -129,7 +138,7 @@ def traceback_of(output: Column, test: Column) -> Column:
     tries = [frames(F.call_function("regexp_extract", output, p, F.lit(1))) for p in patterns]
     own = lambda x: ~F.exists(F.array(*[F.lit(s) for s in LIBRARIES]), lambda s: x["file_path"].contains(s))
     tries.append(F.filter(frames(output), own))
-    return F.coalesce(*[F.when(F.size(t) > 0, t) for t in tries])
+    return F.coalesce(*[bound(t, lambda found: F.when(F.size(found) > 0, found)) for t in tries])
 
 
 def traceback_summary(output: Column) -> Column:
@@ -149,23 +158,28 @@ def traceback_summary(output: Column) -> Column:
 
 def parsed_output(output: Column) -> Column:
     """A struct of all that a unit-test output tells: failing tests, tracebacks, messages, exception types, modules, files and totals."""
-    safe = F.coalesce(output, F.lit(""))
+    return bound(F.coalesce(output, F.lit("")), _parsed)
+
+
+def _parsed(safe: Column) -> Column:
     all_ = lambda p, k: F.regexp_extract_all(safe, F.lit(p), F.lit(k))
     header = r"(?m)^(FAIL|ERROR): (\S+) \(([^)]+)\)(?:\s*\n(.+))?"
-    module = lambda x: F.regexp_replace(x, r"\.[^.]*$", "")
-    tests = F.transform(F.arrays_zip(all_(header, 1).alias("a"), all_(header, 2).alias("b"), all_(header, 3).alias("c"), all_(header, 4).alias("d")), lambda x: F.struct(x["a"].alias("type"), x["b"].alias("method"), x["c"].alias("class"), module(x["c"]).alias("module"), strip(x["d"]).alias("description")))
-    traces = F.transform(F.arrays_zip(all_(_TRACE, 1).alias("a"), all_(_TRACE, 2).alias("b")), lambda x: F.struct(strip(x["a"]).alias("full"), strip(x["b"]).alias("exception")))
+    part, module = (lambda x, k: F.regexp_extract(x, header, k)), lambda x: F.regexp_replace(x, r"\.[^.]*$", "")
+    # a match holds all that its groups need, so they are taken from it
+    tests = F.transform(all_(header, 0), lambda x: F.struct(part(x, 1).alias("type"), part(x, 2).alias("method"), part(x, 3).alias("class"), module(part(x, 3)).alias("module"), strip(part(x, 4)).alias("description")))
+    traces = F.transform(all_(_TRACE, 1), lambda x: F.struct(strip(x).alias("full"), strip(F.regexp_extract(x, _TRACE, 2)).alias("exception")))
     messages = F.transform(all_(r"(?m)^(Assertion(?:Error)?:?\s*.+?)$", 1), strip)
     result = F.regexp_extract(safe, r"FAILED \(([^)]+)\)", 1)
-    count = lambda k: F.coalesce(F.nullif(F.regexp_extract(result, rf"(?:^|,)\s*{k}=(\d+)", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
-    return F.struct(
+    count = lambda result, k: F.coalesce(F.nullif(F.regexp_extract(result, rf"(?:^|,)\s*{k}=(\d+)", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    whole = lambda tests, traces, result: F.struct(
         tests.alias("failing_tests"),
         traces.alias("tracebacks"),
         F.transform(messages, lambda m: F.when(F.length(m) > 500, F.concat(F.substring(m, 1, 500), F.lit("..."))).otherwise(m)).alias("assertion_messages"),
         F.array_distinct(F.transform(traces, lambda x: strip(F.substring_index(F.substring_index(x["exception"], ":", 1), "(", 1)))).alias("exception_types"),
-        F.array_sort(F.array_distinct(F.transform(all_(header, 3), module))).alias("test_modules"),
+        F.array_sort(F.array_distinct(F.transform(tests, lambda x: x["module"]))).alias("test_modules"),
         F.array_sort(F.array_distinct(F.transform(all_(r'File "(/testbed/(?!tests/)[^"]+)", line (\d+), in (\w+)', 1), lambda x: F.replace(x, F.lit("/testbed/"), F.lit(""))))).alias("source_files"),
         F.coalesce(F.nullif(F.regexp_extract(safe, r"Ran (\d+) tests? in ([\d.]+)s", 1), F.lit("")).cast("long"), F.lit(0).cast("long")).alias("total_tests"),
-        count("failures").alias("total_failures"),
-        count("errors").alias("total_errors"),
+        count(result, "failures").alias("total_failures"),
+        count(result, "errors").alias("total_errors"),
     )
+    return bound(tests, lambda t: bound(traces, lambda r: bound(result, lambda s: whole(t, r, s))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import python_column
 from .logs import strip
+from .scalars import bound
 
 #: The heading of a thought, an action and its input, in the ways that answers write them.
 _THOUGHT, _ACTION, _INPUT = (rf"(?:{w}|### {w}|\*\*{w}:\*\*)" for w in ("Thought", "Action", "Action Input"))
@@ -100,6 +101,11 @@ def locate(snippet: Column, content: Column, hint: Column | None = None) -> Colu
     squeeze = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"\s+", ""))
     wanted = F.filter(squeeze(F.split(snippet, r"\r?\n")), lambda x: x != "")
     lines = squeeze(F.split(content, r"\r?\n"))
+    at = F.lit(0) if hint is None else hint
+    return bound(wanted, lambda wanted: bound(lines, lambda lines: bound(at, lambda at: _located(wanted, lines, None if hint is None else at))))
+
+
+def _located(wanted: Column, lines: Column, hint: Column | None) -> Column:
     n, total = F.size(wanted), F.size(lines)
 
     def score(i: Column) -> Column:
@@ -112,10 +118,13 @@ def locate(snippet: Column, content: Column, hint: Column | None = None) -> Colu
         near = upto(F.greatest(F.lit(0), hint - 11), F.least(total, hint + 9))
         places = F.when(hint > 0, F.concat(near, places)).otherwise(places)
     scored = F.transform(places, lambda i: F.struct(score(i).alias("s"), i.alias("i")))
-    whole = F.get(F.filter(scored, lambda x: x["s"] >= n - 0.1), 0)
-    top = F.array_max(F.transform(scored, lambda x: x["s"]))
-    best = F.get(F.filter(scored, lambda x: x["s"] == top), 0)
-    return F.when(n == 0, F.lit(None).cast("int")).when(whole.isNotNull(), whole["i"] + 1).when((top > 0) & (top / n >= 0.6), best["i"] + 1)
+
+    def chosen(scored: Column) -> Column:
+        whole = F.get(F.filter(scored, lambda x: x["s"] >= n - 0.1), 0)
+        first = lambda top: F.when((top > 0) & (top / n >= 0.6), F.get(F.filter(scored, lambda x: x["s"] == top), 0)["i"] + 1)
+        return F.coalesce(whole["i"] + 1, bound(F.array_max(F.transform(scored, lambda x: x["s"])), first))
+
+    return F.when(n == 0, F.lit(None).cast("int")).otherwise(bound(scored, chosen))
 
 
 def unified_patch(path: str, content: str | None, before: str, after: str, start: int) -> str:

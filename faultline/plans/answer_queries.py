@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, labels
 from ..operators import reports
-from .fixtures import table
+from .fixtures import spread, table
 from .registry import query
 
 _N = "CAST(floor(value) AS BIGINT)"
@@ -80,7 +80,7 @@ def located_snippets(spark, d):
     half = "array_join(transform(sequence(4, 7), i -> concat('step', i * 7919 + 13 * i * i, CASE WHEN i = 4 THEN '' ELSE concat('(', p_name, ')') END)), chr(10))"
     snippet = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN {whole} WHEN 1 THEN {part} WHEN 2 THEN {half} ELSE 'nothing here' END")
     found = answers.locate(snippet, F.expr(f"array_join({content}, chr(10))"), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_size") % 9).cast("int")).otherwise(0))
-    return table(spark, d, "part").select("p_partkey", found.alias("line"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", found.alias("line"))
 
 
 @query("""SELECT p_partkey, 'diff --git a/src/m' || p_size || '.py b/src/m' || p_size || '.py' || chr(10) || '--- a/src/m' || p_size || '.py' || chr(10) || '+++ b/src/m' || p_size || '.py' || chr(10) || '@@ -' || greatest(1, k - 3) || ',' || (least(9, k + 3) - greatest(1, k - 3) + 1) || ' +' || greatest(1, k - 3) || ',' || (least(9, k + 3) - greatest(1, k - 3) + 1) || ' @@' || chr(10)
@@ -90,7 +90,7 @@ def built_patches(spark, d):
     k = F.expr("cast(1 + p_size % 9 as int)")
     content = F.concat(F.array_join(F.expr("transform(sequence(1, 9), i -> concat('row ', i))"), "\n"), F.lit("\n"))
     patch = answers.built_patch(F.expr("concat('src/m', p_size, '.py')"), content, F.concat(F.lit("row "), k), F.concat(F.lit("new "), "p_name"), k)
-    return table(spark, d, "part").select("p_partkey", patch.alias("patch"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", patch.alias("patch"))
 
 
 _USAGE = "concat('[{\"steps\": [{\"model\": \"m', user_id % 5, '\", \"prompt_tokens\": ', event_id, ', \"completion_tokens\": ', user_id, ', \"cache_read_input_tokens\": ', event_id % 40, '}, {\"deep\": {\"model\": \"big-m', user_id % 3, '\", \"input\": ', user_id, ', \"output\": 3, \"timestamp\": \"t', event_id % 7, '\"}}], \"prompt\": {\"model\": \"x\", \"input\": 1}}, {\"model\": \"none\"}]')"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import python_column
-from .scalars import BEHAVIOUR, FALLBACKS, changed_lines, tokens
+from .scalars import BEHAVIOUR, FALLBACKS, bound, changed_lines, tokens
 
 #: Phrases that tell how to repair a defect, and subtler ones that point at it.
 DIRECTIVES = (
@@ -62,9 +62,11 @@ def seed_refusal(chain_length: Column, intent: Column, before: Column, after: Co
 
 def text_refusal(text: Column, level: Column) -> Column:
     """Why a problem text is not acceptable at its level (minimal, standard, detailed, others unchecked), or null."""
-    safe = F.coalesce(text, F.lit(""))
-    n = F.size(tokens(safe))
-    leaks = sum((safe.rlike("(?i)" + p).cast("int") for p in DIRECTIVES), F.lit(0))
+    leaks = lambda safe: sum((safe.rlike("(?i)" + p).cast("int") for p in DIRECTIVES), F.lit(0))
+    return bound(F.coalesce(text, F.lit("")), lambda safe: bound(F.struct(F.size(tokens(safe)).alias("n"), leaks(safe).alias("leaks")), lambda c: _text_refusal(safe, c["n"], c["leaks"], level)))
+
+
+def _text_refusal(safe: Column, n: Column, leaks: Column, level: Column) -> Column:
     say = lambda s: F.format_string(s, n)
     return (
         F.when(n == 0, "empty_ps")
@@ -93,18 +95,22 @@ def sanitized(text: Column, before: Column, after: Column) -> Column:
     Sentences with a directive, a mention of tests or an implicit leak go, lines of the patch become [CODE]. A text that has both a directive
     and a line of the patch is cut down to its first sentence, if that has 15 characters before its end and no directive; what is left without words becomes a fallback.
     """
-    lines = telling_lines(before, after)
+    return bound(text, lambda text: bound(telling_lines(before, after), lambda lines: _sanitized(text, lines)))
+
+
+def _sanitized(text: Column, lines: Column) -> Column:
     directed = _any([text.rlike("(?i)" + p) for p in DIRECTIVES])
     quoted = F.exists(lines, lambda x: text.contains(x))
     leaking = directed | quoted | _any([text.rlike("(?i)" + p) for p in (*TEST_MENTIONS, *IMPLICIT)])
     first = F.regexp_extract(text, r"^([^.!?\n]{15,}[.!?])", 1)
     severe = F.when((first != "") & ~_any([first.rlike("(?i)" + p) for p in DIRECTIVES]), F.regexp_replace(first, r"^\s+|\s+$", "")).otherwise(FALLBACK)
-    sentence = lambda p: rf"(?i)[^.!?\n]*{p}[^.!?\n]*[.!?]?\s*"
+    # the first match begins where a sentence does or the last one ended, so no other place is tried: without that a sentence costs the square of its length
+    sentence = lambda p: rf"(?i)(?:\G|(?<=[.!?\n]))[^.!?\n]*{p}[^.!?\n]*[.!?]?\s*"
     clean = reduce(lambda t, p: F.regexp_replace(t, sentence(p), ""), DIRECTIVES, text)
     clean = F.aggregate(lines, clean, lambda t, x: F.replace(t, x, F.lit("[CODE]")))
     clean = reduce(lambda t, p: F.regexp_replace(t, sentence(p), ""), (*TEST_MENTIONS, *IMPLICIT), clean)
     clean = F.regexp_replace(clean, r"^\s+|\s+$", "")
-    return F.when(~leaking, text).when(directed & quoted, severe).otherwise(F.when(clean == "", FALLBACK).otherwise(clean))
+    return F.when(~leaking, text).when(directed & quoted, severe).otherwise(bound(clean, lambda c: F.when(c == "", FALLBACK).otherwise(c)))
 
 
 def is_disallowed(label: Column, prefixes: Column) -> Column:

@@ -61,10 +61,15 @@ def chosen_pools(asked: DataFrame, pools: DataFrame) -> DataFrame:
 
     pools: pool, repo, commit, version (2 or 1), mtime.
     """
-    rows = asked.join(pools.withColumnsRenamed({"commit": "p_commit"}), "repo", "left")
-    hit = F.when(F.col("p_commit") == F.substring("commit", 1, 8), 0).when(F.col("p_commit") == F.col("commit"), 1).otherwise(2)
-    order = F.struct((-F.col("version")).alias("v"), hit.alias("h"), F.when(hit == 2, -F.unix_micros("mtime")).otherwise(0).alias("t"), "pool")
-    return rows.groupBy("repo", "commit").agg(F.min_by("pool", F.when(F.col("pool").isNotNull(), order)).alias("pool"))
+    order = F.struct((-F.col("version")).alias("v"))
+    # any pool serves its repository, so none but those of its newest form are chosen: that of the commit by equal keys, else the newest one
+    named = pools.where("pool is not null").withColumn("v", order)
+    top = named.groupBy("repo").agg(F.min("v").alias("v"), F.min(F.struct("v", (-F.unix_micros("mtime")).alias("t"), "pool")).alias("newest")).select("repo", "v", F.col("newest.pool").alias("__newest"))
+    own = named.join(top.select("repo", "v"), ["repo", "v"], "left_semi").groupBy("repo", "commit").agg(F.min("pool").alias("own"))
+    rows = asked.select("repo", "commit").distinct().join(top.drop("v"), "repo", "left")
+    for name, key in (("__short", F.substring("commit", 1, 8)), ("__whole", F.col("commit"))):
+        rows = rows.withColumn("__key", key).join(own.select("repo", F.col("commit").alias("__key"), F.col("own").alias(name)), ["repo", "__key"], "left").drop("__key")
+    return rows.select("repo", "commit", F.coalesce("__short", "__whole", "__newest").alias("pool"))
 
 
 def pool_of_ids(ids: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
     A range join by buckets: a span is listed in each bucket it touches, a point looks into one, so the join has equal keys.
     Rows of points must be distinct.
     """
+    spans = spans.groupBy(*keys, start, end).agg(F.min(span_id).alias(span_id))  # of equal spans the first id wins everywhere
     b = spans.select(*keys, start, end, span_id, F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))).alias("__b"))
     hit = points.withColumn("__b", F.floor(F.col(at) / bucket)).join(b, [*keys, "__b"]).where(F.col(at).between(F.col(start), F.col(end)))
     best = hit.groupBy(*points.columns).agg(F.min_by(span_id, F.struct(F.col(end) - F.col(start), F.col(span_id))).alias(span_id))

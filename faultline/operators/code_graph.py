@@ -6,6 +6,7 @@ Only reading a file's syntax needs Python, a task a batch of files; names are re
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +26,18 @@ class _Reader:
     def __init__(self, path: str, content: str):
         self.path, self.content, self.rows = path, content, []
         tree = ast.parse(content)
+        self.lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", content)  # split once: a form feed ends no line
         for x in ast.walk(tree):
             self._imports(path, x)
         self._scope(tree, [], None)
 
+    def _code(self, x: ast.AST) -> str:
+        """ast.get_source_segment, which would split the whole file for each node. Places in a line are counted in bytes."""
+        lines = self.lines[x.lineno - 1 : x.end_lineno]
+        lines[-1] = lines[-1].encode()[: x.end_col_offset].decode()
+        lines[0] = lines[0].encode()[x.col_offset :].decode()
+        return "".join(lines)
+
     def _add(self, row: str, owner: str, **values: object) -> None:
         self.rows.append({**dict.fromkeys(_FIELDS), "row": row, "owner": owner, **values})
 
@@ -50,7 +59,7 @@ class _Reader:
                     continue
                 own = [*above, x.name]
                 name, is_class = f"{self.path}:{'.'.join(own)}", isinstance(x, ast.ClassDef)
-                self._add("node", name, name=x.name, type="class" if is_class else "function", code=ast.get_source_segment(self.content, x), start_line=x.lineno, end_line=x.end_lineno)
+                self._add("node", name, name=x.name, type="class" if is_class else "function", code=self._code(x), start_line=x.lineno, end_line=x.end_lineno)
                 for y in ast.iter_child_nodes(x):
                     self._imports(name, y)
                 if is_class:
@@ -137,10 +146,20 @@ def build(rows: DataFrame, global_names: bool = False) -> tuple[DataFrame, DataF
     what packages it imports pass on; also to aliases. global_names: names that nothing visible has bind to all nodes of that name.
     """
     rows = stored(rows.where("ok"))
+    nodes = stored(nodes_of(rows))
+    return nodes, _edges(rows, nodes, global_names)
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """graph, node, type, code, hash, start_line, end_line: the nodes alone, which need no names resolved; rows: of read_files."""
+    rows = rows.where("ok")
     files = rows.where("row = 'file'").select("graph", F.col("owner").alias("node"), F.lit("file").alias("type"), "code", "hash", "start_line", "end_line")
     inner = rows.where("row = 'node'").select("graph", F.col("owner").alias("node"), "type", "code", "hash", "start_line", "end_line").dropDuplicates(["graph", "node"])
     dirs = files.select("graph", F.explode(_folders(F.col("node"))).alias("node")).distinct()
-    nodes = stored(dirs.select("graph", "node", F.lit("directory").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in (("code", "string"), ("hash", "string"), ("start_line", "long"), ("end_line", "long"))]).unionByName(files).unionByName(inner))
+    return dirs.select("graph", "node", F.lit("directory").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in (("code", "string"), ("hash", "string"), ("start_line", "long"), ("end_line", "long"))]).unionByName(files).unionByName(inner)
+
+
+def _edges(rows: DataFrame, nodes: DataFrame, global_names: bool) -> DataFrame:
     kinds = nodes.select("graph", "node", "type")
 
     up = F.when(F.col("type").isin("class", "function"), F.when(F.regexp_extract("node", ":(.*)$", 1).contains("."), F.regexp_replace("node", r"\.[^.:]*$", "")).otherwise(F.substring_index("node", ":", 1))).when(F.col("node").contains("/") & (F.col("node") != "/"), F.regexp_replace("node", "/[^/]*$", "")).when(F.col("node") != "/", "/")
@@ -163,7 +182,6 @@ def build(rows: DataFrame, global_names: bool = False) -> tuple[DataFrame, DataF
     callers = kinds.where("type in ('class', 'function')").select("graph", F.col("node").alias("caller"), F.substring_index("node", ":", 1).alias("file"))
     names = F.split(F.regexp_extract("caller", ":(.*)$", 1), r"\.")
     chain = F.concat(F.array("file"), F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.concat(F.col("file"), F.lit(":"), F.array_join(F.slice(names, F.lit(1), i), "."))))
-    own = callers.select("graph", "caller", F.explode(chain).alias("scope"), chain.alias("chain")).join(scopes, ["graph", "scope"]).where("not array_contains(chain, node)").select("graph", "caller", "node")
     # what a file may use of others: its own imports and those of packages that it reaches through __init__ files
     reach = stored(_packages(imports, kinds))
     used = reach.join(imports.withColumnRenamed("src", "via"), ["graph", "via"]).join(kinds.withColumnRenamed("node", "dst"), ["graph", "dst"])
@@ -172,17 +190,20 @@ def build(rows: DataFrame, global_names: bool = False) -> tuple[DataFrame, DataF
     short = F.substring_index(F.substring_index("node", ":", -1), ".", -1)
     aliased = used.where("alias is not null").select("graph", "file", F.col("alias").alias("name"), F.col("dst").alias("node"))
     by_file = stored(passed.select("graph", "file", short.alias("name"), "node").unionByName(aliased).distinct())
-    by_caller = own.select("graph", "caller", short.alias("name"), "node").distinct()
 
     wanted = stored(rows.where("row in ('call', 'base')").select("graph", F.col("owner").alias("caller"), F.substring_index("owner", ":", 1).alias("file"), "name", F.when(F.col("row") == "call", "invokes").otherwise("inherits").alias("type")).distinct())
-    bound = stored(wanted.join(by_caller, ["graph", "caller", "name"]).select("graph", "caller", "name", "type", "node").unionByName(wanted.join(by_file, ["graph", "file", "name"]).select("graph", "caller", "name", "type", "node")).distinct())
+    # a name is looked up in the scopes around its caller: all nodes of these for each caller would be the square of a file
+    named = scopes.select("graph", "scope", short.alias("name"), "node").distinct()
+    around = wanted.join(callers, ["graph", "caller", "file"]).withColumn("chain", chain)
+    by_caller = around.select("graph", "caller", "name", "type", "chain", F.explode("chain").alias("scope")).join(named, ["graph", "scope", "name"]).where("not array_contains(chain, node)")
+    bound = stored(by_caller.select("graph", "caller", "name", "type", "node").unionByName(wanted.join(by_file, ["graph", "file", "name"]).select("graph", "caller", "name", "type", "node")).distinct())
     if global_names:
         everywhere = kinds.select("graph", short.alias("name"), "node")
         lost = wanted.join(bound.select("graph", "caller", "name").distinct(), ["graph", "caller", "name"], "left_anti")
         bound = bound.unionByName(lost.join(everywhere, ["graph", "name"]).select("graph", "caller", "name", "type", "node"))
     none = F.lit(None).cast("string").alias("alias")
     edges = contains.select("graph", "src", "dst", F.lit("contains").alias("type"), none).unionByName(imports.select("graph", "src", "dst", F.lit("imports").alias("type"), "alias")).unionByName(bound.select("graph", F.col("caller").alias("src"), F.col("node").alias("dst"), "type", none).distinct())
-    return nodes, edges
+    return edges
 
 
 def _imports(rows: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Steps whose rows grew with the square of a hub, a repository or a library, or that ran anew for every reader."""
 
+import ast
 import time
 
 from pyspark.sql import functions as F
 
-from faultline.operators import graph, paths, stats
+from faultline.operators import code_graph, graph, paths, stats
 from faultline.plans.fixtures import code_edges
 from faultline.sources import exports
 
@@ -65,3 +66,23 @@ def test_equal_spans_are_one(spark):
     text = plan(found)
     assert text.rindex("Aggregate") > text.rindex("Generate")
     assert sorted((r["at"], r["id"]) for r in found.collect()) == [(5, 1), (50, None)]
+
+
+def test_code_of_nodes_is_cut_from_lines_split_once():
+    text = "x = 'ä'; \f\ndef f(): return 'é'\r\nclass C:\r    def run(self):\n        '''ö\f\n        ü'''\n        return 1; y = 2\nif x: pass\n" + "".join(f"def g{i}(a):\n    return a\n" for i in range(3000))
+    start = time.time()
+    rows = [r for r in code_graph._Reader("m.py", text).rows if r["row"] == "node"]
+    assert time.time() - start < 1.5
+    tree = [x for x in ast.walk(ast.parse(text)) if isinstance(x, ast.ClassDef | ast.FunctionDef)]
+    want = {(x.name, x.lineno): ast.get_source_segment(text, x) for x in tree[:40]}
+    got = {(r["name"], r["start_line"]): r["code"] for r in rows}
+    assert {k: got[k] for k in want} == want and len(rows) == len(tree)
+
+
+def test_names_are_looked_up_by_callers_that_ask(spark):
+    content = "".join(f"def g{i}(a):\n    return g{i + 1}(a)\n" for i in range(2000))
+    files = spark.createDataFrame([("r", "m.py", content)], "graph string, path string, content string")
+    start = time.time()
+    edges = code_graph.build(code_graph.read_files(files))[1].where("type = 'invokes'")
+    assert edges.count() == 1999
+    assert time.time() - start < 60

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from faultline.operators import graph, searches
+from faultline.operators import graph, paths, searches
 from faultline.plans import fixtures
 
 
@@ -21,7 +22,7 @@ def written(monkeypatch):
 
         return count
 
-    for module in (graph, searches):
+    for module in (graph, paths, searches):
         monkeypatch.setattr(module, "stored", counting(module.stored))
     return sizes
 
@@ -51,6 +52,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {x: low[x[0]] for r in rows for x in r if x[0] != "z"} | {"zz": "s0", "zy": "t0"}
 
 
+def test_depths_of_dense_graphs(spark, written):
+    rows = [r for r in dense(3) if None not in r]
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+    depth, last = {"n0": 1, "z9": 1}, ["n0", "z9"]
+    for k in range(2, 12):
+        last = sorted({y for x in last for y in near.get(x, ())} - depth.keys())
+        depth |= dict.fromkeys(last, k)
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for r in rows for x in r})], "node string")
+    got = {r.node: r.depth for r in paths.test_depths(edges, nodes, F.col("node").isin("n0", "z9")).collect()}
+    assert got == {r.node: depth.get(r.node, 3) for r in nodes.collect()} and sum(written) < 1000
+
+
 def test_nodes_of_odd_tables(spark, tmp_path):
     """Lines without a supplier are nodes only as parts, or as ends of imports; repeated keys."""
     tables = {

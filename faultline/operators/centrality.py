@@ -61,12 +61,12 @@ def root_difficulty(roots: DataFrame, edges: DataFrame, chain_length: Column, gr
     """roots(graph, node, ...) with in_degree, out_degree, depth and betweenness.
 
     The depth is that of entry_depths, and the length of the root's chain where no entry reaches it. A root outside its graph has
-    no degrees and no betweenness.
+    no degrees and no betweenness. Graphs without a root are not searched, as no graph tells of another.
     """
     keys = [graph, "node"]
-    pairs = edges.select(graph, "src", "dst").distinct()
+    pairs = stored(edges.select(graph, "src", "dst").join(roots.select(graph).distinct(), graph, "left_semi").distinct())
     tagged = pairs.select(F.struct(graph, F.col("src").alias("node")).alias("src"), F.struct(graph, F.col("dst").alias("node")).alias("dst"))
     d = degrees(tagged).select(f"node.{graph}", "node.node", "in_degree", "out_degree")
-    found = roots.join(d, keys, "left").join(entry_depths(edges, graph), keys, "left").join(betweenness(edges, graph), keys, "left")
+    found = roots.join(d, keys, "left").join(entry_depths(pairs, graph), keys, "left").join(betweenness(pairs, graph), keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return found.select(*roots.columns, zero("in_degree"), zero("out_degree"), F.coalesce("depth", chain_length).cast("int").alias("depth"), F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))

@@ -1,8 +1,9 @@
 """What no result needs is not searched, and what several steps read is made once."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from faultline.operators import paths
+from faultline.operators import centrality, paths
 from faultline.plans import graph_queries
 from faultline.plans.registry import ORACLES
 
@@ -25,3 +26,14 @@ def test_typed_paths_of_odd_orders(spark, tmp_path, monkeypatch):
     edges = {(r.src, r.dst) for r in seen[0].where("type = 'invokes'").collect()}
     step = con.sql("SELECT DISTINCT concat('f', a.l_orderkey % 12, '_', a.l_linenumber), concat('f', a.l_orderkey % 12, '_', b.l_linenumber) FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1").fetchall()
     assert edges == set(step) and ("f0_61", "f0_62") in edges and ("f3_-1", "f3_0") in edges
+
+
+def test_difficulty_searches_graphs_of_roots_alone(spark, monkeypatch):
+    asked = []
+    whole = centrality.betweenness
+    monkeypatch.setattr(centrality, "betweenness", lambda edges, graph: asked.append(edges) or whole(edges, graph))
+    edges = spark.createDataFrame([("a", "x", "y"), ("a", "y", "z"), ("b", "x", "y"), ("b", "y", "z"), ("b", "y", "z")], "graph string, src string, dst string")
+    roots = spark.createDataFrame([("a", "y", 4), ("c", "y", 7)], "graph string, node string, chain int")
+    got = {r.graph: (r.in_degree, r.out_degree, r.depth, r.betweenness) for r in centrality.root_difficulty(roots, edges, F.col("chain")).collect()}
+    assert got == {"a": (1, 1, 1, 0.5), "c": (0, 0, 7, 0.0)}
+    assert {r.graph for r in asked[0].collect()} == {"a"}

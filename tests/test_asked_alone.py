@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from faultline.operators import centrality, paths
+from faultline.operators import centrality, localization, paths
 from faultline.plans import graph_queries
 from faultline.plans.registry import ORACLES
 
@@ -37,3 +37,17 @@ def test_difficulty_searches_graphs_of_roots_alone(spark, monkeypatch):
     got = {r.graph: (r.in_degree, r.out_degree, r.depth, r.betweenness) for r in centrality.root_difficulty(roots, edges, F.col("chain")).collect()}
     assert got == {"a": (1, 1, 1, 0.5), "c": (0, 0, 7, 0.0)}
     assert {r.graph for r in asked[0].collect()} == {"a"}
+
+
+def test_callers_are_looked_up_for_keys_without_a_path(spark, monkeypatch):
+    asked = []
+    whole = paths.upstream
+    monkeypatch.setattr(paths, "upstream", lambda edges, targets, limit: asked.append(targets) or whole(edges, targets, limit))
+    edges = spark.createDataFrame([("tests/t.py", "a.py:f", "invokes"), ("b.py", "a.py:g", "invokes")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([(x,) for x in ("tests/t.py", "a.py:f", "a.py:g", "b.py")], "node string")
+    patch = lambda f: f"--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,2 @@ def {f}(x):\n-a\n+b"
+    test = "--- a/tests/t.py\n+++ b/tests/t.py\n@@ -1 +1 @@\n+x"
+    rows = spark.createDataFrame([(1, patch("f"), test), (2, patch("g"), test)], "key long, patch string, test_patch string")
+    got = {r.key: r.graph_node_ids for r in localization.localize(rows, nodes, edges).collect()}
+    assert got == {1: ["tests/t.py", "a.py:f"], 2: ["b.py"]}
+    assert [r.target for r in asked[0].collect()] == ["a.py:g"]

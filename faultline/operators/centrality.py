@@ -9,24 +9,26 @@ from ..session import stored
 from .graph import degrees
 from .searches import levels, together
 
-#: Graphs with more nodes are sampled: so many sources stand for all.
-EXACT_NODES, SAMPLED_SOURCES = 5000, 100
-#: Nodes without incoming edges that a depth is measured from.
-ENTRIES = 20
+#: Sources that stand for all where a caller asks for samples.
+SAMPLED_SOURCES = 100
 
 
-def betweenness(edges: DataFrame, graph: str = "graph", exact: int = EXACT_NODES, samples: int = SAMPLED_SOURCES) -> DataFrame:
+def betweenness(edges: DataFrame, graph: str = "graph", exact: int | None = None, samples: int = SAMPLED_SOURCES) -> DataFrame:
     """graph, node, betweenness: the share of shortest paths that pass through each node, over (n - 1)(n - 2); 6 decimals.
 
-    All nodes of a graph are sources; of a graph of more than `exact` nodes the `samples` first in an order of hashes are, and
-    their sum counts n / samples times. A row is a node that a source reaches; no graph lies in one task.
+    All nodes of a graph are sources, whatever its size. With `exact`, of a graph of more nodes only the `samples` first in an
+    order of hashes are, and their sum counts n / samples times. A row is a node that a source reaches, and nodes without
+    outgoing edges are not searched from, as they reach none; no graph lies in one task.
     """
     e = stored(edges.select(F.col(graph).alias("graph"), "src", "dst").where("src <> dst").distinct())
     nodes = stored(edges.select(F.col(graph).alias("graph"), F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct())
     sizes = stored(nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy("graph").orderBy(F.xxhash64("node"), "node")
-    chosen = nodes.join(sizes.where(F.col("n") > exact), "graph").withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples)
-    sources = nodes.join(sizes.where(F.col("n") <= exact), "graph").select("graph", "node").unionByName(chosen.select("graph", "node"))
+    sources = nodes
+    if exact is not None:
+        order = Window.partitionBy("graph").orderBy(F.xxhash64("node"), "node")
+        chosen = nodes.join(sizes.where(F.col("n") > exact), "graph").withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples)
+        sources = nodes.join(sizes.where(F.col("n") <= exact), "graph").select("graph", "node").unionByName(chosen.select("graph", "node"))
+    sources = sources.join(e.select("graph", F.col("src").alias("node")).distinct(), ["graph", "node"], "left_semi")
     start = sources.select("graph", F.col("node").alias("source"), "node", F.lit(1.0).alias("ways"))
     keys = ["graph", "source", "node"]
 
@@ -43,18 +45,19 @@ def betweenness(edges: DataFrame, graph: str = "graph", exact: int = EXACT_NODES
         owed = stored(level.join(back, keys, "left").select(*keys, "ways", F.coalesce("owed", F.lit(0.0)).alias("owed")))
     total = together(sums).groupBy("graph", "node").agg(F.sum("owed").alias("owed")) if sums else nodes.select("graph", "node", F.lit(0.0).alias("owed"))
     n = F.col("n").cast("double")
-    scale = F.when(n > 2, 1 / ((n - 1) * (n - 2))).otherwise(1.0) * F.when(n > exact, n / F.least(n, F.lit(float(samples)))).otherwise(1.0)
+    scale = F.when(n > 2, 1 / ((n - 1) * (n - 2))).otherwise(1.0)
+    if exact is not None:
+        scale = scale * F.when(n > exact, n / F.least(n, F.lit(float(samples)))).otherwise(1.0)
     out = nodes.join(total, ["graph", "node"], "left").join(sizes, "graph")
     return out.select(F.col("graph").alias(graph), "node", F.round(F.coalesce("owed", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
-def entry_depths(edges: DataFrame, graph: str = "graph", entries: int = ENTRIES) -> DataFrame:
-    """graph, node, depth: the least number of edges from one of the first `entries` nodes by name without incoming edges, for nodes that one reaches."""
+def entry_depths(edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """graph, node, depth: the least number of edges from any of the nodes without incoming edges, for nodes that one reaches."""
     e = stored(edges.select(F.col(graph).alias("graph"), "src", "dst").distinct())
     roots = e.select("graph", F.col("src").alias("node")).distinct().join(e.select("graph", F.col("dst").alias("node")).distinct(), ["graph", "node"], "left_anti")
-    first = roots.withColumn("k", F.row_number().over(Window.partitionBy("graph").orderBy("node"))).where(F.col("k") <= entries)
     step = lambda last, k: last.withColumnRenamed("node", "src").join(e, ["graph", "src"]).select("graph", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(k))
-    return together(levels(first.select("graph", "node", F.lit(0).alias("depth")), ["graph", "node"], step)).withColumnRenamed("graph", graph)
+    return together(levels(roots.select("graph", "node", F.lit(0).alias("depth")), ["graph", "node"], step)).withColumnRenamed("graph", graph)
 
 
 def root_difficulty(roots: DataFrame, edges: DataFrame, chain_length: Column, graph: str = "graph") -> DataFrame:

@@ -182,3 +182,13 @@ def test_first_edits(spark):
         assert edits.first_difference(a, b) == want
     df = spark.createDataFrame([("x = 1", "x = 2"), (None, "y"), ("z", None)], "a string, b string").select(edits.first_edit(F.col("a"), F.col("b")).alias("e"))
     assert sorted(tuple(r.e) for r in df.collect()) == [("", "y"), ("1", "2"), ("z", "")]
+
+
+def test_centrality_has_no_cut_by_size(spark):
+    """More than 20 entries, of which the last by name is nearest; more than 5,000 nodes, of which none is left out as a source."""
+    far = [("deep", f"a{k:02}", "hall") for k in range(25)] + [("deep", "hall", "way"), ("deep", "way", "root"), ("deep", "z", "root")]
+    wide = [("wide", f"s{k}", "mid") for k in range(20)] + [("wide", "mid", f"t{k}") for k in range(5000)]
+    df = spark.createDataFrame(far + wide, "graph string, src string, dst string")
+    roots = spark.createDataFrame([("deep", "root", 9), ("wide", "mid", 9)], "graph string, node string, chain int")
+    got = {r.graph: (r.in_degree, r.out_degree, r.depth, r.betweenness) for r in centrality.root_difficulty(roots, df, F.col("chain")).collect()}
+    assert got == {"deep": (2, 0, 1, 0.0), "wide": (20, 5000, 1, round(20 * 5000 / 5020 / 5019, 6))}

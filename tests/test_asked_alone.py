@@ -51,3 +51,19 @@ def test_callers_are_looked_up_for_keys_without_a_path(spark, monkeypatch):
     got = {r.key: r.graph_node_ids for r in localization.localize(rows, nodes, edges).collect()}
     assert got == {1: ["tests/t.py", "a.py:f"], 2: ["b.py"]}
     assert [r.target for r in asked[0].collect()] == ["a.py:g"]
+
+
+def test_ablations_of_any_depth_ask_for_no_depths(spark, monkeypatch):
+    from faultline.plans import seed_queries
+
+    def refused(*_):
+        raise AssertionError("depths are searched")
+
+    monkeypatch.setattr(paths, "test_depths", refused)
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("nation", "supplier", "part", "lineitem", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    got = sorted((r.seed, r.node, r.final_score, r["rank"]) for r in seed_queries.candidate_ablations(spark, d).collect())
+    want = sorted(con.sql(ORACLES["candidate_ablations"]).fetchall())
+    assert got and [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want] and all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, want, strict=True))
